@@ -1,0 +1,109 @@
+"""Row-local operators against plain readings of their rules."""
+
+import hashlib
+import re
+from collections import Counter
+
+import pytest
+
+from tessera.llm import pii, quality
+
+WORD = re.compile("[^\x20\x09-\x0d]+")
+
+
+def brute_base(text):
+    words = WORD.findall(text)
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    many = Counter(windows)
+    repeat = {j for i, w in enumerate(windows) if many[w] > 1 for j in range(i, i + 3)}
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    dup = sum(x in lines[:i] for i, x in enumerate(lines)) if len(lines) < 2000 else None
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(repeat), len(words) < 50 or 100 * len(repeat) > 50 * len(words)
+
+
+def test_quality_base_counts(spark, docs_of, corpus):
+    rows = quality.compression_report(docs_of(corpus)).collect()
+    assert len(rows) == len(corpus)
+    want = Counter((i, *brute_base(t or "")) for i, t in corpus)
+    assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in rows) == want
+    assert not any(r.kept and r.base_failed for r in rows)
+
+
+def test_quality_keeps_prose_and_drops_repetition_and_noise(spark, docs_of, corpus):
+    import base64
+    import random
+
+    noise = " ".join(base64.b64encode(random.Random(i).randbytes(60)).decode() for i in range(120))
+    rows = [*corpus, (900, noise)]
+    kept = {r.doc_id for r in quality.keep_good(docs_of(rows)).collect()}
+    assert 502 not in kept and 900 not in kept and 501 not in kept and 500 in kept
+    assert {i for i, t in corpus if i is not None and i < 100 and len(t.split()) >= 50} <= kept
+    assert quality.keep_good(docs_of(rows)).columns == docs_of([]).columns
+    assert quality.compression_report(docs_of([])).count() == 0
+
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def brute_spans(text):
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    out = [(m.start(), m.end(), "email") for m in EMAIL.finditer(text)]
+    out += [(m.start(), m.end(), "ip") for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [(m.start(), m.end(), "card") for m in CARD.finditer(text) if 14 <= len(digits(m)) <= 19 and pii.luhn(digits(m))]
+    out += [(m.start(), m.end(), "phone") for m in PHONE.finditer(text) if 10 <= len(digits(m)) <= 15]
+    return sorted(out, key=lambda s: (s[0], pii.KINDS.index(s[2])))
+
+
+TEXTS = [
+    "a@b.c@d.e x@y z@w.v.u- .a@b@c.d 1@2.3.4.5",
+    "1.2.3.4.5.6.7.8.9 256.1.1.1 001.02.3.0004 1.2.3 12.34.56.78@x.yz",
+    "4111 1111 1111 1111 and 4111-1111-1111-1112, 5500005555555559 0 0 00000000000000",
+    "+1 (017) 555-7713, +1-2 +12345678901234567 ++1 222 333 4444. +1 222 333 4444 5555 666",
+    "IBAN DE89370400440532013000 and GB82 WEST 1234 5698 7654 32; xDE89370400440532013000",
+    "my ssn is 123-45-6789 but part 123-45-6789", "call 555-123-4567 or version 555-123-4567", "routing 021000021", "dev 00:1A:2B:3c:4D:5E",
+    "a" * 3000 + "@b.cd" + "1." * 500, "", "é@x.y ö.b@c-d.e-f",
+]
+
+
+@pytest.mark.parametrize("text", TEXTS)
+def test_base_spans(text):
+    assert pii.base_spans(text) == brute_spans(text)
+
+
+def test_base_spans_random():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(3000):
+        text = "".join(rng.choice("ab1@.-+ (2)%é4") for _ in range(rng.randrange(60)))
+        assert pii.base_spans(text) == brute_spans(text), text
+
+
+def test_long_texts_take_linear_time():
+    for text in ("a" * 2_000_000, "1" * 2_000_000, "a." * 1_000_000 + "@", "1 " * 1_000_000, "+" * 2_000_000, "+1" + "(" * 1_000_000):
+        pii.find(text)
+
+
+def test_added_kinds_need_checksum_or_context():
+    kinds = lambda t: [s[2] for s in pii.find(t)[1]]
+    assert kinds(TEXTS[4]) == ["iban", "iban"]
+    assert kinds("IBAN DE89370400440532013001") == ["iban"] and kinds("code DE89370400440532013001") == []
+    assert kinds(TEXTS[5]) == ["ssn"] and kinds(TEXTS[6]) == ["phone_local"] and kinds(TEXTS[7]) == ["routing"] and kinds(TEXTS[8]) == ["mac"]
+
+
+def test_pii_report_and_mask(spark, docs_of):
+    rows = [*enumerate(TEXTS), (99, None), (None, TEXTS[0]), (0, TEXTS[0])]
+    got = pii.pii_report(docs_of(rows)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        text = dict(rows).get(r.doc_id) or ""
+        base = brute_spans(text)
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in base).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[2] == k for s in base) for k in pii.KINDS]
+        assert len(r.spans.split(",")) - (r.spans == "") == len(base) + r.n_extra
+    masked = {r.doc_id: r.text for r in pii.mask_pii(docs_of(rows)).collect()}
+    assert masked[99] is None and "4111 1111 1111 1111" not in masked[2] and "<card>" in masked[2]
+    assert pii.pii_report(docs_of([])).count() == 0
