@@ -5,17 +5,23 @@ nor across a single line feed, when the neighbours are printable: the cut text
 gives the same ids as the whole one. So words are encoded once by the tokenizers
 library and then looked up. Texts with irregular white space are cut only
 between printable ASCII characters, and encoded without a cache beyond that.
+
+Words that aren't cached go through tiktoken where the file's merges are ranked
+by id, as then both libraries give the same ids; else through tokenizers itself.
 """
 
 from __future__ import annotations
 
+import json
 import re
-
-import numpy as np
+import sys
+from array import array
 
 #: Words a worker keeps; beyond it the cache starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 _LONGEST = 64
+#: The byte-level pre-tokenizer's published pattern (fixed value).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _CUT = re.compile(r"(?<=[!-~])(?= [!-~])")
 
 
@@ -27,6 +33,32 @@ def printable(c: str) -> bool:
     return c.isprintable() and not c.isspace()
 
 
+def byte_letters() -> dict[str, int]:
+    """The byte-level alphabet: printable Latin-1 characters stand for themselves, the other bytes for 256 and up, in order."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def ranked(path: str):
+    """A tiktoken encoding of the file's vocabulary, or None if ids don't follow the order of merges."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
+    if model.get("type") != "BPE" or not plain or model.get("ignore_merges"):
+        return None
+    merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    letters = byte_letters()
+    if any(a >= b for a, b in zip(merged, merged[1:], strict=False)) or len(merged) + 256 > len(model["vocab"]):
+        return None
+    special = {t["content"] for t in spec["added_tokens"]}
+    ranks = {bytes(letters[c] for c in w): i for w, i in model["vocab"].items() if w not in special}
+    return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class _Words(dict):
     """word -> encoded form; ``lead`` is put before the word when it is encoded."""
 
@@ -52,12 +84,17 @@ class BpeIds:
 
         self._t = Tokenizer.from_file(path)
         self._t.encode_special_tokens = True  # their strings in a text are ordinary text
+        self._ranked = ranked(path)
         self._first, self._later = _Words(self._encode, ""), _Words(self._encode, " ")
         self._loose: dict[str, bytes] = {}
         self._newline = self._encode("\n")
 
     def _encode(self, text: str) -> bytes:
-        return np.array(self._t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self._ranked.encode_ordinary(text) if self._ranked else self._t.encode(text, add_special_tokens=False).ids
+        out = array("I", ids)
+        if sys.byteorder != "little":
+            out.byteswap()
+        return out.tobytes()
 
     def ids(self, text: str) -> bytes:
         if not text:
