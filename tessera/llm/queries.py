@@ -3,10 +3,18 @@
 from __future__ import annotations
 
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .licences import op9_licences
 from .packing import op1_packing
 from .pii import op5_pii
 from .quality import op4_quality_rules
+from .repeats import op2_suffix_dedup
+from .sentencepieces import op7_sentencepiece
+from .sharding import op3_sharding
 from .simhash import op10_simhash
+from .token_counts import op8_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_quality_rules, op5_pii, op6_exact_dedup, op10_simhash)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_packing, op2_suffix_dedup, op3_sharding, op4_quality_rules, op5_pii, op6_exact_dedup, op7_sentencepiece, op8_token_counts, op9_licences, op10_simhash)
+}
 ORACLE_SQL = {"op6_exact_dedup": OP6_SQL}
