@@ -198,12 +198,11 @@ def _windows(least: int, window: int):
         for b in batches:
             key, pos = b.column("key").to_numpy(), b.column("pos").to_numpy().astype(np.int64)
             words = np.concatenate([_matrix(b.column("before"), window - 1)[:, ::-1], _matrix(b.column("suffix"), least)], axis=1)
-            span = words.shape[1] - least + 1
             absent = np.concatenate([np.zeros((len(words), 1), np.int64), np.cumsum(words == 0, 1)], 1)
             whole = (absent[:, least:] - absent[:, :-least]) == 0
-            hashes = np.stack([shingle_hashes(w, least) for w in words]) if len(words) else np.empty((0, span), np.uint64)
+            flat = shingle_hashes(words.ravel(), least) if len(words) else np.empty(0, np.uint64)  # also across rows; those aren't looked up
             row, t = np.nonzero(whole)
-            yield pa.RecordBatch.from_arrays([pa.array(key[row]), pa.array(pos[row] - (window - 1) + t), pa.array(hashes[row, t].view(np.int64))], names=["key", "begin", "hash"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[row]), pa.array(pos[row] - (window - 1) + t), pa.array(flat[row * words.shape[1] + t].view(np.int64))], names=["key", "begin", "hash"])
 
     return run
 
@@ -215,7 +214,8 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, window
     spark = docs.sparkSession
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
     retained = materialize(keyed.select("key", "text").mapInArrow(_retained(least, gram, window), "key long, pos int, hash long"))
-    shared = retained.groupBy("hash").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a < b").select("hash")
+    # written, so that the join below has a plain exchange on both sides and a frequent hash can be split
+    shared = materialize(retained.groupBy("hash").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a < b").select("hash"))
     wanted = retained.join(shared, "hash", "left_semi").groupBy("key").agg(F.collect_set("pos").alias("at"))  # a document's own positions
     one_each = keyed.join(wanted, "key").dropDuplicates(["key"]).select("key", "text", "at")
     suffixes = materialize(one_each.mapInArrow(_contexts(least, window), "key long, pos int, suffix binary, before binary"))
@@ -225,7 +225,7 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, window
     heads = found.filter("kind = 1").select("head").distinct()
     doubtful = suffixes.mapInArrow(_headed(least, window), "key long, pos int, suffix binary, before binary, head long").join(heads, "head", "left_semi")
     windows = materialize(doubtful.mapInArrow(_windows(least, window), "key long, begin long, hash long"))
-    twice = windows.groupBy("hash").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a < b").select("hash")
+    twice = materialize(windows.groupBy("hash").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a < b").select("hash"))
     exact = windows.join(twice, "hash", "left_semi").select("key", "begin", (F.col("begin") + least).alias("end"))
     spans = found.filter("kind = 0").select("key", "begin", "end").unionByName(exact)
     span = F.struct("begin", "end")
