@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def exact_match(df: DataFrame, prediction: str, reference: str) -> DataFrame:
@@ -31,7 +32,7 @@ def infer(df: DataFrame, column: str, make: Callable[[], Callable[[list[str]], l
             f[name] = [y for i in range(0, len(values), batch) for y in model(values[i : i + batch])]
             yield f
 
-    return df.mapInPandas(run, df.schema.add(name, "string"))
+    return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField(name, T.StringType())]))
 
 
 def decode_request(data: Column, body: Column) -> Column:
