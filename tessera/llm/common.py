@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: The six ASCII white-space bytes; ``bytes.split()`` and this set agree.
@@ -42,6 +43,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of two numbers that are broadcast (some 32 MB); a larger table is joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
+
+
+def small_or_shuffled(df: DataFrame) -> DataFrame:
+    """``df``, a written table of narrow rows, with a broadcast hint if a count proves it small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

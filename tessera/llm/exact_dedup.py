@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, documents, materialize, shuffle_partitions, texts
+from .common import ASCII_SPACE, documents, materialize, shuffle_partitions, small_or_shuffled, texts
 
 #: Hashes an owner decodes at a time, at most, on average.
 OWNER_HASHES = 1_000_000
@@ -212,9 +212,9 @@ def _split_id(best):
 def keep_one(docs: DataFrame, expected_rows: int | None = None) -> DataFrame:
     """``docs`` with one row of each group of equal texts, its columns unchanged."""
     groups = materialize(exact_groups(docs, expected_rows))
-    dropped = groups.filter("not is_best").select(F.col("doc_id").alias("_dropped_id"), F.col("n_chars").alias("_dropped_chars")).distinct()
+    dropped = materialize(groups.filter("not is_best").select(F.col("doc_id").alias("_dropped_id"), F.col("n_chars").alias("_dropped_chars")).distinct())
     same = docs["doc_id"].eqNullSafe(dropped["_dropped_id"]) & (F.length(F.coalesce(docs["text"], F.lit(""))) == dropped["_dropped_chars"])
-    kept = docs.join(dropped, same, "left_anti")
+    kept = docs.join(small_or_shuffled(dropped), same, "left_anti")
     # repeated rows: several rows attain the best key; they are alike, and one stays
     tied = materialize(groups.filter("is_best and group_size > 1").groupBy("sha").agg(F.first("doc_id").alias("_tied_id"), F.count("*").alias("n")).filter("n > 1").select("_tied_id").distinct())
     if tied.isEmpty():

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, shuffle_partitions, texts
+from .common import documents, materialize, shuffle_partitions, small_or_shuffled, texts
 from .components import components
 
 SHINGLE = 4
@@ -261,7 +261,7 @@ def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     groups = near_groups(docs, radius)
     decided = materialize(groups.groupBy("doc_id").agg(F.count("*").alias("n"), F.min((F.col("component_id").eqNullSafe(F.col("doc_id"))).cast("int")).alias("stays")))
     dropped = decided.filter("stays = 0").select(F.col("doc_id").alias("_near_id"))
-    kept = docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["_near_id"]), "left_anti")
+    kept = docs.join(small_or_shuffled(dropped), docs["doc_id"].eqNullSafe(dropped["_near_id"]), "left_anti")
     twice = decided.filter("stays = 1 and n > 1").select(F.col("doc_id").alias("_near_id"))
     if twice.isEmpty():
         return kept
