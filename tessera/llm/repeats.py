@@ -39,7 +39,7 @@ GRAM = 8
 WINDOW = 32
 #: Suffixes that a task sorts and compares, on average.
 TASK_SUFFIXES = 100_000
-_CACHE = 400_000
+_CACHE = 200_000
 
 
 class _WordHashes(dict):

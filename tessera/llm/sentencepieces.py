@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from .common import documents, texts
 
 SPACE = "▁"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 _LONGEST = 64
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 _CUTS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
@@ -98,7 +98,7 @@ class CharacterMap:
         return unit >> 10 << ((unit & 1 << 9) >> 6)
 
 
-@dataclass
+@dataclass(slots=True)
 class Encoded:
     """A cut's pieces: ids, decimal ids, normalised bytes of each piece, decoded text."""
 

@@ -18,7 +18,7 @@ import sys
 from array import array
 
 #: Words a worker keeps; beyond it the cache starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 _LONGEST = 64
 #: The byte-level pre-tokenizer's published pattern (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
