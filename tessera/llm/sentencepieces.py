@@ -4,8 +4,9 @@ Normalisation walks the text and replaces, at each place, the longest prefix
 that the model's compiled character map has (a double-array trie), recording for
 every byte of the result where in the original it comes from. The normalised text
 is cut where no piece of the vocabulary can reach across, each distinct cut is
-encoded once by best-score-first merging, with byte fallback, and each piece is
-projected through the alignment to a byte span of the original.
+encoded once by best-score-first merging, with byte fallback (an ordinary word by
+the library's own merging, as it is faster), and each piece is projected through
+the alignment to a byte span of the original.
 
 Defined results: a null or empty text has no pieces and decodes to the empty text;
 texts are encoded whole, in time that grows as n log n; repeated rows are encoded
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 from .common import documents, texts
 
 SPACE = "▁"
-CACHE_WORDS = 100_000
+CACHE_WORDS = 150_000
 _LONGEST = 64
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 _CUTS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
@@ -135,6 +136,12 @@ class PieceModel:
         if not self.escape or any(re.search(f"[^{SPACE}]{SPACE}|\n", p) for p in self.ids) or not self.fallback:
             raise ValueError("a piece reaches across white space: this vocabulary can't be cut there")
         self._cache: dict[str, Encoded] = {}
+        self._bytes_of = [1 if t == _BYTE else len(p.encode()) for p, t in zip(self.pieces, self.types, strict=True)]
+        self._library = None
+        if self.dummy and not self.squeeze and not self.map.units:  # then the library adds one mark and changes nothing else
+            from sentencepiece import SentencePieceProcessor
+
+            self._library = SentencePieceProcessor(model_file=path)
 
     def normalise(self, text: str) -> tuple[str, np.ndarray]:
         """The normalised text, and for each of its bytes, and its end, the original byte it comes from."""
@@ -207,6 +214,9 @@ class PieceModel:
         return [s for s in symbols if s is not None]
 
     def _encode_cut(self, cut: str) -> Encoded:
+        if self._library and len(cut) > 1 and cut[0] == SPACE and SPACE not in cut[1:]:
+            ids = self._library.encode(cut[1:])
+            return Encoded(ids, ",".join(map(str, ids)), [self._bytes_of[i] for i in ids], self._surface(ids))
         ids, lengths = [], []
         for s in self._merge(cut):
             i = self.ids.get(s)
