@@ -105,7 +105,7 @@ class Encoded:
 
     ids: list[int]
     written: str
-    lengths: list[int]
+    lengths: bytes  # one a piece, as pieces are short
     text: str
 
 
@@ -216,7 +216,7 @@ class PieceModel:
     def _encode_cut(self, cut: str) -> Encoded:
         if self._library and len(cut) > 1 and cut[0] == SPACE and SPACE not in cut[1:]:
             ids = self._library.encode(cut[1:])
-            return Encoded(ids, ",".join(map(str, ids)), [self._bytes_of[i] for i in ids], self._surface(ids))
+            return Encoded(ids, ",".join(map(str, ids)), bytes([self._bytes_of[i] for i in ids]), self._surface(ids))
         ids, lengths = [], []
         for s in self._merge(cut):
             i = self.ids.get(s)
@@ -227,7 +227,7 @@ class PieceModel:
             else:
                 ids += [self.bytes[b] for b in raw]
                 lengths += [1] * len(raw)
-        return Encoded(ids, ",".join(map(str, ids)), lengths, self._surface(ids))
+        return Encoded(ids, ",".join(map(str, ids)), bytes(lengths), self._surface(ids))
 
     def _surface(self, ids: list[int]) -> str:
         out, held = [], bytearray()
@@ -259,7 +259,7 @@ class PieceModel:
 
     def spans(self, cuts: list[Encoded], align: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Begin and end of every piece in the original bytes."""
-        lengths = np.array([n for c in cuts for n in c.lengths], np.int64)
+        lengths = np.frombuffer(b"".join([c.lengths for c in cuts]), np.uint8).astype(np.int64)
         ends = np.cumsum(lengths)
         return align[ends - lengths], align[ends]
 
