@@ -2,11 +2,12 @@
 
 Normalisation walks the text and replaces, at each place, the longest prefix
 that the model's compiled character map has (a double-array trie), recording for
-every byte of the result where in the original it comes from. The normalised text
-is cut where no piece of the vocabulary can reach across, each distinct cut is
-encoded once by best-score-first merging, with byte fallback (an ordinary word by
-the library's own merging, as it is faster), and each piece is projected through
-the alignment to a byte span of the original.
+every byte of the result where in the original it comes from. The normalised text is encoded by
+best-score-first merging with byte fallback. Where the model's map is empty, the
+normalised text is the original with marks for spaces, and the library does the
+merging, in blocks cut where no piece of the vocabulary can reach across; else each
+distinct cut is merged here once. Each piece is projected through the alignment to
+a byte span of the original.
 
 Defined results: a null or empty text has no pieces and decodes to the empty text;
 texts are encoded whole, in time that grows as n log n; repeated rows are encoded
@@ -20,7 +21,6 @@ import heapq
 import re
 import struct
 import zlib
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +32,11 @@ from .common import documents, texts
 SPACE = "▁"
 CACHE_WORDS = 150_000
 _LONGEST = 64
+#: Characters of a text that the library merges at once, at least.
+_BLOCK = 4096
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 _CUTS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
+_SINGLE = re.compile(f"(?<=[^ {SPACE}]) (?=[^ {SPACE}])")
 
 
 def fields(blob: bytes):
@@ -99,16 +102,6 @@ class CharacterMap:
         return unit >> 10 << ((unit & 1 << 9) >> 6)
 
 
-@dataclass(slots=True)
-class Encoded:
-    """A cut's pieces: ids, decimal ids, normalised bytes of each piece, decoded text."""
-
-    ids: list[int]
-    written: str
-    lengths: bytes  # one a piece, as pieces are short
-    text: str
-
-
 class PieceModel:
     def __init__(self, path: str):
         with open(path, "rb") as f:
@@ -135,8 +128,10 @@ class PieceModel:
         self.unk_surface = trainer.get(44, " ⁇ ".encode()).decode()
         if not self.escape or any(re.search(f"[^{SPACE}]{SPACE}|\n", p) for p in self.ids) or not self.fallback:
             raise ValueError("a piece reaches across white space: this vocabulary can't be cut there")
-        self._cache: dict[str, Encoded] = {}
-        self._bytes_of = [1 if t == _BYTE else len(p.encode()) for p, t in zip(self.pieces, self.types, strict=True)]
+        self._cache: dict[str, list[int]] = {}
+        self._raw = [bytes([int(p[3:5], 16)]) if t == _BYTE else p.encode() for p, t in zip(self.pieces, self.types, strict=True)]
+        self._width = np.array([len(r) for r in self._raw], np.int64)
+        self._decimal = [str(i) for i in range(len(self.pieces))]
         self._library = None
         if self.dummy and not self.squeeze and not self.map.units:  # then the library adds one mark and changes nothing else
             from sentencepiece import SentencePieceProcessor
@@ -213,21 +208,12 @@ class PieceModel:
             offer(a, after[a])
         return [s for s in symbols if s is not None]
 
-    def _encode_cut(self, cut: str) -> Encoded:
-        if self._library and len(cut) > 1 and cut[0] == SPACE and SPACE not in cut[1:]:
-            ids = self._library.encode(cut[1:])
-            return Encoded(ids, ",".join(map(str, ids)), bytes([self._bytes_of[i] for i in ids]), self._surface(ids))
-        ids, lengths = [], []
+    def _encode_cut(self, cut: str) -> list[int]:
+        ids: list[int] = []
         for s in self._merge(cut):
             i = self.ids.get(s)
-            raw = s.encode()
-            if i is not None:
-                ids.append(i)
-                lengths.append(len(raw))
-            else:
-                ids += [self.bytes[b] for b in raw]
-                lengths += [1] * len(raw)
-        return Encoded(ids, ",".join(map(str, ids)), bytes(lengths), self._surface(ids))
+            ids += [i] if i is not None else [self.bytes[b] for b in s.encode()]
+        return ids
 
     def _surface(self, ids: list[int]) -> str:
         out, held = [], bytearray()
@@ -244,7 +230,7 @@ class PieceModel:
             out.append(held.decode("utf-8", "replace"))
         return "".join(out)
 
-    def cuts(self, normalised: str) -> list[Encoded]:
+    def _cached(self, normalised: str) -> list[int]:
         cache, out = self._cache, []
         for cut in _CUTS.findall(normalised):
             got = cache.get(cut)
@@ -254,23 +240,39 @@ class PieceModel:
                     if len(cache) >= CACHE_WORDS:
                         cache.clear()
                     cache[cut] = got
-            out.append(got)
+            out += got
         return out
 
-    def spans(self, cuts: list[Encoded], align: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Begin and end of every piece in the original bytes."""
-        lengths = np.frombuffer(b"".join([c.lengths for c in cuts]), np.uint8).astype(np.int64)
+    def _blocks(self, text: str) -> list[int]:
+        """The library's ids, in blocks: it marks the beginning of each as it would mark the space that is left out."""
+        out, at = [], 0
+        while len(text) - at > _BLOCK and (space := _SINGLE.search(text, at + _BLOCK)):
+            out += self._library.encode(text[at : space.start()])
+            at = space.end()
+        return out + self._library.encode(text[at:])
+
+    def encode_aligned(self, text: str) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """Ids, and begin and end of every piece in the original bytes."""
+        normalised, align = self.normalise(text)
+        ids = self._blocks(text) if self._library else self._cached(normalised)
+        lengths = self._width[np.array(ids, np.int64)]
         ends = np.cumsum(lengths)
-        return align[ends - lengths], align[ends]
+        return ids, align[ends - lengths], align[ends]
 
     def encode(self, text: str) -> list[int]:
-        return [i for c in self.cuts(self.normalise(text)[0]) for i in c.ids]
+        return self.encode_aligned(text)[0]
 
     def encode_spans(self, text: str) -> list[tuple[int, int, int]]:
         """(id, begin, end): the piece's bytes in the original text."""
-        normalised, align = self.normalise(text)
-        cuts = self.cuts(normalised)
-        return list(zip((i for c in cuts for i in c.ids), *(x.tolist() for x in self.spans(cuts, align)), strict=True))
+        ids, begins, ends = self.encode_aligned(text)
+        return list(zip(ids, begins.tolist(), ends.tolist(), strict=True))
+
+    def written(self, ids: list[int]) -> str:
+        return ",".join(map(self._decimal.__getitem__, ids))
+
+    def decode_encoded(self, ids: list[int]) -> str:
+        """``decode`` of ids that ``encode`` gave: their bytes are whole characters, and none is unknown or control."""
+        return self.finish(b"".join(map(self._raw.__getitem__, ids)).decode())
 
     def finish(self, surface: str) -> str:
         """Joined surfaces as text: the leading mark of the dummy prefix goes, the others become spaces."""
@@ -302,11 +304,9 @@ def _digests(path: str):
         for batch in batches:
             columns: list[list] = [[] for _ in range(5)]
             for text in texts(batch.column("text")):
-                normalised, align = m.normalise(text)
-                cuts = m.cuts(normalised)
-                begins, ends = m.spans(cuts, align)
-                decoded = m.finish("".join([c.text for c in cuts]))
-                made = (len(ends), _sha(",".join([c.written for c in cuts])), _sha(decoded), zlib.crc32(np.stack([begins, ends], 1).astype("<i8").tobytes()), decoded == text)
+                ids, begins, ends = m.encode_aligned(text)
+                decoded = m.decode_encoded(ids)
+                made = (len(ids), _sha(m.written(ids)), _sha(decoded), zlib.crc32(np.stack([begins, ends], 1).astype("<i8").tobytes()), decoded == text)
                 for column, value in zip(columns, made, strict=True):
                     column.append(value)
             kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_())
@@ -321,7 +321,7 @@ def _pieces(path: str):
         for batch in batches:
             rows = [m.encode_spans(t) for t in texts(batch.column("text"))]
             lists = [pa.array([[p[k] for p in r] for r in rows], pa.list_(pa.int32())) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists, pa.array([m.decode([p[0] for p in r]) for r in rows], pa.string())], names=["doc_id", "ids", "begins", "ends", "decoded"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists, pa.array([m.decode_encoded([p[0] for p in r]) for r in rows], pa.string())], names=["doc_id", "ids", "begins", "ends", "decoded"])
 
     return run
 

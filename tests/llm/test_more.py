@@ -107,15 +107,19 @@ def models():
     return sentencepieces.PieceModel(path), sentencepiece.SentencePieceProcessor(model_file=path)
 
 
-def test_ids_and_decoding_equal_the_library(models, corpus):
+@pytest.mark.parametrize("own_merging", [False, True])
+def test_ids_and_decoding_equal_the_library(models, corpus, monkeypatch, own_merging):
     mine, library = models
+    monkeypatch.setattr(sentencepieces, "_BLOCK", 5)
+    if own_merging:
+        monkeypatch.setattr(mine, "_library", None)
     rng = random.Random(11)
     odd = ["", " ", "  a", "a  ", "a  b", "\n", "a\nb", " \n ", "▁", "▁▁a ▁", "x ▁", "\t\ttab", "é😀漢字 ㎞", "<s> </s> <0x41>", "   ", "a" * 500, " x y", "1234 56", "é"]
     odd += ["".join(rng.choice(" ▁\nabet漢é😀1.") for _ in range(rng.randrange(40))) for _ in range(1500)]
     for text in [t or "" for _, t in corpus] + odd:
         ids = mine.encode(text)
         assert ids == library.encode(text), repr(text[:60])
-        assert mine.decode(ids) == library.decode(ids), repr(text[:60])
+        assert mine.decode(ids) == mine.decode_encoded(ids) == library.decode(ids), repr(text[:60])
 
 
 def test_spans_cover_the_original(models):
