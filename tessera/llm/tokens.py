@@ -1,36 +1,18 @@
-"""Byte-level BPE ids of whole texts, with a cache of words.
+"""Byte-level BPE ids of whole texts.
 
-The pre-tokenizer never joins what stands before a single space and after it,
-nor across a single line feed, when the neighbours are printable: the cut text
-gives the same ids as the whole one. So words are encoded once by the tokenizers
-library and then looked up. Texts with irregular white space are cut only
-between printable ASCII characters, and encoded without a cache beyond that.
-
-Words that aren't cached go through tiktoken where the file's merges are ranked
-by id, as then both libraries give the same ids; else through tokenizers itself.
+A text goes through tiktoken where the file's merges are ranked by id, as then both
+libraries give the same ids; else through tokenizers itself. Nothing is cached: with
+many distinct words, looking them up costs more than merging them again.
 """
 
 from __future__ import annotations
 
 import json
-import re
-import sys
-from array import array
 
-#: Words a worker keeps; beyond it the cache starts anew.
-CACHE_WORDS = 150_000
-_LONGEST = 64
+import numpy as np
+
 #: The byte-level pre-tokenizer's published pattern (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_CUT = re.compile(r"(?<=[!-~])(?= [!-~])")
-
-
-class _Irregular(Exception):
-    pass
-
-
-def printable(c: str) -> bool:
-    return c.isprintable() and not c.isspace()
 
 
 def byte_letters() -> dict[str, int]:
@@ -59,23 +41,6 @@ def ranked(path: str):
     return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-class _Words(dict):
-    """word -> encoded form; ``lead`` is put before the word when it is encoded."""
-
-    def __init__(self, encode, lead: str):
-        self.encode, self.lead = encode, lead
-
-    def __missing__(self, word: str):
-        if not word or not printable(word[0]) or not printable(word[-1]):
-            raise _Irregular
-        out = self.encode(self.lead + word)
-        if len(word) <= _LONGEST:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = out
-        return out
-
-
 class BpeIds:
     """``ids(text)``: little-endian unsigned 32-bit ids, without special tokens; ``counted(text)``: how many."""
 
@@ -85,45 +50,17 @@ class BpeIds:
         self._t = Tokenizer.from_file(path)
         self._t.encode_special_tokens = True  # their strings in a text are ordinary text
         self._ranked = ranked(path)
-        self._first, self._later = _Words(self._encode, ""), _Words(self._encode, " ")
-        self._loose: dict[str, bytes] = {}
-        self._newline = self._encode("\n")
 
-    def _encode(self, text: str) -> bytes:
-        ids = self._ranked.encode_ordinary(text) if self._ranked else self._t.encode(text, add_special_tokens=False).ids
-        out = array("I", ids)
-        if sys.byteorder != "little":
-            out.byteswap()
-        return out.tobytes()
+    def _encode(self, text: str) -> np.ndarray:
+        if self._ranked:
+            return self._ranked.encode_to_numpy(text, disallowed_special=())
+        return np.array(self._t.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def ids(self, text: str) -> bytes:
-        if not text:
-            return b""
-        try:
-            out: list[bytes] = []
-            first, later, newline = self._first, self._later.__getitem__, self._newline
-            for i, line in enumerate(text.split("\n")):
-                if i:
-                    out.append(newline)
-                words = line.split(" ")
-                out.append(first[words[0]])
-                out.extend(map(later, words[1:]))
-            return b"".join(out)
-        except _Irregular:
-            return b"".join(map(self._piece, _CUT.split(text)))
-
-    def _piece(self, part: str) -> bytes:
-        got = self._loose.get(part)
-        if got is None:
-            got = self._encode(part)
-            if len(part) <= _LONGEST:
-                if len(self._loose) >= CACHE_WORDS:
-                    self._loose.clear()
-                self._loose[part] = got
-        return got
+        return self._encode(text).astype("<u4", copy=False).tobytes()
 
     def counted(self, text: str) -> int:
-        return len(self.ids(text)) // 4
+        return len(self._encode(text))
 
 
 _loaded: dict[str, BpeIds] = {}

@@ -16,11 +16,11 @@ def plain():
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
-def test_cached_ids_equal_the_library(plain, corpus):
-    cached = BpeIds(default_tokenizer())
+def test_ids_equal_the_library(plain, corpus):
+    ours = BpeIds(default_tokenizer())
     odd = ["a  b", " a", "a ", "a\n\nb", "a\nb", "it's don't’s", "x y z", "1 2 3.14 a1b", "　", "a \n b", "tab\t x", "…a …b", "\x1c a\x85b c"]
     for text in [t or "" for _, t in corpus] + odd:
-        assert np.frombuffer(cached.ids(text), "<u4").tolist() == plain(text), repr(text[:80])
+        assert np.frombuffer(ours.ids(text), "<u4").tolist() == plain(text), repr(text[:80])
 
 
 def test_every_id_in_one_piece_and_sequences_gapless(spark, docs_of, corpus, plain):
