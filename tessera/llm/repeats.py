@@ -28,7 +28,6 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,22 +38,11 @@ GRAM = 8
 WINDOW = 32
 #: Suffixes that a task sorts and compares, on average.
 TASK_SUFFIXES = 100_000
-_CACHE = 200_000
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        out = zlib.crc32(word)
-        if len(word) <= 64:
-            if len(self) >= _CACHE:
-                self.clear()
-            self[word] = out
-        return out
-
-
-def word_hashes(text: str, cache: _WordHashes) -> np.ndarray:
+def word_hashes(text: str) -> np.ndarray:
     words = text.encode().split()
-    return np.fromiter(map(cache.__getitem__, words), np.uint32, len(words))
+    return np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -77,18 +65,22 @@ def minimisers(hashes: np.ndarray, window: int) -> np.ndarray:
         return np.empty(0, np.int64)
     found = []
     for at in range(0, len(hashes) - window + 1, 1 << 16):  # in blocks, as a text may be very long
-        view = sliding_window_view(hashes[at : at + (1 << 16) + window - 1], window)
-        found.append(np.unique(view.argmin(1) + np.arange(len(view))) + at)
+        least = hashes[at : at + (1 << 16) + window - 1]
+        where, width = np.arange(len(least)), 1
+        while width < window:  # least of `width` successive hashes, and its place
+            k = min(width, window - width)
+            later = least[k:] < least[:-k]
+            least, where, width = np.where(later, least[k:], least[:-k]), np.where(later, where[k:], where[:-k]), width + k
+        found.append(where[np.append(True, where[1:] != where[:-1])] + at)
     return np.unique(np.concatenate(found))
 
 
 def _retained(least: int, gram: int, window: int):
     def run(batches):
-        cache = _WordHashes()
         for batch in batches:
             keys, at, hashes = [], [], []
             for key, text in zip(batch.column("key").to_pylist(), texts(batch.column("text")), strict=True):
-                words = word_hashes(text, cache)
+                words = word_hashes(text)
                 if len(words) >= least:
                     h = shingle_hashes(words, gram)
                     p = minimisers(h, window)
@@ -105,11 +97,10 @@ def _contexts(least: int, window: int):
     """Suffix and preceding words (nearest first) of each listed position, as big-endian hashes; 0 pads, as hashes are never it."""
 
     def run(batches):
-        cache = _WordHashes()
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for key, text, at in zip(batch.column("key").to_pylist(), texts(batch.column("text")), batch.column("at").to_pylist(), strict=True):
-                words = np.maximum(word_hashes(text, cache), 1)
+                words = np.maximum(word_hashes(text), 1)
                 padded = np.concatenate([np.zeros(window - 1, np.uint32), words, np.zeros(least, np.uint32)]).astype(">u4")
                 for p in sorted(at):
                     out[0].append(key)
