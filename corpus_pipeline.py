@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.common import documents, materialize
+from tessera.llm.common import documents, materialize, small_batches
 from tessera.llm.exact_dedup import keep_one
 from tessera.llm.packing import default_tokenizer, pack
 from tessera.llm.pii import mask_pii
@@ -18,27 +18,27 @@ from tessera.llm.simhash import keep_first
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents inside the compression bands and the base rules."""
-    return keep_good(docs)
+    return keep_good(small_batches(docs))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    return keep_one(docs)
+    return keep_one(small_batches(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked fingerprints."""
-    return keep_first(docs)
+    return keep_first(small_batches(docs))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by its kind."""
-    return mask_pii(docs)
+    return mask_pii(small_batches(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in the packed sequences."""
-    return pack(docs, default_tokenizer())
+    return pack(small_batches(docs), default_tokenizer())
 
 
 STAGES = [("quality rules", quality_rules), ("exact dedup", exact_dedup), ("simhash near-dedup", near_dedup), ("pii", pii), ("packing", packing)]

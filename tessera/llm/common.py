@@ -43,6 +43,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that a worker is handed at once; with Spark's 10,000 a batch of long texts is several copies of many megabytes.
+BATCH_ROWS = 1_000
+
+
+def small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, whose session now hands Python workers at most ``BATCH_ROWS`` rows at a time."""
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return docs
+
+
 #: Rows of two numbers that are broadcast (some 32 MB); a larger table is joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 

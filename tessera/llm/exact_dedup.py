@@ -168,6 +168,7 @@ def exact_groups(docs: DataFrame, expected_rows: int | None = None) -> DataFrame
     sent = materialize(docs.mapInArrow(_fingerprints(hash_bits, owners), _SIGNED))
     light = sent.filter("kind = 0").select("doc_id", "n_chars", "sha", "fp", "part")
     answers = sent.filter("kind = 1").select("part", "owner", "n", "low_bits", "payload").groupBy("owner").applyInPandas(_answer, "part int, owner int, n int, low_bits int, payload binary, bitmap binary")
+    answers = materialize(answers)  # else owner and receiver run in one task, with a Python worker each
     across = answers.mapInArrow(_received(hash_bits, owners), "fp long")
     within = light.groupBy("part", "fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp")
     suspects = materialize(across.unionByName(within).distinct())

@@ -45,11 +45,12 @@ class BpeIds:
     """``ids(text)``: little-endian unsigned 32-bit ids, without special tokens; ``counted(text)``: how many."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self._t = Tokenizer.from_file(path)
-        self._t.encode_special_tokens = True  # their strings in a text are ordinary text
         self._ranked = ranked(path)
+        if not self._ranked:
+            from tokenizers import Tokenizer
+
+            self._t = Tokenizer.from_file(path)
+            self._t.encode_special_tokens = True  # their strings in a text are ordinary text
 
     def _encode(self, text: str) -> np.ndarray:
         if self._ranked:
