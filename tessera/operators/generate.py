@@ -168,3 +168,54 @@ def generate(spark: SparkSession, total: int, formats: list[str] | None = None,
     tags = F.coalesce(*(F.when(F.col("format_id") == f, F.array(*map(F.lit, FORMATS[f][0]))) for f in names))
     out = rows.select("ex_id", case(0).alias("question"), case(1).alias("answer"), "format_id", tags.alias("tags"), "difficulty")
     return out if curriculum else out.withColumn("shuffle_key", draw(seed, i))
+
+
+#: Formats whose value is an object that can take one more child; and those that can't stand inside another document,
+#: as namespaces are declared on the root.
+WRAPPERS = ["BasicEntity", "PropertyList", "ListOfSimpleEntities", "SpecialValues", "HeterogeneousList", "HintedEmptyNode", "ListOfAttributedEntities", "ListWithSpecialValues"]
+NOT_NESTED = ["NamespacedObject", "DeeplyNested"]
+
+
+def _choice(names: list[str], chosen: Column, seed: int, i: Column, n: Column) -> Pair:
+    pairs = {f: FORMATS[f][1](seed, i, n) for f in names}
+    return tuple(F.coalesce(*(F.when(chosen == f, p[k]) for f, p in pairs.items())) for k in (0, 1))
+
+
+def generate_nested(spark: SparkSession, total: int, max_depth: int = 4, seed: int = 42) -> DataFrame:
+    """``ex_id, question, answer, format_id, tags, difficulty, depth``: equal numbers of each depth, the remainder at the largest.
+
+    A document of depth d is a wrapper whose last child is a document of depth d - 1; its format is ``NestedLd(wrapper,child)``.
+    """
+    if max_depth < 1:
+        raise ValueError("a depth is at least 1")
+    i, per_level = F.col("ex_id"), max(1, total // max_depth)
+    low, high = LENGTHS["medium"]
+    base = [f for f in FORMATS if f not in NOT_NESTED]
+    rows = spark.range(total).withColumnRenamed("id", "ex_id").withColumn("depth", F.least(F.lit(max_depth), F.floor(i / per_level) + 1).cast("int"))
+    rows = rows.withColumn("n", low + draw_int(seed, high - low + 1, i, F.lit("n"))).withColumn("format_id", pick(base, seed, i, F.lit("format")))
+    xml, js = _choice(base, F.col("format_id"), seed, i, F.col("n"))
+    rows = rows.select("ex_id", "depth", "n", "format_id", xml.alias("question"), js.alias("answer"))
+    for d in range(2, max_depth + 1):
+        own, deeper = seed + d, F.col("depth") >= d
+        rows = rows.withColumn("wrapper", pick(WRAPPERS, own, i, F.lit("format")))
+        xml, js = _choice(WRAPPERS, F.col("wrapper"), own, i, F.col("n"))
+        rows = rows.withColumn("outer_xml", xml).withColumn("outer_js", js)
+        closing = _cat("</", _name(own, "r", i), ">")
+        rows = rows.select(
+            "ex_id", "depth", "n",
+            F.when(deeper, _cat(f"NestedL{d}(", F.col("wrapper"), ",", F.col("format_id"), ")")).otherwise(F.col("format_id")).alias("format_id"),
+            F.when(deeper, _cat(F.col("outer_xml").substr(F.lit(1), F.length("outer_xml") - F.length(closing)), F.col("question"), closing)).otherwise(F.col("question")).alias("question"),
+            F.when(deeper, _cat(F.col("outer_js").substr(F.lit(1), F.length("outer_js") - 2), ",", F.col("answer").substr(F.lit(2), F.length("answer") - 2), "}}")).otherwise(F.col("answer")).alias("answer"),
+        )
+    return rows.select("ex_id", "question", "answer", "format_id", F.array().cast("array<string>").alias("tags"), F.lit("medium").alias("difficulty"), "depth")
+
+
+def constituents(format_id: Column) -> Column:
+    """The base formats that a nested format's name is made of; a plain format is its own."""
+    return F.array_distinct(F.regexp_extract_all(format_id, F.lit("([A-Za-z]+)(?![A-Za-z0-9(])"), F.lit(1)))
+
+
+def nested_holdout(df: DataFrame, holdout: list[str]) -> DataFrame:
+    """``split``: test if any of the row's base formats is held out, else train."""
+    held = F.arrays_overlap(constituents(F.col("format_id")), F.array(*map(F.lit, holdout)).cast("array<string>"))
+    return df.withColumn("split", F.when(held, "test").otherwise("train"))

@@ -67,12 +67,12 @@ def _parse(text: str):
 
 
 def convert(text: str | None, booleans: bool = True) -> str | None:
-    """One document as compact JSON; null if it isn't well-formed."""
+    """One document as compact JSON; null if it isn't well-formed or nests too deeply for the interpreter."""
     try:
         root, prefixes, notes = _parse(text or "")
-    except ET.ParseError:
+        value = _value(root, prefixes, booleans, {p: u for u, p in prefixes.items() if p})
+    except (ET.ParseError, RecursionError):
         return None
-    value = _value(root, prefixes, booleans, {p: u for u, p in prefixes.items() if p})
     if notes:
         value = (value if isinstance(value, dict) else {} if value is None else {"#text": value}) | {"_processing_instructions": [dict([(n.split(None, 1) + [""])[:2]]) for n in notes]}
     return json.dumps({_local(root.tag, prefixes): value}, ensure_ascii=False, separators=(",", ":"))

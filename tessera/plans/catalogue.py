@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import columns as C
+from tessera.operators import blueprint as B
 from tessera.operators import curation as U
 from tessera.operators import generate as G
 from tessera.operators import scoring as S
@@ -212,6 +213,12 @@ def chunk_and_stitch(spark, sf):
     return whole.select("r_regionkey", F.size(n["region"]["nation"]).cast("long").alias("nations"))
 
 
+@query("""SELECT r_regionkey, '{"region":{"@name":"' || r_name || '","nation":[' || string_agg('"' || n_name || '"', ',' ORDER BY n_name) || ']}}' AS json, 0 AS n_missing FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY r_regionkey, r_name""")
+def blueprint_stitch(spark, sf):
+    """Documents cut by a blueprint, converted piece by piece and put together again."""
+    return B.convert_by_pieces(nation_xml(spark, sf), "r_regionkey", "xml", lambda parts: X.to_json(parts, "chunk")).withColumn("n_missing", F.col("n_missing").cast("int"))
+
+
 @query("SELECT event_id, props AS mended FROM events")
 def json_repair(spark, sf):
     broken = F.when(F.col("event_id") % 3 == 0, F.expr("left(props, length(props) - 1)")).when(F.col("event_id") % 3 == 1, F.concat(F.expr("left(props, length(props) - 1)"), F.lit(",}"))).otherwise(F.concat("props", F.lit("/>")))
@@ -305,3 +312,14 @@ def generated_pairs(spark, sf):
 @query("SELECT difficulty, n FROM (VALUES ('easy', 900), ('medium', 1200), ('hard', 900)) t(difficulty, n)")
 def difficulty_allocation(spark, sf):
     return G.generate(spark, 3000).groupBy("difficulty").agg(F.count("*").cast("int").alias("n"))
+
+
+@query("SELECT depth, 750 AS n, 0 AS different, 0 AS rebuilt_differently FROM (VALUES (1), (2), (3), (4)) t(depth)")
+def nested_pairs(spark, sf):
+    """Nested documents by depth: converted whole, and by pieces where they have no mixed content, they equal the JSON they were generated with."""
+    made = X.to_json(G.generate_nested(spark, 3000), "question", "converted")
+    plain = made.filter(~F.col("format_id").contains("OrderedMixedContent"))
+    pieces = B.convert_by_pieces(plain, "ex_id", "question", lambda parts: X.to_json(parts, "chunk")).select("ex_id", F.col("json").alias("pieced"))
+    both = made.join(pieces, "ex_id", "left")
+    odd = ~F.col("format_id").contains("OrderedMixedContent") & ~F.col("pieced").eqNullSafe(F.col("answer"))
+    return both.groupBy("depth").agg(F.count("*").cast("int").alias("n"), F.count_if(~F.col("converted").eqNullSafe(F.col("answer"))).cast("int").alias("different"), F.count_if(odd).cast("int").alias("rebuilt_differently"))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
+from tessera.operators import blueprint as B
 from tessera.operators import curation as U
 from tessera.operators import generate as G
 from tessera.operators import scoring as S
@@ -139,3 +140,54 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("limits", [B.Limits(), B.Limits(10, 5), B.Limits(10_000, 10_000)])
+@pytest.mark.parametrize(
+    "xml",
+    [
+        '<r xmlns:p="u"><p:c>v</p:c><p:c/><q p:k="1">' + "<z>1</z>" * 30 + "</q></r>",
+        '<r xmlns:p="u" p:a="1">t</r>',
+        '<r a="1" b="2"><a>x</a><b><c k="v"/></b><a>y</a></r>',
+        '<r><f type="list"/><f type="list"/><g>&lt;&amp;</g></r>',
+        '<r k="&quot;&lt;"><a/></r>',
+        "<r/>",
+        "<r>t</r>",
+    ],
+)
+def test_blueprint_gives_what_the_whole_document_does(xml, limits):
+    rows = B.records(xml, limits)
+    assert B.rebuilt([r | {"json": X.convert(r["chunk"])} for r in rows]) == (X.convert(xml), 0)
+
+
+def test_blueprint_pieces():
+    assert B.records(None) == B.records("<a") == []
+    shop = "<shop>" + "".join(f"<item>{i}</item>" for i in range(9)) + "<note><line>" + "x" * 60 + "</line></note></shop>"
+    rows = B.records(shop)
+    assert [r["kind"] for r in rows] == ["node", "batch", "batch", "batch", "batch", "batch", "node", "leaf"]
+    assert sum(r["n"] for r in rows if r["kind"] == "batch") == 9
+    assert all(len(r["chunk"]) < 50 for r in rows if r["kind"] == "batch")
+    apart = [r for r in B.records('<r one="1111111111" two="2222222222" type="list"><a/></r>') if r["kind"] == "attributes"]
+    assert [r["chunk"] for r in apart] == ['<r one="1111111111"/>', '<r two="2222222222"/>']
+
+
+def test_blueprint_counts_missing_results(spark):
+    docs = spark.createDataFrame([(1, "<r><a>1</a><b>2</b></r>"), (2, None), (3, "<r><"), (4, "<r/>")], "k int, x string")
+    infer = lambda parts: X.to_json(parts, "chunk").withColumn("json", F.when(F.col("chunk").contains("<b>"), "{,").otherwise(F.col("json")))
+    got = {r.k: (r.json, r.n_missing) for r in B.convert_by_pieces(docs, "k", "x", infer).collect()}
+    assert got == {1: ('{"r":{"a":"1"}}', 1), 4: ('{"r":null}', 0)}
+
+
+def test_nested_documents(spark):
+    made = X.to_json(G.generate_nested(spark, 101, 3), "question", "converted").collect()
+    assert [sum(r.depth == d for r in made) for d in (1, 2, 3)] == [33, 33, 35]
+    assert all(r.converted == r.answer for r in made)
+    assert all(r.format_id.count("NestedL") == r.depth - 1 for r in made)
+    with pytest.raises(ValueError):
+        G.generate_nested(spark, 10, 0)
+
+
+def test_nested_holdout(spark):
+    rows = spark.createDataFrame([("NestedL3(PropertyList,NestedL2(BasicEntity,CDataField))",), ("CDataField",), ("NestedL2(PropertyList,BasicEntity)",), (None,)], "format_id string")
+    assert one(spark, G.constituents(F.lit(rows.first().format_id))) == ["PropertyList", "BasicEntity", "CDataField"]
+    assert [r.split for r in G.nested_holdout(rows, ["CDataField"]).collect()] == ["test", "test", "train", "train"]
