@@ -76,3 +76,27 @@ def schema_of(df: DataFrame, *extra: T.StructField) -> T.StructType:
 def texts(column) -> list[str]:
     """An Arrow string column as Python strings; null becomes the empty text."""
     return [x if x is not None else "" for x in column.to_pylist()]
+
+
+def keep_rows(docs: DataFrame, decided: DataFrame, keyed) -> DataFrame:
+    """The rows of ``docs`` that ``decided`` keeps, and one of those alike in id and key; columns unchanged.
+
+    ``decided`` is a written table with ``doc_id``, ``key`` and ``keep`` of every row. An id
+    decides where all its rows go one way; else, ids being null or repeated, the key does:
+    ``keyed(docs)`` appends it as column ``_row_key``, and is asked of those rows alone.
+    """
+    columns, own = docs.columns, F.col("doc_id").isNull()
+    by_id = materialize(decided.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("keep").alias("any")).filter("n > 1 or not any").select(F.col("doc_id").alias("_id"), "any"))
+    null = by_id.filter("_id is null").first()
+    listed = small_or_shuffled(by_id.filter("_id is not null"))
+    plain = docs.filter(~own).join(listed, F.col("doc_id") == F.col("_id"), "left_anti")
+    if null is None:
+        plain = plain.unionByName(docs.filter(own))
+    if by_id.filter("any").isEmpty():
+        return plain
+    mixed = docs.filter(~own).join(small_or_shuffled(by_id.filter("any and _id is not null")), F.col("doc_id") == F.col("_id"), "left_semi")
+    if null is not None and null["any"]:
+        mixed = mixed.unionByName(docs.filter(own))
+    held = materialize(decided.join(small_or_shuffled(by_id.filter("any")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").filter("keep").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct())
+    kept = keyed(mixed).join(small_or_shuffled(held), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row_key") == F.col("_key")), "left_semi")
+    return plain.unionByName(kept.dropDuplicates(["doc_id", "_row_key"]).select(*columns))

@@ -28,8 +28,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import documents, materialize, shuffle_partitions, small_or_shuffled, texts
+from .common import documents, keep_rows, materialize, schema_of, shuffle_partitions, texts
 from .components import components
 
 SHINGLE = 4
@@ -242,31 +243,48 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return keyed.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(_bucket_links(radius), "u long, v long")
 
 
-def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``doc_id, fp, component_id`` of every row."""
+def _rooted(docs: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, fp`` of every row, and ``fp, least, root`` of every fingerprint: its least id and its component's name."""
     prints = materialize(docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long"))
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     joined = components(links(nodes.select("fp"), radius)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
-    rooted = nodes.join(joined, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return prints, nodes.join(joined, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
+def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``doc_id, fp, component_id`` of every row."""
+    prints, rooted = _rooted(docs, radius)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one document of each group, the one with the smallest id; columns unchanged.
+def keep_one_each(docs: DataFrame, rows: DataFrame, rooted: DataFrame, keyed) -> DataFrame:
+    """``docs`` with one row of each component: the smallest id, null after all others, then the smallest key.
 
-    Rows without an id stay unless their group has one with an id; repeated rows of the document that stays become one.
+    ``rows`` has ``doc_id, key`` of every row, ``rooted`` ``key, least, root`` of every key;
+    ``keyed`` appends the key as ``_row_key``.
     """
-    groups = near_groups(docs, radius)
-    decided = materialize(groups.groupBy("doc_id").agg(F.count("*").alias("n"), F.min((F.col("component_id").eqNullSafe(F.col("doc_id"))).cast("int")).alias("stays")))
-    dropped = decided.filter("stays = 0").select(F.col("doc_id").alias("_near_id"))
-    kept = docs.join(small_or_shuffled(dropped), docs["doc_id"].eqNullSafe(dropped["_near_id"]), "left_anti")
-    twice = decided.filter("stays = 1 and n > 1").select(F.col("doc_id").alias("_near_id"))
-    if twice.isEmpty():
-        return kept
-    on = docs["doc_id"].eqNullSafe(twice["_near_id"])
-    return kept.join(twice, on, "left_anti").unionByName(kept.join(twice, on, "left_semi").dropDuplicates(["doc_id"]))
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "key")).alias("f")
+    chosen = rooted.groupBy("root").agg(first).select(F.col("f.least").alias("_least"), F.col("f.key").alias("key"))
+    kept = F.col("_chosen").isNotNull() & F.col("doc_id").eqNullSafe(F.col("_least"))
+    decided = rows.join(chosen.withColumn("_chosen", F.lit(True)), "key", "left").select("doc_id", "key", kept.alias("keep"))
+    return keep_rows(docs, materialize(decided), keyed)
+
+
+def _with_fingerprint(docs: DataFrame) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            prints = np.fromiter(map(fingerprint, texts(batch.column("text"))), np.uint64, len(batch))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints.view(np.int64))], names=[*batch.schema.names, "_row_key"])
+
+    return docs.mapInArrow(run, schema_of(docs, T.StructField("_row_key", T.LongType())))
+
+
+def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``docs`` with one row of each group, columns unchanged: the smallest id, or a row without one if the group has no other."""
+    prints, rooted = _rooted(docs, radius)
+    return keep_one_each(docs, prints.withColumnRenamed("fp", "key"), materialize(rooted.withColumnRenamed("fp", "key")), _with_fingerprint)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,6 +88,14 @@ def test_keep_first(spark, docs_of, corpus):
     assert Counter(kept) == Counter({c for _, _, c in labels})
 
 
+def test_keep_first_decides_by_row_where_ids_are_null_or_repeated(spark, docs_of):
+    rng = np.random.default_rng(8)
+    a, b, c, d, e = (" ".join(f"w{rng.integers(10**6)}" for _ in range(80)) for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (1, c), (None, c), (2, d), (2, e), (1, d), (3, e), (2, e)]
+    kept = Counter((r.doc_id, r.text) for r in simhash.keep_first(docs_of(rows).repartition(3)).collect())
+    assert kept == Counter([(None, a), (None, b), (1, c), (1, d), (2, e)])
+
+
 @pytest.mark.parametrize("hot", [False, True])
 def test_links_connect_all_within_the_radius(spark, hot, monkeypatch):
     rng = np.random.default_rng(4)
