@@ -30,8 +30,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import ASCII_SPACE, documents, materialize, shuffle_partitions, small_or_shuffled, texts
+from .common import ASCII_SPACE, documents, keep_rows, materialize, schema_of, shuffle_partitions, texts
 
 #: Hashes an owner decodes at a time, at most, on average.
 OWNER_HASHES = 1_000_000
@@ -210,18 +211,23 @@ def _split_id(best):
     return F.when(r > F.lit(_NULL_ID), r - unit).otherwise(r)
 
 
+def _with_digest(docs: DataFrame) -> DataFrame:
+    """SHA-256 and number of code points as ``_row_key``."""
+
+    def run(batches):
+        for batch in batches:
+            raw = texts(batch.column("text"))
+            keys = [hashlib.sha256(normalised(x)).digest() + len(x).to_bytes(8, "big") for x in raw]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=[*batch.schema.names, "_row_key"])
+
+    return docs.mapInArrow(run, schema_of(docs, T.StructField("_row_key", T.BinaryType())))
+
+
 def keep_one(docs: DataFrame, expected_rows: int | None = None) -> DataFrame:
     """``docs`` with one row of each group of equal texts, its columns unchanged."""
-    groups = materialize(exact_groups(docs, expected_rows))
-    dropped = materialize(groups.filter("not is_best").select(F.col("doc_id").alias("_dropped_id"), F.col("n_chars").alias("_dropped_chars")).distinct())
-    same = docs["doc_id"].eqNullSafe(dropped["_dropped_id"]) & (F.length(F.coalesce(docs["text"], F.lit(""))) == dropped["_dropped_chars"])
-    kept = docs.join(small_or_shuffled(dropped), same, "left_anti")
-    # repeated rows: several rows attain the best key; they are alike, and one stays
-    tied = materialize(groups.filter("is_best and group_size > 1").groupBy("sha").agg(F.first("doc_id").alias("_tied_id"), F.count("*").alias("n")).filter("n > 1").select("_tied_id").distinct())
-    if tied.isEmpty():
-        return kept
-    on = docs["doc_id"].eqNullSafe(tied["_tied_id"])
-    return kept.join(tied, on, "left_anti").unionByName(kept.join(tied, on, "left_semi").dropDuplicates(["doc_id", "text"]))
+    key = F.concat("sha", F.unhex(F.lpad(F.hex("n_chars"), 16, "0")))
+    decided = exact_groups(docs, expected_rows).select("doc_id", key.alias("key"), F.col("is_best").alias("keep"))
+    return keep_rows(docs, materialize(decided), _with_digest)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

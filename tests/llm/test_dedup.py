@@ -43,6 +43,12 @@ def test_keep_one(spark, docs_of, corpus):
     assert len(norms) == len(set(norms)) == len({SPACE.sub("", t or "") for _, t in corpus})
 
 
+def test_keep_one_decides_by_text_where_ids_are_null_or_repeated(spark, docs_of):
+    rows = [(1, "a b c"), (None, "a b c"), (None, "q r s"), (None, "x y z"), (None, "x y z"), (None, "x yz "), (5, "d e f"), (5, "g h i"), (4, "d e f"), (None, "v w"), (6, "vw"), (7, "m n"), (7, "mn ")]
+    kept = Counter((r.doc_id, SPACE.sub("", r.text)) for r in keep_one(docs_of(rows).repartition(3)).collect())
+    assert kept == Counter([(1, "abc"), (None, "qrs"), (None, "xyz"), (5, "ghi"), (4, "def"), (None, "vw"), (7, "mn")])
+
+
 def test_negative_ids_and_empty_table(spark, docs_of):
     rows = [(-5, "a b"), (3, "ab"), (-(2**62), "a b"), (2**62, "q"), (1, "q")]
     got = {r.doc_id: r.keep_id for r in exact_groups(docs_of(rows)).collect()}
