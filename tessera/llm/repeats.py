@@ -10,7 +10,7 @@
    and the match extended to the left and the right. Ties in the sort go by document
    and position, so a passage that a third of all documents share is spread over tasks.
 4. The best neighbour to the right isn't always the best to the left. Suffixes
-   whose beginning three or more documents have, and whose match stops within the
+   whose beginning is found at three or more places, and whose match stops within the
    context, and those at the edge of a task, are resolved exactly: they, and all
    with the same beginning, are grouped on the hashes of every ``least``-word
    window around them.
@@ -141,7 +141,7 @@ def _compared(least: int, window: int):
         begun = suffix[:, head_words - 1] != 0
         same = np.append(False, (suffix[1:, :head_words] == suffix[:-1, :head_words]).all(1))
         group = np.cumsum(~same) - 1
-        documents_in = np.bincount(group, np.append(True, (key[1:] != key[:-1]) | ~same[1:]))[group]
+        rows_in = np.bincount(group)[group]
         edge = (group == 0) | (group == group[-1])  # others of the group may be in the next task
         left, right, reach = (np.zeros(n, np.int64) for _ in range(3))
         match = np.zeros(n, bool)
@@ -154,9 +154,9 @@ def _compared(least: int, window: int):
             match[i] |= long
             left[i] = np.maximum(left[i], np.where(long, l, 0))
             right[i] = np.maximum(right[i], np.where(long, r, 0))
-        # a third document may agree further where a neighbour stops within the context
+        # a third document, or another place of the second, may agree further where a neighbour stops within the context
         whole = match & (left == window - 1) & (right == reach)
-        open_ = begun & (edge | (reach >= head_words) & (documents_in > 2) & ~whole)
+        open_ = begun & (edge | (reach >= head_words) & (rows_in > 2) & ~whole)
         heads = shingle_hashes(suffix[open_, :head_words].ravel(), head_words)[::head_words].view(np.int64) if open_.any() else np.empty(0, np.int64)
         heads = np.unique(heads)
         m, h = int(match.sum()), len(heads)

@@ -65,6 +65,17 @@ def test_one_passage_in_most_documents(spark, docs_of):
     assert spans(spark, docs_of, rows) == brute_repeats(rows, 50)
 
 
+def test_passage_whole_at_one_place_of_two_documents_and_cut_at_another(spark, docs_of):
+    rng = random.Random(13)
+    prose = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
+    rows = []
+    for k in range(60):
+        passage = prose(60)
+        rows.append((2 * k, f"{prose(40)} {passage} {prose(40)}"))
+        rows.append((2 * k + 1, f"{prose(40)} {passage} {prose(40)} {' '.join(passage.split()[20:])} {prose(40)}"))
+    assert spans(spark, docs_of, rows) == brute_repeats(rows, 50)
+
+
 # ---- sharding
 
 def check_shards(rows, out, shards):
