@@ -42,6 +42,26 @@ def test_quality_keeps_prose_and_drops_repetition_and_noise(spark, docs_of, corp
     assert quality.compression_report(docs_of([])).count() == 0
 
 
+def test_quality_judges_every_byte():
+    """Base64 in the bytes after the last full chunk, and in texts shorter than a chunk."""
+    import base64
+    import random
+
+    import zstandard
+
+    compressor, rng = zstandard.ZstdCompressor(level=3), random.Random(3)
+    common = "the of and to in that was he it with as for his on be at by had not are but from or have an they which one you were her all she there would their we him been has when who will more no if out so said what up its about into than them can only other new some could time these two may then do first any my now such like our over man me even most made after also did many before must through back years where much your way well down should because each just those people how too little state good very make world still own see men work long get here between both life being under never day same another know while last might us great old year off come since against go came right used take three".split()
+    for size, share in ((1600, 0.6), (900, 0.65), (4000, 0.48)):
+        for _ in range(20):
+            prose = " ".join(rng.choice(common) for _ in range(size))
+            noise = base64.b64encode(rng.randbytes(size)).decode()
+            k = int(size * share)
+            got = dict(zip([n for n, _ in quality.FIELDS], quality.measure(prose[: size - k - 1] + " " + noise[:k], compressor), strict=True))
+            clean = dict(zip([n for n, _ in quality.FIELDS], quality.measure(prose[:size], compressor), strict=True))
+            assert not got["base_failed"] and not got["kept"] and clean["kept"]
+            assert clean["n_chunks"] == max(1, -(-size // 2048)) and clean["n_bad_chunks"] == 0
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
