@@ -13,7 +13,7 @@ from tessera.llm.exact_dedup import keep_one
 from tessera.llm.packing import default_tokenizer, pack
 from tessera.llm.pii import mask_pii
 from tessera.llm.quality import keep_good
-from tessera.llm.simhash import keep_first
+from tessera.llm.similar import keep_one_similar
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +27,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints."""
-    return keep_first(small_batches(docs))
+    """One document of each group of texts linked by five-word shingles, similarity 0.8 or more."""
+    return keep_one_similar(small_batches(docs))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(small_batches(docs), default_tokenizer())
 
 
-STAGES = [("quality rules", quality_rules), ("exact dedup", exact_dedup), ("simhash near-dedup", near_dedup), ("pii", pii), ("packing", packing)]
+STAGES = [("quality rules", quality_rules), ("exact dedup", exact_dedup), ("near-dedup", near_dedup), ("pii", pii), ("packing", packing)]
 
 #: Fingerprints, compression ratios and tokens have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
