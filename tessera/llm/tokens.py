@@ -1,8 +1,11 @@
 """Byte-level BPE ids of whole texts.
 
 A text goes through tiktoken where the file's merges are ranked by id, as then both
-libraries give the same ids; else through tokenizers itself. Nothing is cached: with
-many distinct words, looking them up costs more than merging them again.
+libraries give the same ids; else through tokenizers itself, as do the rare texts whose
+runs of white space (about a million characters) exhaust tiktoken's pattern engine.
+The file's added tokens are split off first, as tokenizers does: where one stands in a
+text, it is one id. Nothing is cached: with many distinct words, looking them up costs
+more than merging them again.
 """
 
 from __future__ import annotations
@@ -36,26 +39,35 @@ def ranked(path: str):
     letters = byte_letters()
     if any(a >= b for a, b in zip(merged, merged[1:], strict=False)) or len(merged) + 256 > len(model["vocab"]):
         return None
-    special = {t["content"] for t in spec["added_tokens"]}
+    added = spec["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+        return None
+    special = {t["content"]: t["id"] for t in added}
     ranks = {bytes(letters[c] for c in w): i for w, i in model["vocab"].items() if w not in special}
-    return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 class BpeIds:
-    """``ids(text)``: little-endian unsigned 32-bit ids, without special tokens; ``counted(text)``: how many."""
+    """``ids(text)``: little-endian unsigned 32-bit ids as tokenizers gives them with ``add_special_tokens=False``; ``counted(text)``: how many."""
 
     def __init__(self, path: str):
-        self._ranked = ranked(path)
-        if not self._ranked:
+        self._path, self._slow, self._ranked = path, None, ranked(path)
+
+    def _library(self):
+        if self._slow is None:
             from tokenizers import Tokenizer
 
-            self._t = Tokenizer.from_file(path)
-            self._t.encode_special_tokens = True  # their strings in a text are ordinary text
+            self._slow = Tokenizer.from_file(self._path)
+        return self._slow
 
     def _encode(self, text: str) -> np.ndarray:
         if self._ranked:
-            return self._ranked.encode_to_numpy(text, disallowed_special=())
-        return np.array(self._t.encode(text, add_special_tokens=False).ids, np.uint32)
+            try:
+                return self._ranked.encode_to_numpy(text, allowed_special="all")
+            except ValueError as e:  # raised before any id is given
+                if "backtracking" not in str(e):
+                    raise
+        return np.array(self._library().encode(text, add_special_tokens=False).ids, np.uint32)
 
     def ids(self, text: str) -> bytes:
         return self._encode(text).astype("<u4", copy=False).tobytes()

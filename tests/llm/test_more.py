@@ -208,7 +208,6 @@ def test_sentencepiece_documents(spark, docs_of, corpus, models):
 
 def test_histogram_and_limits(spark, docs_of, corpus):
     t = Tokenizer.from_file(default_tokenizer())
-    t.encode_special_tokens = True
     lengths = [len(t.encode(x or "", add_special_tokens=False).ids) for _, x in corpus]
     sums = token_counts.suffix_sums(token_counts.histogram(docs_of(corpus), default_tokenizer()))
     got = {r.n_tokens: r for r in sums.collect()}

@@ -12,13 +12,12 @@ from tessera.llm.tokens import BpeIds
 @pytest.fixture(scope="module")
 def plain():
     t = Tokenizer.from_file(default_tokenizer())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
 def test_ids_equal_the_library(plain, corpus):
     ours = BpeIds(default_tokenizer())
-    odd = ["a  b", " a", "a ", "a\n\nb", "a\nb", "it's don't’s", "x y z", "1 2 3.14 a1b", "　", "a \n b", "tab\t x", "…a …b", "\x1c a\x85b c"]
+    odd = ["a  b", " a", "a ", "a\n\nb", "a\nb", "it's don't’s", "x y z", "1 2 3.14 a1b", "　", "a \n b", "tab\t x", "…a …b", "\x1c a\x85b c", "hello <|endoftext|> world", "<|endoftext|><|endoftext|>", "a<|endoftext|", "x" + " " * 1_100_000 + "y", "\n" * 1_000_500]
     for text in [t or "" for _, t in corpus] + odd:
         assert np.frombuffer(ours.ids(text), "<u4").tolist() == plain(text), repr(text[:80])
 
