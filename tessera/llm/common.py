@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,13 +21,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@lru_cache
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="tessera-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is configured."""
+    """The cluster's shared folder; a temporary one only where driver and executors are one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    if base:
+        return base
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return _own_dir()
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -45,14 +55,30 @@ def materialize(df: DataFrame) -> DataFrame:
 
 #: Rows that a worker is handed at once; with Spark's 10,000 a batch of long texts is several copies of many megabytes.
 BATCH_ROWS = 1_000
+#: Bytes of text that are Python objects at once; a longer text stands alone.
+BATCH_BYTES = 16 << 20
+
 
+def _slices(batches, column: str):
+    for batch in batches:
+        ends, at = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64)), 0
+        while at < len(ends):
+            most = (ends[at - 1] if at else 0) + BATCH_BYTES
+            upto = max(at + 1, int(np.searchsorted(ends, most, "right")))
+            yield batch.slice(at, upto - at)
+            at = upto
 
-def small_batches(docs: DataFrame) -> DataFrame:
-    """``docs``, whose session now hands Python workers at most ``BATCH_ROWS`` rows at a time."""
+
+def map_texts(docs: DataFrame, fn, schema, column: str = "text") -> DataFrame:
+    """``docs.mapInArrow(fn, schema)`` with batches that are bounded in rows and in bytes of ``column``.
+
+    The bound on rows is a setting of the session, which the plan takes up when it
+    runs: it is lowered where it is higher.
+    """
     conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(key)) <= BATCH_ROWS:
         conf.set(key, str(BATCH_ROWS))
-    return docs
+    return docs.mapInArrow(lambda batches: fn(_slices(batches, column)), schema)
 
 
 #: Rows of two numbers that are broadcast (some 32 MB); a larger table is joined by a shuffle.
@@ -64,6 +90,24 @@ def small_or_shuffled(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+#: Rows of one key that a task is given at most; keys with more are joined by a broadcast.
+HOT_ROWS = 100_000
+
+
+def join_one(big: DataFrame, small: DataFrame, key: str, rows: str, how: str = "left", whole: int = BROADCAST_ROWS) -> DataFrame:
+    """``big`` joined with the written table ``small``, which has one row a key and says in column ``rows`` how many rows of ``big`` have it.
+
+    A table of up to ``whole`` rows is broadcast whole. Of a larger one the keys with over ``HOT_ROWS``
+    rows are - there is at most one for each ``HOT_ROWS`` rows of ``big`` - so that no
+    task of the shuffle join gets more than its share.
+    """
+    if whole and small.count() <= whole:
+        return big.join(F.broadcast(small.drop(rows)), key, how)
+    hot = F.broadcast(small.filter(F.col(rows) > HOT_ROWS).drop(rows))
+    rest = small.filter(F.col(rows) <= HOT_ROWS).drop(rows)
+    return big.join(hot, key).unionByName(big.join(hot.select(key), key, "left_anti").join(rest, key, how))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

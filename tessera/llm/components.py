@@ -11,19 +11,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import BROADCAST_ROWS, join_one, materialize
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _with_least(links: DataFrame, small: bool) -> tuple[DataFrame, DataFrame]:
+    """Every link with the least neighbour ``m`` of its ``u``, and ``u, m`` alone; a hub's links are spread over tasks."""
+    least = links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    if small:
+        return links.join(F.broadcast(least.drop("n")), "u"), least
+    least = materialize(least)
+    return join_one(links, least, "u", "n", "inner"), least
+
+
+def _large_star(links: DataFrame, small: bool) -> DataFrame:
     both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+    joined, _ = _with_least(both, small)
+    return joined.filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).filter("u != v").distinct()
 
 
-def _small_star(links: DataFrame) -> DataFrame:
-    down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
+def _small_star(links: DataFrame, small: bool) -> DataFrame:
+    joined, least = _with_least(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), small)
+    moved = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -39,4 +47,5 @@ def components(links: DataFrame) -> DataFrame:
         if state.n == 0 or tuple(state) == mark:
             return now
         mark = tuple(state)
-        now = materialize(_small_star(_large_star(now)))
+        small = 2 * state.n <= BROADCAST_ROWS  # a node has a link, so there are at most twice as many nodes
+        now = materialize(_small_star(_large_star(now, small), small))

@@ -32,10 +32,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_SPACE, documents, keep_rows, materialize, schema_of, shuffle_partitions, texts
+from .common import ASCII_SPACE, documents, join_one, keep_rows, map_texts, materialize, schema_of, shuffle_partitions, texts
 
-#: Hashes an owner decodes at a time, at most, on average.
-OWNER_HASHES = 1_000_000
+#: Hashes an owner decodes at a time, at most, on average. Owners are as few as that allows, so that
+#: messages are long and the code saves something: there are never more messages than hashes.
+OWNER_HASHES = 4_000_000
 #: Bits of a hash beyond log2(rows): a false suspect has a chance of 2**-SPARE_BITS.
 SPARE_BITS = 10
 #: Duplicated hashes are broadcast up to this many (8 bytes each); beyond it they are joined by a shuffle.
@@ -166,7 +167,7 @@ def exact_groups(docs: DataFrame, expected_rows: int | None = None) -> DataFrame
     rows = docs.count() if expected_rows is None else expected_rows
     hash_bits = min(62, max(16, rows.bit_length() + SPARE_BITS))
     owners = max(shuffle_partitions(spark), -(-rows // OWNER_HASHES))
-    sent = materialize(docs.mapInArrow(_fingerprints(hash_bits, owners), _SIGNED))
+    sent = materialize(map_texts(docs, _fingerprints(hash_bits, owners), _SIGNED))
     light = sent.filter("kind = 0").select("doc_id", "n_chars", "sha", "fp", "part")
     answers = sent.filter("kind = 1").select("part", "owner", "n", "low_bits", "payload").groupBy("owner").applyInPandas(_answer, "part int, owner int, n int, low_bits int, payload binary, bitmap binary")
     answers = materialize(answers)  # else owner and receiver run in one task, with a Python worker each
@@ -179,7 +180,7 @@ def exact_groups(docs: DataFrame, expected_rows: int | None = None) -> DataFrame
     own_id = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(_NULL_ID))
     best = (rank - own_id).cast("decimal(38,0)")
     verified = (
-        docs.mapInArrow(_suspect_texts(hash_bits), "doc_id long, n_chars long, fp long, sha binary, norm binary")
+        map_texts(docs, _suspect_texts(hash_bits), "doc_id long, n_chars long, fp long, sha binary, norm binary")
         .join(held, "fp", "left_semi")
         .withColumn("best", best)
         .groupBy("sha", "norm")
@@ -191,11 +192,11 @@ def exact_groups(docs: DataFrame, expected_rows: int | None = None) -> DataFrame
         .agg(F.max("best").alias("best"), F.sum("group_size").alias("group_size"), F.count("*").alias("variants"))
         .withColumn("group_size", F.when(F.col("variants") > 1, F.raise_error(F.lit("two different texts share a SHA-256")).cast("long")).otherwise(F.col("group_size")))
         .filter("group_size > 1")
-        .select(F.col("sha").alias("g_sha"), F.col("best").alias("g_best"), "group_size")
+        .select("sha", F.col("best").alias("g_best"), "group_size", F.col("group_size").alias("members"))
     )
     own = light.withColumn("best", best)
     return (
-        own.join(groups, F.col("sha") == F.col("g_sha"), "left")
+        join_one(own, materialize(groups), "sha", "members")
         .select("doc_id", "n_chars", "sha", "best", F.coalesce("g_best", "best").alias("g_best"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"))
         .withColumn("is_best", F.col("best") == F.col("g_best"))
         .withColumn("keep_key", (_split_id(F.col("g_best"))))
@@ -220,7 +221,7 @@ def _with_digest(docs: DataFrame) -> DataFrame:
             keys = [hashlib.sha256(normalised(x)).digest() + len(x).to_bytes(8, "big") for x in raw]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=[*batch.schema.names, "_row_key"])
 
-    return docs.mapInArrow(run, schema_of(docs, T.StructField("_row_key", T.BinaryType())))
+    return map_texts(docs, run, schema_of(docs, T.StructField("_row_key", T.BinaryType())))
 
 
 def keep_one(docs: DataFrame, expected_rows: int | None = None) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, materialize, texts
+from .common import documents, map_texts, materialize, texts
 from .tokens import bpe
 
 WINDOW = 1024
@@ -183,7 +183,7 @@ def _placed(runs: np.ndarray, keep_ids: bool):
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, keep_ids: bool = False) -> DataFrame:
     """Every piece of every document with its place: ``doc_id, start, length, ids_crc32, doc_tokens[, ids], sequence_id, offset``."""
     ids = ", ids array<int>" * keep_ids
-    pieces = materialize(docs.select("doc_id", "text").mapInArrow(_cut(tokenizer, window, keep_ids), f"part int, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, local long{ids}"))
+    pieces = materialize(map_texts(docs.select("doc_id", "text"), _cut(tokenizer, window, keep_ids), f"part int, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, local long{ids}"))
     by_part = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = by_part.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
     counts = np.zeros(window + 1, np.int64)

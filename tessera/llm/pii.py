@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import documents, schema_of, texts
+from .common import documents, map_texts, schema_of, texts
 
 KINDS = ("email", "ip", "card", "phone")
 EXTRA_KINDS = ("iban", "card_other", "ssn", "routing", "phone_local", "mac")
@@ -180,12 +180,12 @@ def pii_report(docs: DataFrame) -> DataFrame:
     """Spans of every row: counts by base kind, the digest of the base spans, and all spans."""
     docs = docs.select("doc_id", "text")
     long, string = T.LongType(), T.StringType()
-    return docs.mapInArrow(_report, T.StructType([docs.schema["doc_id"], *(T.StructField(f"n_{k}", long) for k in KINDS), T.StructField("base_sha256", string), T.StructField("spans", string), T.StructField("n_extra", long)]))
+    return map_texts(docs, _report, T.StructType([docs.schema["doc_id"], *(T.StructField(f"n_{k}", long) for k in KINDS), T.StructField("base_sha256", string), T.StructField("spans", string), T.StructField("n_extra", long)]))
 
 
 def mask_pii(docs: DataFrame) -> DataFrame:
     """``docs`` with every span in ``text`` replaced by its kind; null stays null; other columns unchanged."""
-    return docs.mapInArrow(_masked, schema_of(docs))
+    return map_texts(docs, _masked, schema_of(docs))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import documents, texts
+from .common import documents, map_texts, texts
 
 SPACE = "▁"
 CACHE_WORDS = 150_000
@@ -330,11 +330,11 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id, ids, begins, ends, decoded``: pieces with their byte spans in the original, and the round trip."""
     docs = docs.select("doc_id", "text")
     ints = T.ArrayType(T.IntegerType())
-    return docs.mapInArrow(_pieces(path), T.StructType([docs.schema["doc_id"], *(T.StructField(c, ints) for c in ("ids", "begins", "ends")), T.StructField("decoded", T.StringType())]))
+    return map_texts(docs, _pieces(path), T.StructType([docs.schema["doc_id"], *(T.StructField(c, ints) for c in ("ids", "begins", "ends")), T.StructField("decoded", T.StringType())]))
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    return docs.mapInArrow(_digests(public_tokenizers.path("piece_bpe_32k.model")), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_crc32 long, round_trip boolean")
+    return map_texts(docs, _digests(public_tokenizers.path("piece_bpe_32k.model")), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_crc32 long, round_trip boolean")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, keep_rows, materialize, schema_of, shuffle_partitions, texts
+from .common import documents, join_one, keep_rows, map_texts, materialize, schema_of, shuffle_partitions, texts
 from .components import components
 
 SHINGLE = 4
@@ -51,7 +51,11 @@ def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
         return h(line, seed)
     ends = list(accumulate(map(len, words), lambda a, n: a + 1 + n))
     starts = [0, *(e + 1 for e in ends[:-shingle])]
-    hashes = np.fromiter((h(line[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :], strict=True)), np.uint64, len(starts))
+    return majority(np.fromiter((h(line[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :], strict=True)), np.uint64, len(starts)))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 15):
         counts += np.unpackbits(hashes[i : i + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -110,10 +114,10 @@ def _rows(mask: np.ndarray, n: int) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(mask.view(np.uint8), bitorder="little")[:n])
 
 
-def near_in_runs(keys: np.ndarray, values: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows at most ``radius`` bits apart among rows with equal keys (rows sorted by key), by the distance of the rows."""
+def near_in_runs(keys: np.ndarray, values: np.ndarray, radius: int = RADIUS, lags: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows at most ``radius`` bits apart among rows with equal keys (rows sorted by key), by the distance of the rows, up to ``lags``."""
     planes, n, left, right = bit_planes(values), len(values), [], []
-    for lag in range(1, n):
+    for lag in range(1, n if lags is None else min(n, lags + 1)):
         same = np.zeros(planes.shape[1] * 64, np.uint8)
         same[: n - lag] = keys[:-lag] == keys[lag:]
         if not same.any():
@@ -131,6 +135,23 @@ def near_in_runs(keys: np.ndarray, values: np.ndarray, radius: int = RADIUS) ->
     return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, np.int64),) * 2
 
 
+def near_all(asked: np.ndarray, planes: np.ndarray, n: int, radius: int) -> np.ndarray:
+    """For each value asked a mask of the ``n`` values in ``planes`` that are near it."""
+    flip = np.where(asked[:, None] >> np.arange(64, dtype=np.uint64) & np.uint64(1), _ONES, np.uint64(0))
+    live = np.zeros(planes.shape[1] * 64, np.uint8)
+    live[:n] = 1
+    live = np.broadcast_to(np.packbits(live, bitorder="little").view("<u8"), (len(asked), planes.shape[1])).copy()
+    return _count(lambda b, w: planes[b][w][None, :] ^ flip[:, b][:, None], live, radius)
+
+
+def near_heads(values: np.ndarray, heads: np.ndarray, radius: int) -> np.ndarray:
+    """Rows whose two values are near each other."""
+    a, b = bit_planes(values), bit_planes(heads)
+    live = np.zeros(a.shape[1] * 64, np.uint8)
+    live[: len(values)] = 1
+    return _rows(_count(lambda i, w: a[i][w] ^ b[i][w], np.packbits(live, bitorder="little").view("<u8").copy(), radius), len(values))
+
+
 def parts_of_run(values: np.ndarray, radius: int = RADIUS, block: int = 64) -> np.ndarray:
     """For each value of a long run the position of one member of its part.
 
@@ -146,11 +167,7 @@ def parts_of_run(values: np.ndarray, radius: int = RADIUS, block: int = 64) -> n
         while len(queue) and len(rest):
             asked, queue = queue[:block], queue[block:]
             planes = bit_planes(values[rest])
-            flip = np.where(values[asked][:, None] >> np.arange(64, dtype=np.uint64) & np.uint64(1), _ONES, np.uint64(0))
-            live = np.zeros(planes.shape[1] * 64, np.uint8)
-            live[: len(rest)] = 1
-            live = np.broadcast_to(np.packbits(live, bitorder="little").view("<u8"), (len(asked), planes.shape[1])).copy()
-            near = np.bitwise_or.reduce(_count(lambda b, w, p=planes, f=flip: p[b][w][None, :] ^ f[:, b][:, None], live, radius), axis=0)
+            near = np.bitwise_or.reduce(near_all(values[asked], planes, len(rest), radius), axis=0)
             found = _rows(near, len(rest))
             if len(found):
                 part[rest[found]] = seed
@@ -244,31 +261,33 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def _rooted(docs: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
-    """``doc_id, fp`` of every row, and ``fp, least, root`` of every fingerprint: its least id and its component's name."""
-    prints = materialize(docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long"))
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    """``doc_id, fp`` of every row, and ``fp, copies, least, root`` of every fingerprint: its rows, their least id and its component's name."""
+    prints = materialize(map_texts(docs.select("doc_id", "text"), _fingerprints, "doc_id long, fp long"))
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
     joined = components(links(nodes.select("fp"), radius)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
-    return prints, nodes.join(joined, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return prints, nodes.join(joined, "fp", "left").select("fp", "copies", "least", F.coalesce("root", "fp").alias("root"))
 
 
 def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``doc_id, fp, component_id`` of every row."""
     prints, rooted = _rooted(docs, radius)
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    rooted = materialize(rooted)
+    # a component or a fingerprint may hold most rows: both joins spread such keys
+    several = materialize(rooted.groupBy("root").agg(F.min("least").alias("smallest"), F.count("*").alias("members")).filter("members > 1"))
+    named = join_one(rooted, several, "root", "members").select("fp", "copies", F.coalesce("smallest", "least").alias("component_id"))
+    return join_one(prints, materialize(named), "fp", "copies", "inner").select("doc_id", "fp", "component_id")
 
 
 def keep_one_each(docs: DataFrame, rows: DataFrame, rooted: DataFrame, keyed) -> DataFrame:
     """``docs`` with one row of each component: the smallest id, null after all others, then the smallest key.
 
-    ``rows`` has ``doc_id, key`` of every row, ``rooted`` ``key, least, root`` of every key;
+    ``rows`` has ``doc_id, key`` of every row, ``rooted`` ``key, copies, least, root`` of every key;
     ``keyed`` appends the key as ``_row_key``.
     """
-    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "key")).alias("f")
-    chosen = rooted.groupBy("root").agg(first).select(F.col("f.least").alias("_least"), F.col("f.key").alias("key"))
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "key", "copies")).alias("f")
+    chosen = rooted.groupBy("root").agg(first).select(F.col("f.least").alias("_least"), F.col("f.key").alias("key"), F.col("f.copies").alias("copies"), F.lit(True).alias("_chosen"))
     kept = F.col("_chosen").isNotNull() & F.col("doc_id").eqNullSafe(F.col("_least"))
-    decided = rows.join(chosen.withColumn("_chosen", F.lit(True)), "key", "left").select("doc_id", "key", kept.alias("keep"))
+    decided = join_one(rows, materialize(chosen), "key", "copies").select("doc_id", "key", kept.alias("keep"))
     return keep_rows(docs, materialize(decided), keyed)
 
 
@@ -278,7 +297,7 @@ def _with_fingerprint(docs: DataFrame) -> DataFrame:
             prints = np.fromiter(map(fingerprint, texts(batch.column("text"))), np.uint64, len(batch))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints.view(np.int64))], names=[*batch.schema.names, "_row_key"])
 
-    return docs.mapInArrow(run, schema_of(docs, T.StructField("_row_key", T.LongType())))
+    return map_texts(docs, run, schema_of(docs, T.StructField("_row_key", T.LongType())))
 
 
 def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

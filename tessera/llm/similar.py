@@ -1,16 +1,26 @@
-"""Near-deduplication by the similarity of shingle sets.
+"""SimHash near-deduplication at a similarity of shingle sets: the wide form of :mod:`.simhash`.
 
 Two texts are linked if the Jaccard similarity of their sets of five-word shingles
-is at least 0.8; a component of the links is one group.
-
-1. A row-local pass gives each text its sorted set of 64-bit shingle hashes and the
-   keys of ``BANDS`` bands of ``ROWS`` minimal hashes. Equal sets are one node.
-2. Nodes with a band in common are candidates. At 0.8 a pair has none in common with
-   a chance of (1 - 0.8**5)**32, three in a million.
-3. Each candidate is verified on the whole sets; what is below 0.8 isn't linked.
-4. In a bucket of more than ``SHORT`` members each is first compared with the least
-   and its ``LAGS`` next ones; pairs that are then still in different components are
-   all compared.
+is at least 0.8; a component of the links is one group. Fingerprints of such texts differ
+in some ten bits of 64, so no choice of whole blocks of bits finds them all, as the
+narrow form's buckets do. Here minimal hashes of the sets name the buckets, the
+fingerprints in a bucket are compared bit-sliced, and what is near is verified.
+
+1. A row-local pass gives each text its sorted set of 64-bit shingle hashes, its
+   fingerprint and the keys of ``BANDS`` bands of ``ROWS`` minimal hashes. Equal sets
+   are one node. A pair at 0.8 has no band in common with a chance of
+   (1 - 0.8**5)**32, three in a million.
+2. In each bucket every node is compared with its ``LAGS`` next ones and with the
+   least: a few comparisons a node, whatever the bucket's size. Carry-save counters
+   over bit planes abandon words in which all exceed ``RADIUS`` bits; a pair at 0.8
+   exceeds it with a chance of under one in a hundred thousand.
+3. Near pairs are verified on the whole sets; what is below 0.8 isn't linked.
+4. Where a bucket is longer than that and its nodes are still in several components, every
+   node outside the bucket's largest component is compared with all of other components.
+   Only pairs that could join two components are made.
+
+A bucket of more than ``TILE`` nodes is dealt to tiles: in step 2 each with the least
+node of the bucket, in step 4 the nodes outside the largest component visit every tile.
 
 Defined results: words are those of :mod:`.simhash`; null and empty texts are one
 node; fewer words than a shingle make one shingle of what is there; an empty table
@@ -22,20 +32,25 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, schema_of, shuffle_partitions, texts
+from .common import join_one, map_texts, materialize, schema_of, shuffle_partitions, texts
 from .components import components
 from .repeats import shingle_hashes
-from .simhash import keep_one_each
+from .simhash import TILE, _rows, bit_planes, keep_one_each, majority, near_all, near_heads, near_in_runs
 
 SHINGLE = 5
 #: Least similarity of a link, as a fraction.
 SIMILAR = (4, 5)
+#: At 0.8 fingerprints differ in 9.7 bits on average (standard deviation 2.9; 12 and 3.1 for sets of a few shingles).
+RADIUS = 26
 BANDS, ROWS = 32, 5
-SHORT, LAGS = 64, 16
+LAGS = 8
+#: Rows of buckets that a task sorts and compares, on average.
+TASK_ROWS = 2_000_000
 _RANDOM = np.random.default_rng(42)
 _FLIP = _RANDOM.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
 _TIMES = _RANDOM.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
@@ -64,19 +79,26 @@ def bands(shingles: np.ndarray) -> np.ndarray:
     return shingle_hashes(numbered.ravel(), ROWS + 1)[:: ROWS + 1]
 
 
+_DESCRIBED = "doc_id long, key long, place long, size int, fp long, bands array<long>, shingles binary"
+
+
 def _described(batches):
+    """Bands and shingles only where the task sees a set for the first time: copies carry nothing."""
+    place, seen = TaskContext.get().partitionId() << 40, set()
     for batch in batches:
-        sets = [shingle_set(x) for x in texts(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id").cast(pa.int64()),
-                pa.array([_key(s) for s in sets], pa.int64()),
-                pa.array([len(s) for s in sets], pa.int32()),
-                pa.array([bands(s).view(np.int64) for s in sets], pa.list_(pa.int64())),
-                pa.array([s.tobytes() for s in sets], pa.binary()),
-            ],
-            names=["doc_id", "key", "size", "bands", "shingles"],
-        )
+        columns: list[list] = [[] for _ in range(6)]
+        for text in texts(batch.column("text")):
+            s = shingle_set(text)
+            key, place = _key(s), place + 1
+            new = key not in seen
+            seen.add(key)
+            made = (key, place, len(s), majority(s) if new and len(s) else 0, bands(s).view(np.int64) if new else None, s.tobytes() if new else None)
+            for column, value in zip(columns, made, strict=True):
+                column.append(value)
+        prints = np.array(columns[3], np.uint64).view(np.int64)
+        kinds = (pa.int64(), pa.int64(), pa.int32(), None, pa.list_(pa.int64()), pa.binary())
+        arrays = [pa.array(prints) if k is None else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *arrays], names=["doc_id", "key", "place", "size", "fp", "bands", "shingles"])
 
 
 def _with_key(docs: DataFrame) -> DataFrame:
@@ -85,7 +107,7 @@ def _with_key(docs: DataFrame) -> DataFrame:
             keys = [_key(shingle_set(x)) for x in texts(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*batch.schema.names, "_row_key"])
 
-    return docs.mapInArrow(run, schema_of(docs, T.StructField("_row_key", T.LongType())))
+    return map_texts(docs, run, schema_of(docs, T.StructField("_row_key", T.LongType())))
 
 
 def _possible(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -94,6 +116,7 @@ def _possible(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _columns(batches, *names):
+    """A task's rows as arrays: some ``TASK_ROWS`` of a few numbers each."""
     table = [b for b in batches if len(b)]
     return [np.concatenate([b.column(n).to_numpy() for b in table]) for n in names] if table else None
 
@@ -102,46 +125,45 @@ def _pairs_batch(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
 
 
-def _first_pairs(short: int, lags: int):
-    """All pairs of a short bucket; of a long one each member with the least and the next ones. Rows come sorted by ``band, key``."""
+def _first_pairs(lags: int):
+    """Near pairs of each node with the next ones and the least of its bucket. Rows come sorted by ``bucket, key``."""
 
     def run(batches):
-        got = _columns(batches, "band", "key", "size")
+        got = _columns(batches, "bucket", "key", "size", "fp")
         if got is None:
             return
-        band, key, size = got[0], got[1], got[2].astype(np.int64)
-        start = np.flatnonzero(np.append(True, band[1:] != band[:-1]))
-        length = np.diff(np.append(start, len(band)))
-        first, each = np.repeat(start, length), np.repeat(length, length)
-        far = np.flatnonzero((each > short) & (np.arange(len(band)) > first + lags))
-        i, j = first[far], far
-        for lag in range(0, short):
-            if lag:
-                i = np.flatnonzero((band[:-lag] == band[lag:]) & ((each[:-lag] <= short) | (lag <= lags)))
-                j = i + lag
-                if not len(i):
-                    break
-            good = _possible(size[i], size[j])
+        bucket, key, size, prints = got[0], got[1], got[2].astype(np.int64), got[3].view(np.uint64)
+        start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        first = np.repeat(start, np.diff(np.append(start, len(bucket))))
+        far = np.flatnonzero(np.arange(len(bucket)) > first + lags)
+        hits = far[near_heads(prints[far], prints[first[far]], RADIUS)] if len(far) else far
+        for i, j in ((first[hits], hits), near_in_runs(bucket, prints, RADIUS, lags)):
+            good = _possible(size[i], size[j]) & (key[i] != key[j])
             yield _pairs_batch(key[i[good]], key[j[good]])
 
     return run
 
 
 def _cross_pairs(batches):
-    """Pairs of a bucket whose members are in different components. Rows come sorted by ``band``."""
-    got = _columns(batches, "band", "key", "size", "root")
+    """Near pairs of the nodes outside a bucket's largest component with those at home here of other components. Rows come sorted by ``bucket``."""
+    got = _columns(batches, "bucket", "key", "size", "fp", "root", "asks", "home")
     if got is None:
         return
-    band, key, size, root = got[0], got[1], got[2].astype(np.int64), got[3]
-    start = np.flatnonzero(np.append(True, band[1:] != band[:-1]))
-    for a, b in zip(start, np.append(start[1:], len(band)), strict=True):
-        k, s, r = key[a:b], size[a:b], root[a:b]
-        names, count = np.unique(r, return_counts=True)
-        largest = r == names[count.argmax()]
-        for i in np.flatnonzero(~largest):
-            j = np.flatnonzero((r != r[i]) & (largest | (k > k[i])) & _possible(s, s[i]))
-            if len(j):
-                yield _pairs_batch(np.full(len(j), k[i]), k[j])
+    bucket, start = got[0], np.flatnonzero(np.append(True, got[0][1:] != got[0][:-1]))
+    for a, b in zip(start, np.append(start[1:], len(bucket)), strict=True):
+        key, size, prints, root, asks, home = (c[a:b] for c in got[1:])
+        size, prints, asks, here = size.astype(np.int64), prints.view(np.uint64), asks.astype(bool), np.flatnonzero(home)
+        if not len(here):
+            continue
+        planes = bit_planes(prints[here])
+        asking = np.flatnonzero(asks)
+        for at in range(0, len(asking), 64):
+            some = asking[at : at + 64]
+            for i, mask in zip(some, near_all(prints[some], planes, len(here), RADIUS), strict=True):
+                j = here[_rows(mask, len(here))]
+                j = j[(root[j] != root[i]) & (~asks[j] | (key[j] > key[i])) & _possible(size[j], size[i])]
+                if len(j):
+                    yield _pairs_batch(np.full(len(j), key[i]), key[j])
 
 
 def _similar(batches):
@@ -152,36 +174,58 @@ def _similar(batches):
         yield batch.select(["u", "v"]).filter(pa.array(both * SIMILAR[1] >= either * SIMILAR[0]))
 
 
-def _verified(pairs: DataFrame, described: DataFrame) -> DataFrame:
-    """Those of the written ``pairs`` whose sets are similar enough."""
-    asked = pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key"))).distinct()
-    sets = described.select("key", "shingles").join(asked, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"))
-    sets = materialize(sets)
-    left = pairs.join(sets.select(F.col("key").alias("u"), F.col("shingles").alias("a")), "u")
-    return materialize(left.join(sets.select(F.col("key").alias("v"), F.col("shingles").alias("b")), "v").select("u", "v", "a", "b").mapInArrow(_similar, "u long, v long"))
-
-
-def similar_groups(docs: DataFrame, short: int = SHORT, lags: int = LAGS) -> tuple[DataFrame, DataFrame]:
-    """``doc_id, key`` of every row, and ``key, least, root`` of every set: its least id and its component's name."""
-    spark = docs.sparkSession
-    described = materialize(docs.select("doc_id", "text").mapInArrow(_described, "doc_id long, key long, size int, bands array<long>, shingles binary"))
-    nodes = materialize(described.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands")))
-    banded = nodes.select("key", "size", F.explode("bands").alias("band"))
-    n = max(shuffle_partitions(spark), -(-nodes.count() * BANDS // 2_000_000))
-    pairs = materialize(banded.repartition(n, "band").sortWithinPartitions("band", "key").mapInArrow(_first_pairs(short, lags), "u long, v long").distinct())
-    links = _verified(pairs, described)
+def _verified(pairs: DataFrame, nodes: DataFrame, described: DataFrame) -> DataFrame:
+    """Those of the written ``pairs`` whose sets are similar enough. A node of very many pairs has its set broadcast."""
+    ends = pairs.select(F.col("u").alias("key"), F.lit(1).alias("as_u"), F.lit(0).alias("as_v")).unionByName(pairs.select(F.col("v").alias("key"), F.lit(0).alias("as_u"), F.lit(1).alias("as_v")))
+    asked = ends.groupBy("key").agg(F.sum("as_u").alias("as_u"), F.sum("as_v").alias("as_v")).join(nodes.select("key", "place"), "key")
+    sets = materialize(described.select("place", "shingles").join(asked, "place").select("key", "as_u", "as_v", "shingles"))
+    left = join_one(pairs.withColumnRenamed("u", "key"), sets.select("key", "as_u", F.col("shingles").alias("a")), "key", "as_u", "inner", whole=0).withColumnRenamed("key", "u")
+    both = join_one(left.withColumnRenamed("v", "key"), sets.select("key", "as_v", F.col("shingles").alias("b")), "key", "as_v", "inner", whole=0).withColumnRenamed("key", "v")
+    return materialize(map_texts(both.select("u", "v", "a", "b"), _similar, "u long, v long", "a"))
+
+
+def _in_buckets(rows: DataFrame, count: int, mapped, schema: str = "u long, v long") -> DataFrame:
+    n = max(shuffle_partitions(rows.sparkSession), -(-count // TASK_ROWS))
+    return materialize(rows.repartition(n, "bucket").sortWithinPartitions("bucket", "key").mapInArrow(mapped, schema).distinct())
+
+
+def similar_groups(docs: DataFrame, lags: int = LAGS, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, key`` of every row, and ``key, copies, least, root`` of every set: its rows, their least id and its component's name."""
+    described = materialize(map_texts(docs.select("doc_id", "text"), _described, _DESCRIBED))
+    new = F.when(F.col("bands").isNotNull(), F.struct("place", "size", "fp", "bands"))
+    nodes = materialize(described.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min(new).alias("f")).select("key", "least", "copies", "f.*"))
+    banded = nodes.select("key", "size", "fp", F.explode("bands").alias("band"))
+    count = BANDS * nodes.count()
+    in_band = materialize(banded.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct("key", "size", "fp")).alias("f")).filter(F.col("n") > lags + 1))
+    hot = in_band.filter(F.col("n") > tile).select("band", "f", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
+    bucket = lambda tile: F.xxhash64("band", tile)
+    home = F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")
+    if hot.isEmpty():
+        dealt = banded.withColumnRenamed("band", "bucket")
+    else:  # hot bands are few: each has over a tile of rows
+        own = banded.join(F.broadcast(hot.drop("f")), "band", "left").select("key", "size", "fp", F.coalesce(bucket(home), "band").alias("bucket"))
+        least = hot.select("band", "f.*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
+        dealt = own.unionByName(least.select("key", "size", "fp", bucket(F.col("tile")).alias("bucket")))
+    pairs = _in_buckets(dealt.select("bucket", "key", "size", "fp"), count, _first_pairs(lags))
+    links = _verified(pairs, nodes, described)
     joined = components(links)
-    long = materialize(banded.groupBy("band").agg(F.count("*").alias("n")).filter(F.col("n") > short).select("band"))
-    if not long.isEmpty():
-        held = banded.join(long, "band", "left_semi").join(joined.select(F.col("u").alias("key"), F.col("v").alias("root")), "key", "left")
-        held = held.select("band", "key", "size", F.coalesce("root", "key").alias("root"))
-        more = held.repartition(n, "band").sortWithinPartitions("band", "key").mapInArrow(_cross_pairs, "u long, v long").distinct()
-        joined = components(links.unionByName(_verified(materialize(more.join(pairs, ["u", "v"], "left_anti")), described)))
-    rooted = nodes.join(joined.select(F.col("u").alias("key"), F.col("v").alias("root")), "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
+    # what the few comparisons of a long bucket may have missed
+    held = join_one(banded, in_band.select("band", "n"), "band", "n", "inner").join(joined.select(F.col("u").alias("key"), F.col("v").alias("root")), "key", "left")
+    held = materialize(held.select("band", "key", "size", "fp", F.coalesce("root", "key").alias("root")))
+    parts = held.groupBy("band", "root").agg(F.count("*").alias("m"))
+    split = parts.groupBy("band").agg(F.max_by("root", "m").alias("largest"), F.sum("m").alias("n"), F.count("*").alias("parts")).filter("parts > 1")
+    split = materialize(split.select("band", "largest", F.ceil(F.col("n") / tile).cast("int").alias("tiles"), "n"))
+    if not split.isEmpty():
+        rows = join_one(held, split, "band", "n", "inner").withColumn("asks", F.col("root") != F.col("largest")).withColumn("mine", home)
+        rows = rows.withColumn("tile", F.explode(F.when(F.col("asks"), F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array("mine"))))
+        rows = rows.select(bucket(F.col("tile")).alias("bucket"), "key", "size", "fp", "root", F.col("asks").cast("int").alias("asks"), (F.col("mine") == F.col("tile")).cast("int").alias("home"))
+        more = _in_buckets(rows, count, _cross_pairs).join(pairs, ["u", "v"], "left_anti")
+        joined = components(links.unionByName(_verified(materialize(more), nodes, described)))
+    rooted = nodes.join(joined.select(F.col("u").alias("key"), F.col("v").alias("root")), "key", "left").select("key", "copies", "least", F.coalesce("root", "key").alias("root"))
     return described.select("doc_id", "key"), materialize(rooted)
 
 
-def keep_one_similar(docs: DataFrame, short: int = SHORT, lags: int = LAGS) -> DataFrame:
+def keep_one_similar(docs: DataFrame, lags: int = LAGS, tile: int = TILE) -> DataFrame:
     """``docs`` with one row of each group, columns unchanged: the smallest id, or a row without one if the group has no other."""
-    rows, rooted = similar_groups(docs, short, lags)
+    rows, rooted = similar_groups(docs, lags, tile)
     return keep_one_each(docs, rows, rooted, _with_key)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, materialize, texts
+from .common import documents, map_texts, materialize, texts
 from .packing import default_tokenizer
 from .tokens import bpe
 
@@ -37,7 +37,7 @@ def _lengths(path: str):
 
 def histogram(docs: DataFrame, tokenizer: str) -> DataFrame:
     """``n_tokens, n_docs``."""
-    return docs.select("text").mapInArrow(_lengths(tokenizer), "n_tokens long").groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+    return map_texts(docs.select("text"), _lengths(tokenizer), "n_tokens long").groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
 
 
 def suffix_sums(hist: DataFrame) -> DataFrame:

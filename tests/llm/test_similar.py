@@ -23,8 +23,8 @@ def brute_kept(rows):
     return Counter(None if min(g)[0] else min(g)[1] for g in groups.values())
 
 
-@pytest.mark.parametrize("short", [64, 3])
-def test_near_dedup_stage(spark, docs_of, short, monkeypatch):
+@pytest.mark.parametrize(("lags", "tile"), [(8, 20_000), (1, 20_000), (1, 3)])
+def test_near_dedup_stage(spark, docs_of, lags, tile, monkeypatch):
     from tessera.llm import similar
 
     rng = np.random.default_rng(14)
@@ -39,7 +39,7 @@ def test_near_dedup_stage(spark, docs_of, short, monkeypatch):
                 other[10 * at] = f"x{rng.integers(10**6)}"
             rows.append((100 * k + j if k else None, " ".join(other)))
     rows += [(5000, ""), (None, None), (5001, "one"), (5002, "One"), (5003, "a b c"), (None, "only this"), (None, "only that")]
-    keep = lambda d: similar.keep_one_similar(d, short, 1)
+    keep = lambda d: similar.keep_one_similar(d, lags, tile)
     monkeypatch.setattr(corpus_pipeline, "keep_one_similar", keep)
     kept = corpus_pipeline.near_dedup(spark, docs_of(rows).repartition(3), "")
     assert kept.columns == docs_of([]).columns
