@@ -62,6 +62,55 @@ def test_quality_judges_every_byte():
             assert clean["n_chunks"] == max(1, -(-size // 2048)) and clean["n_bad_chunks"] == 0
 
 
+def test_quality_fitted_bands_against_a_plain_reading(spark, docs_of):
+    """Prose of one vocabulary, and texts that only its own distribution shows to be odd."""
+    import math
+    import random
+    import statistics
+
+    import zstandard
+
+    rng, packed = random.Random(6), zstandard.ZstdCompressor(level=3)
+    stems = ["".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    weights = [1 / (i + 3) for i in range(3000)]
+    prose = lambda n: " ".join(rng.choices(stems, weights, k=n))
+    rows = [(i, prose(rng.randrange(140, 170))) for i in range(150)] + [(200 + i, prose(rng.randrange(1100, 1150))) for i in range(60)]
+    table = lambda: " | ".join(f"{rng.choice(stems[:40])} ### {rng.randrange(10)}" for _ in range(80))
+    letters = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(4, 9))) for _ in range(n))
+    rows += [(300 + i, table()) for i in range(10)] + [(320, letters(130)), (321, letters(140)), (322, prose(800) + " " + letters(320)), (323, None), (324, "")]
+    rows += [(400, prose(150))] * 90 + [(401, prose(20_000))]
+    ratio = lambda raw: len(raw) / len(packed.compress(raw))
+    texts = {i: (t or "").encode() for i, t in rows}
+    chunks = {i: [ratio(x[a : a + 2048]) for a in [*range(0, len(x) - 2047, 2048), *([len(x) - 2048] if len(x) > 2048 and len(x) % 2048 else [])]] for i, x in texts.items()}
+    clean = {i for i, x in texts.items() if not brute_base(x.decode())[-1]}
+    kind = lambda x: math.floor(2 * math.log2(len(x)) + 1e-12)
+    seen = {}
+    for i in sorted(clean):
+        seen.setdefault((len(texts[i]), len(packed.compress(texts[i]))), (kind(texts[i]), chunks[i]))
+    groups = {}
+    for (n, p), (k, c) in seen.items():
+        groups.setdefault(k, []).append(round(n / p, 3))
+        groups.setdefault("chunk", []).extend(round(x, 3) for x in c)
+
+    def band(values, above, below):
+        if len(values) < 50:
+            return 0, 1e18
+        mid = statistics.median(values)
+        sigma = 1.4826 * statistics.median(abs(v - mid) for v in values)
+        return mid - max(below[0] * sigma, below[1] * mid), mid + max(above[0] * sigma, above[1] * mid)
+
+    low, high = band(groups["chunk"], (6, 0.3), (6, 0.12))
+    compressor, want = zstandard.ZstdCompressor(level=3), set()
+    for i in clean:
+        a, b = band(groups[kind(texts[i])], (3.5, 0.05), (6, 0.1))
+        if quality.measure(texts[i].decode(), compressor)[9] and a <= ratio(texts[i]) <= b and 10 * sum(not low <= c <= high for c in chunks[i]) <= len(chunks[i]):
+            want.add(i)
+    got = {r.doc_id for r in quality.compression_report(docs_of(rows)).filter("kept").collect()}
+    assert got == want == {r.doc_id for r in quality.keep_good(docs_of(rows).repartition(3)).collect()}
+    assert not got & {*range(300, 310), 320, 321, 322}, sorted(got & {*range(300, 310), 320, 321, 322})
+    assert len(got & {*range(150), *range(200, 260), 400, 401}) >= 210
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
