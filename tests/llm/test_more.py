@@ -228,27 +228,80 @@ def test_histogram_and_limits(spark, docs_of, corpus):
 
 def test_held_out_accuracy_and_calibration():
     model = licences.train()
-    data = licences.variations(777, 12)
+    data = licences.variations(777, 3)
     probs = np.array([model.probabilities(t) for t, _ in data])
     right = probs.argmax(1) == [k for _, k in data]
     assert right.mean() > 0.97
     sure = probs.max(1) >= licences.MIN_PROBABILITY
-    assert right[sure].mean() >= licences.MIN_PROBABILITY
+    assert right[sure].mean() >= 0.98 and sure.mean() > 0.95
+
+
+#: Notices whose wording, wrapping or frame isn't in the training texts, with their family.
+UNSEEN = {
+    "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:": "mit",
+    "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n1. Redistributions of source code must retain the above copyright\n   notice, this list of conditions and the following disclaimer.": "bsd",
+    "    This program is free software: you can redistribute it and/or modify\n    it under the terms of the GNU General Public License as published by\n    the Free Software Foundation, either version 3 of the License, or\n    (at your option) any later version.": "gpl",
+    " * This library is free software; you can redistribute it and/or\n * modify it under the terms of the GNU Lesser General Public\n * License as published by the Free Software Foundation; either\n * version 2.1 of the License, or (at your option) any later version.": "lgpl",
+    "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.": "isc",
+    "You may use this library under the terms of the LGPL, version 2.1.": "lgpl",
+    "Licensed under the Eclipse Public License 2.0": "epl",
+    "// SPDX-License-Identifier: BSD-2-Clause": "bsd",
+    "/* SPDX-License-Identifier: LGPL-2.1-only */": "lgpl",
+    "This is free and unencumbered software released into the public domain.": "unlicense",
+    "The text is licensed under CC BY-SA 4.0 and may be copied.": "cc-by-sa",
+}
+UNKNOWN = ["This package uses the Artistic License 2.0.", "Licensed under the Academic Free License.", "The tool is distributed under the Wibble Public License 4.0.", "He obtained a license for the software from the public library.", "The code is dual licensed, ask the copyright holder."]
+
+
+def test_unseen_notices_and_unknown_licences(spark, docs_of):
+    texts = [*UNSEEN, *UNKNOWN]
+    rows = [(i, "He went to the house.\nIt was late.\n\n" + t + "\n\nShe left it there.") for i, t in enumerate(texts)]
+    got = defaultdict(set)
+    for r in licences.licence_paragraphs(docs_of(rows)).filter("confirmed").collect():
+        got[r.doc_id].add(r.family)
+        assert r.paragraph >= 3
+    assert [got[i] for i in range(len(rows))] == [*({f} for f in UNSEEN.values()), *(set() for _ in UNKNOWN)]
+
+
+def brute_units(text):
+    """(number of the first line, lines, text, block) of paragraphs and of the lines of longer ones."""
+    block, held, out = 0, [], []
+    for i, line in enumerate([*text.lower().split("\n"), ""]):
+        if line.strip(" \t\r\x0b\x0c"):
+            held.append((i, line))
+            continue
+        if len(held) > 1:
+            out.append((held[0][0], len(held), "\n".join(x for _, x in held), block))
+        out += [(j, 1, x, block) for j, x in held]
+        held, block = [], block + 1
+    return [u for u in out if any(a in u[2] for a in licences.ANCHORS)]
 
 
 def test_scan_equals_the_classifier(spark, docs_of, corpus):
     model = licences.train()
-    texts = [*(t for _, t in corpus), *("\n".join(n) + "\nplain words\n" for n in licences.NOTICES.values()), *licences.ORDINARY, "\n".join(t for t, _ in licences.variations(5, 2))]
-    rows = list(enumerate(texts))
+    some = [n for f in licences.TEXTS for n in licences.notices(f)]
+    texts = [*(t for _, t in corpus), "\n".join(some[::3]) + "\nplain words\n", "\n\n".join(some[1::3]), *licences.ORDINARY, *UNSEEN, *UNKNOWN, "\n".join(t for t, _ in licences.variations(5, 1)[::7]), "odd \x01 license \x02 under\nthe MIT license"]
+    rows = [*enumerate(texts), (None, some[0]), (None, some[0]), (3, some[0])]
     want = Counter()
     for i, t in rows:
-        for p, line in enumerate((t or "").lower().split("\n")):
-            probs = model.probabilities(line)
+        judged = []
+        for first, n, unit, block in brute_units((t or "").replace("\x01", " ").replace("\x02", " ")):
+            probs = model.probabilities(unit)
             k = int(probs.argmax())
             if k and probs[k] >= licences.MIN_PROBABILITY:
-                family = licences.CLASSES[k]
-                share = max(len(licences.grams(n) & licences.grams(line)) / len(licences.grams(n)) for n in licences.NOTICES[family])
-                want[i, p, family, share >= licences.MIN_SIMILARITY] += 1
-    assert Counter((r.doc_id, r.paragraph, r.family, r.confirmed) for r in licences.licence_paragraphs(docs_of(rows)).collect()) == want
-    assert sum(c for (_, _, f, ok), c in want.items() if ok) >= 28
+                family, own = licences.CLASSES[k], licences.grams(unit)
+                share = max(len(licences.grams(x) & own) / len(licences.grams(x)) for x in licences.notices(family))
+                if share:
+                    judged.append((block, family, n == 1, round(share, 6) >= licences.MIN_SIMILARITY, first, n))
+        for block, family, line, ok, first, n in judged:
+            same = [j for j in judged if j[:2] == (block, family)]
+            if any(j[2] and j[3] for j in same):
+                chosen = line and ok
+            else:
+                chosen = not line if any(not j[2] for j in same) else True
+            if chosen:
+                want[i, first, n, family, ok] += 1
+    got = Counter((r.doc_id, r.paragraph, r.n_lines, r.family, r.confirmed) for r in licences.licence_paragraphs(docs_of(rows)).collect())
+    assert got == want, (got - want, want - got)
+    assert sum(c for (_, _, _, _, ok), c in want.items() if ok) >= 200
     assert licences.licence_paragraphs(docs_of([])).count() == 0
