@@ -32,12 +32,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import join_one, map_texts, materialize, schema_of, shuffle_partitions, texts
+from .common import join_one, map_texts, materialize, schema_of, shuffle_partitions, small_or_shuffled, texts
 from .components import components
 from .repeats import shingle_hashes
 from .simhash import TILE, _rows, bit_planes, keep_one_each, majority, near_all, near_heads, near_in_runs
@@ -79,26 +78,39 @@ def bands(shingles: np.ndarray) -> np.ndarray:
     return shingle_hashes(numbered.ravel(), ROWS + 1)[:: ROWS + 1]
 
 
-_DESCRIBED = "doc_id long, key long, place long, size int, fp long, bands array<long>, shingles binary"
+_DESCRIBED = "doc_id long, key long, size int, fp long, bands array<long>"
 
 
 def _described(batches):
-    """Bands and shingles only where the task sees a set for the first time: copies carry nothing."""
-    place, seen = TaskContext.get().partitionId() << 40, set()
+    """Bands only where the task sees a set for the first time: copies carry nothing."""
+    seen: set = set()
     for batch in batches:
-        columns: list[list] = [[] for _ in range(6)]
+        columns: list[list] = [[] for _ in range(4)]
         for text in texts(batch.column("text")):
             s = shingle_set(text)
-            key, place = _key(s), place + 1
+            key = _key(s)
             new = key not in seen
             seen.add(key)
-            made = (key, place, len(s), majority(s) if new and len(s) else 0, bands(s).view(np.int64) if new else None, s.tobytes() if new else None)
-            for column, value in zip(columns, made, strict=True):
+            for column, value in zip(columns, (key, len(s), majority(s) if new and len(s) else 0, bands(s).view(np.int64) if new else None), strict=True):
                 column.append(value)
-        prints = np.array(columns[3], np.uint64).view(np.int64)
-        kinds = (pa.int64(), pa.int64(), pa.int32(), None, pa.list_(pa.int64()), pa.binary())
-        arrays = [pa.array(prints) if k is None else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *arrays], names=["doc_id", "key", "place", "size", "fp", "bands", "shingles"])
+        prints = np.array(columns[2], np.uint64).view(np.int64)
+        arrays = [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(prints), pa.array(columns[3], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *arrays], names=["doc_id", "key", "size", "fp", "bands"])
+
+
+def _sets(batches):
+    """Key and shingles of each set that the task sees, once."""
+    seen: set = set()
+    for batch in batches:
+        keys, sets = [], []
+        for text in texts(batch.column("text")):
+            s = shingle_set(text)
+            key = _key(s)
+            if key not in seen:
+                seen.add(key)
+                keys.append(key)
+                sets.append(s.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], names=["key", "shingles"])
 
 
 def _with_key(docs: DataFrame) -> DataFrame:
@@ -174,11 +186,16 @@ def _similar(batches):
         yield batch.select(["u", "v"]).filter(pa.array(both * SIMILAR[1] >= either * SIMILAR[0]))
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, described: DataFrame) -> DataFrame:
-    """Those of the written ``pairs`` whose sets are similar enough. A node of very many pairs has its set broadcast."""
+def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of the written ``pairs`` whose sets are similar enough.
+
+    Sets are made again from the texts, and only those asked for are kept: all sets together are larger
+    than the texts. A node of very many pairs has its set broadcast.
+    """
     ends = pairs.select(F.col("u").alias("key"), F.lit(1).alias("as_u"), F.lit(0).alias("as_v")).unionByName(pairs.select(F.col("v").alias("key"), F.lit(0).alias("as_u"), F.lit(1).alias("as_v")))
-    asked = ends.groupBy("key").agg(F.sum("as_u").alias("as_u"), F.sum("as_v").alias("as_v")).join(nodes.select("key", "place"), "key")
-    sets = materialize(described.select("place", "shingles").join(asked, "place").select("key", "as_u", "as_v", "shingles"))
+    asked = materialize(ends.groupBy("key").agg(F.sum("as_u").alias("as_u"), F.sum("as_v").alias("as_v")))
+    held = map_texts(docs.select("text"), _sets, "key long, shingles binary").join(small_or_shuffled(asked), "key")
+    sets = materialize(held.groupBy("key").agg(F.first("as_u").alias("as_u"), F.first("as_v").alias("as_v"), F.first("shingles").alias("shingles")))
     left = join_one(pairs.withColumnRenamed("u", "key"), sets.select("key", "as_u", F.col("shingles").alias("a")), "key", "as_u", "inner", whole=0).withColumnRenamed("key", "u")
     both = join_one(left.withColumnRenamed("v", "key"), sets.select("key", "as_v", F.col("shingles").alias("b")), "key", "as_v", "inner", whole=0).withColumnRenamed("key", "v")
     return materialize(map_texts(both.select("u", "v", "a", "b"), _similar, "u long, v long", "a"))
@@ -192,7 +209,7 @@ def _in_buckets(rows: DataFrame, count: int, mapped, schema: str = "u long, v lo
 def similar_groups(docs: DataFrame, lags: int = LAGS, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
     """``doc_id, key`` of every row, and ``key, copies, least, root`` of every set: its rows, their least id and its component's name."""
     described = materialize(map_texts(docs.select("doc_id", "text"), _described, _DESCRIBED))
-    new = F.when(F.col("bands").isNotNull(), F.struct("place", "size", "fp", "bands"))
+    new = F.when(F.col("bands").isNotNull(), F.struct("size", "fp", "bands"))
     nodes = materialize(described.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min(new).alias("f")).select("key", "least", "copies", "f.*"))
     banded = nodes.select("key", "size", "fp", F.explode("bands").alias("band"))
     count = BANDS * nodes.count()
@@ -207,7 +224,7 @@ def similar_groups(docs: DataFrame, lags: int = LAGS, tile: int = TILE) -> tuple
         least = hot.select("band", "f.*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
         dealt = own.unionByName(least.select("key", "size", "fp", bucket(F.col("tile")).alias("bucket")))
     pairs = _in_buckets(dealt.select("bucket", "key", "size", "fp"), count, _first_pairs(lags))
-    links = _verified(pairs, nodes, described)
+    links = _verified(pairs, docs)
     joined = components(links)
     # what the few comparisons of a long bucket may have missed
     held = join_one(banded, in_band.select("band", "n"), "band", "n", "inner").join(joined.select(F.col("u").alias("key"), F.col("v").alias("root")), "key", "left")
@@ -220,7 +237,7 @@ def similar_groups(docs: DataFrame, lags: int = LAGS, tile: int = TILE) -> tuple
         rows = rows.withColumn("tile", F.explode(F.when(F.col("asks"), F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array("mine"))))
         rows = rows.select(bucket(F.col("tile")).alias("bucket"), "key", "size", "fp", "root", F.col("asks").cast("int").alias("asks"), (F.col("mine") == F.col("tile")).cast("int").alias("home"))
         more = _in_buckets(rows, count, _cross_pairs).join(pairs, ["u", "v"], "left_anti")
-        joined = components(links.unionByName(_verified(materialize(more), nodes, described)))
+        joined = components(links.unionByName(_verified(materialize(more), docs)))
     rooted = nodes.join(joined.select(F.col("u").alias("key"), F.col("v").alias("root")), "key", "left").select("key", "copies", "least", F.coalesce("root", "key").alias("root"))
     return described.select("doc_id", "key"), materialize(rooted)
 
