@@ -5,8 +5,9 @@ match; each pattern is matched in linear time, however long the text. On top of
 them the method proposes spans of further kinds and scores each: a prior for
 the pattern, more if a checksum holds (mod-97 for bank account numbers, the
 mod-10 variants for cards of other lengths and routing numbers), more for a
-telling word shortly before the span, less for one that speaks against it.
-Spans at ``threshold`` or above count, unless they overlap a span already taken.
+telling word shortly before or after the span, less for one before it that speaks against it.
+Spans at ``threshold`` or above count, unless they overlap a span already taken;
+the best score goes first.
 
 The pass is row-local: one scan, no shuffle.
 
@@ -19,6 +20,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +30,7 @@ from pyspark.sql import types as T
 from .common import documents, map_texts, schema_of, texts
 
 KINDS = ("email", "ip", "card", "phone")
-EXTRA_KINDS = ("iban", "card_other", "ssn", "routing", "phone_local", "mac")
+EXTRA_KINDS = ("iban", "card_other", "ssn", "routing", "phone_local", "mac", "ipv6", "secret")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
@@ -40,6 +43,10 @@ _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _ROUTING = re.compile(r"(?<![0-9-])[0-9]{9}(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])")
 _MAC = re.compile(r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}(?![0-9A-Fa-f:])")
+_IPV6 = re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:.])|(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]{4,39}(?![0-9A-Za-z:.]))(?:[0-9A-Fa-f]{1,4}:){1,6}:(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})(?![0-9A-Za-z:.])")
+#: Published prefixes of access keys, then what follows them.
+_SECRET = re.compile(r"(?<![A-Za-z0-9_-])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,200}|sk_live_[A-Za-z0-9]{16,64}|AIza[A-Za-z0-9_-]{35}|[A-Za-z0-9_-]{32,64})(?![A-Za-z0-9_-])")
+_PUBLISHED = re.compile(r"AKIA|gh[pousr]_|xox[abprs]-|sk_live_|AIza")
 #: kind: (pattern, prior, gain of a valid checksum, words that speak for it, words that speak against it).
 EXTRA = {
     "iban": (_IBAN, 0.3, 0.5, ("iban", "account", "konto", "cuenta", "compte", "bank"), ("isbn", "serial", "sku")),
@@ -48,6 +55,8 @@ EXTRA = {
     "routing": (_ROUTING, 0.0, 0.3, ("routing", "aba", "transit"), ("zip", "order", "serial", "population")),
     "phone_local": (_LOCAL_PHONE, 0.3, 0.0, ("phone", "call", "tel", "fax", "mobile", "telefon", "telefono", "cell"), ("order", "version", "isbn")),
     "mac": (_MAC, 0.6, 0.0, ("mac", "device", "hardware"), ("sha", "hash")),
+    "ipv6": (_IPV6, 0.6, 0.0, ("address", "host", "server"), ("time", "version")),
+    "secret": (_SECRET, 0.0, 0.6, ("key", "token", "secret", "password", "passwort", "api", "bearer", "credential"), ("sha", "md5", "digest", "checksum", "commit", "hash", "uuid")),
 }
 THRESHOLD = 0.6
 CONTEXT_CHARS = 40
@@ -84,6 +93,8 @@ def _valid(kind: str, found: str) -> bool:
         return luhn(digits)
     if kind == "routing":
         return _aba(digits)
+    if kind == "secret":  # a published prefix; without one, digits and letters of both cases say half of it
+        return 1.0 if _PUBLISHED.match(found) else 0.5 * (bool(re.search("[0-9]", found)) and bool(re.search("[a-z]", found)) and bool(re.search("[A-Z]", found)))
     return kind == "ssn" and digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000"
 
 
@@ -126,17 +137,21 @@ def extra_spans(text: str, taken: list[tuple[int, int, str]], threshold: float =
         for m in pattern.finditer(text):
             if kind == "card_other" and not 12 <= sum(map(str.isdigit, m[0])) <= 13:
                 continue
-            before = {w.lower() for w in _WORD.findall(text[max(0, m.start() - CONTEXT_CHARS) : m.start()])}
-            score = prior + gain * _valid(kind, m[0]) + CONTEXT_WEIGHT * (not before.isdisjoint(good)) - CONTEXT_WEIGHT * (not before.isdisjoint(bad))
+            before, after = ({w.lower() for w in _WORD.findall(side)} for side in (text[max(0, m.start() - CONTEXT_CHARS) : m.start()], text[m.end() : m.end() + CONTEXT_CHARS]))
+            score = prior + gain * _valid(kind, m[0]) + CONTEXT_WEIGHT * (not (before | after).isdisjoint(good)) - CONTEXT_WEIGHT * (not before.isdisjoint(bad))
             if score >= threshold - 1e-9:
                 proposed.append((m.start(), m.end(), kind, round(score, 2)))
+    starts, ends = [a for a, _, _ in taken], [b for _, b, _ in taken]  # ascending, up to overlaps of base kinds
+    ends = [*accumulate(ends, max)]
     out: list = []
-    if proposed:
-        marks = [(a, b) for a, b, _ in taken]
-        for p in sorted(proposed, key=lambda s: (-s[3], s[0], EXTRA_KINDS.index(s[2]))):
-            if all(p[1] <= a or b <= p[0] for a, b in marks):
-                marks.append(p[:2])
-                out.append(p)
+    begin, finish = [], []  # of what is taken from the proposals, both ascending as none overlaps another
+    for p in sorted(proposed, key=lambda s: (-s[3], s[0], EXTRA_KINDS.index(s[2]))):
+        k, j = bisect_left(starts, p[1]), bisect_left(begin, p[1])
+        if (k and ends[k - 1] > p[0]) or (j and finish[j - 1] > p[0]):
+            continue
+        begin.insert(j, p[0])
+        finish.insert(j, p[1])
+        out.append(p)
     return sorted(out)
 
 

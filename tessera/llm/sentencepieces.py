@@ -212,7 +212,7 @@ class PieceModel:
             if got:
                 made = got.replace(b" ", mark)
                 out += made
-                align += [at] * len(made)
+                align += range(at, at + n) if made == raw[at : at + n] else [at] * len(made)
                 spaced = got.endswith(b" ")
             at += n
         end = len(raw)

@@ -118,12 +118,13 @@ def models():
     return sentencepieces.PieceModel(path), sentencepiece.SentencePieceProcessor(model_file=path)
 
 
-@pytest.mark.parametrize("own_merging", [False, True])
-def test_ids_and_decoding_equal_the_library(models, corpus, monkeypatch, own_merging):
+@pytest.mark.parametrize(("longest", "together", "words"), [(64, 2_000_000, 400_000), (0, 1, 10), (5, 40, 30)])
+def test_ids_and_decoding_equal_the_library(models, corpus, monkeypatch, longest, together, words):
+    """Cuts merged together, by the heap, and by both, with a cache that is cleared all the time."""
     mine, library = models
-    monkeypatch.setattr(sentencepieces, "_BLOCK", 5)
-    if own_merging:
-        monkeypatch.setattr(mine, "_library", None)
+    for name, value in (("_LONGEST", longest), ("_TOGETHER", together), ("CACHE_WORDS", words)):
+        monkeypatch.setattr(sentencepieces, name, value)
+    mine._cache.clear()
     rng = random.Random(11)
     odd = ["", " ", "  a", "a  ", "a  b", "\n", "a\nb", " \n ", "▁", "▁▁a ▁", "x ▁", "\t\ttab", "é😀漢字 ㎞", "<s> </s> <0x41>", "   ", "a" * 500, " x y", "1234 56", "é"]
     odd += ["".join(rng.choice(" ▁\nabet漢é😀1.") for _ in range(rng.randrange(40))) for _ in range(1500)]
@@ -131,6 +132,7 @@ def test_ids_and_decoding_equal_the_library(models, corpus, monkeypatch, own_mer
         ids = mine.encode(text)
         assert ids == library.encode(text), repr(text[:60])
         assert mine.decode(ids) == mine.decode_encoded(ids) == library.decode(ids), repr(text[:60])
+    assert [x[0] for x in mine.encode_all(odd)] == library.encode(odd)
 
 
 def test_spans_cover_the_original(models):
@@ -190,7 +192,7 @@ def test_longest_prefix_normalisation(models, monkeypatch):
             n = len(k) if k else len(raw[i:].decode()[0].encode())
             made = (entries[k] if k else raw[i : i + n]).decode().replace(" ", "▁")
             want += made
-            align += [i] * len(made.encode())
+            align += [i] * len(made.encode()) if k or made == "▁" else range(i, i + n)
             i += n
         got, mapped = mine.normalise(text)
         assert got == want and mapped.tolist() == [*align, len(raw)]
