@@ -102,10 +102,32 @@ def test_sharding_by_a_hot_key_and_repeated_rows(spark, docs_of):
     check_shards(rows, sharding.shard(docs_of(rows), shards=8, range_rows=50).collect(), 8)
 
 
+def test_sharding_in_two_levels(spark, docs_of):
+    """Splitters inside the coarse ranges, a hot key and null keys."""
+    rng = random.Random(15)
+    rows = [(rng.randrange(5000) if i % 3 else 77, "z" * rng.randrange(50)) for i in range(3000)] + [(None, "n")] * 200
+    out = sharding.shard(docs_of(rows).repartition(3), shards=6, range_rows=20, coarse=4)
+    check_shards(rows, out.collect(), 6)
+    plain = [(i, "") for i in range(2000)]  # without hot keys shards are contiguous key ranges, but for the ranges at their borders
+    got = sorted((r.doc_id, r.shard) for r in sharding.shard(docs_of(plain), shards=6, range_rows=20, coarse=4).collect())
+    assert all(s == i * 6 // 2000 for i, s in got if 60 < i % (2000 / 6) < 270)
+    assert sharding.shard(docs_of([]), coarse=4).count() == 0
+
+
 def test_binary_search(spark):
-    bounds = [-5, 0, 3, 3, 10]
-    got = spark.range(-8, 14).select("id", sharding._search(bounds, F.col("id")).alias("n")).collect()
-    assert all(r.n == sum(b <= r.id for b in bounds) for r in got)
+    for bounds in ([-5, 0, 3, 3, 10], [], [1]):
+        table = F.lit(bounds) if bounds else F.array().cast("array<bigint>")
+        got = spark.range(-8, 14).select("id", sharding._search(table, len(bounds), F.col("id")).alias("n")).collect()
+        assert all(r.n == sum(b <= r.id for b in bounds) for r in got)
+
+
+def test_write_shards(spark, docs_of, tmp_path):
+    rows = [(i, "x" * (i % 9)) for i in range(60)] + [(None, "q")] * 5 + [(None, None), (7, "xxxxxxx"), (7, "other")]
+    docs = docs_of(rows).withColumn("shard", F.lit("own")).withColumn("_slot", F.lit(1))
+    sharding.write_shards(docs, str(tmp_path / "s"), shards=3)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert Counter((r.doc_id, r.text) for r in back.collect()) == Counter(rows)
+    assert set(docs.columns) | {"shard_"} == set(back.columns) and back.select("shard_").distinct().count() == 3
 
 
 # ---- sentencepiece
