@@ -30,8 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import documents, materialize, shuffle_partitions, texts
+from .common import BROADCAST_ROWS, documents, join_one, map_texts, materialize, shuffle_partitions, texts
 
 LEAST = 50
 GRAM = 8
@@ -198,37 +199,40 @@ def _windows(least: int, window: int):
     return run
 
 
+def _shared(rows: DataFrame, column: str) -> DataFrame:
+    """The written ``rows`` whose ``column`` another document has too; a value that very many have is spread over tasks."""
+    counted = rows.groupBy(column).agg(F.min("key").alias("a"), F.max("key").alias("b"), F.count("*").alias("rows")).filter("a < b").select(column, "rows")
+    return join_one(rows, materialize(counted), column, "rows", "inner")
+
+
 def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """``doc_id, begin_word, end_word`` of every merged span of at least ``least`` words that another document has too."""
     if least - gram + 1 < window or least - window + 1 < gram:
         raise ValueError("a passage must hold a whole window of shingles, and a suffix's beginning a whole shingle")
     spark = docs.sparkSession
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
-    retained = materialize(keyed.select("key", "text").mapInArrow(_retained(least, gram, window), "key long, pos int, hash long"))
-    # written, so that the join below has a plain exchange on both sides and a frequent hash can be split
-    shared = materialize(retained.groupBy("hash").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a < b").select("hash"))
-    wanted = retained.join(shared, "hash", "left_semi").groupBy("key").agg(F.collect_set("pos").alias("at"))  # a document's own positions
+    retained = materialize(map_texts(keyed.select("key", "text"), _retained(least, gram, window), "key long, pos int, hash long"))
+    wanted = _shared(retained, "hash").groupBy("key").agg(F.collect_set("pos").alias("at"))  # a document's own positions
     one_each = keyed.join(wanted, "key").dropDuplicates(["key"]).select("key", "text", "at")
-    suffixes = materialize(one_each.mapInArrow(_contexts(least, window), "key long, pos int, suffix binary, before binary"))
+    suffixes = materialize(map_texts(one_each, _contexts(least, window), "key long, pos int, suffix binary, before binary"))
     n = max(shuffle_partitions(spark), -(-suffixes.count() // TASK_SUFFIXES))
     ordered = suffixes.repartitionByRange(n, "suffix", "key", "pos").sortWithinPartitions("suffix", "key", "pos")
     found = materialize(ordered.mapInArrow(_compared(least, window), "kind int, key long, begin long, end long, head long"))
-    heads = found.filter("kind = 1").select("head").distinct()
-    doubtful = suffixes.mapInArrow(_headed(least, window), "key long, pos int, suffix binary, before binary, head long").join(heads, "head", "left_semi")
+    heads = materialize(found.filter("kind = 1").select("head").distinct())
+    headed = suffixes.mapInArrow(_headed(least, window), "key long, pos int, suffix binary, before binary, head long")
+    if heads.count() <= BROADCAST_ROWS:
+        doubtful = headed.join(F.broadcast(heads), "head", "left_semi")
+    else:
+        doubtful = join_one(headed, materialize(headed.groupBy("head").agg(F.count("*").alias("rows")).join(heads, "head", "left_semi")), "head", "rows", "inner")
     windows = materialize(doubtful.mapInArrow(_windows(least, window), "key long, begin long, hash long"))
-    twice = materialize(windows.groupBy("hash").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a < b").select("hash"))
-    exact = windows.join(twice, "hash", "left_semi").select("key", "begin", (F.col("begin") + least).alias("end"))
+    exact = _shared(windows, "hash").select("key", "begin", (F.col("begin") + least).alias("end"))
     spans = found.filter("kind = 0").select("key", "begin", "end").unionByName(exact)
-    span = F.struct("begin", "end")
-    merged = F.aggregate(
-        F.array_sort("spans"),
-        F.array().cast("array<struct<begin:bigint,end:bigint>>"),
-        lambda done, s: F.when(
-            (F.size(done) > 0) & (F.element_at(done, -1)["end"] >= s["begin"]),
-            F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["begin"].alias("begin"), F.greatest(F.element_at(done, -1)["end"], s["end"]).alias("end")))),
-        ).otherwise(F.concat(done, F.array(s))),
-    )
-    per_key = spans.groupBy("key").agg(F.collect_set(span).alias("spans")).select("key", F.explode(merged).alias("s")).select("key", "s.begin", "s.end")
+    # spans that overlap or touch are one: a new one begins beyond all earlier ends
+    earlier = Window.partitionBy("key").orderBy("begin", "end")
+    reach = F.max("end").over(earlier.rowsBetween(Window.unboundedPreceding, -1))
+    marked = spans.withColumn("new", (reach.isNull() | (reach < F.col("begin"))).cast("int"))
+    numbered = marked.withColumn("span", F.sum("new").over(earlier.rowsBetween(Window.unboundedPreceding, 0)))
+    per_key = numbered.groupBy("key", "span").agg(F.min("begin").alias("begin"), F.max("end").alias("end")).drop("span")
     ids = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key")).distinct()
     return ids.join(per_key, "key").select("doc_id", F.col("begin").alias("begin_word"), F.col("end").alias("end_word"))
 
