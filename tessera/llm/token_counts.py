@@ -23,7 +23,7 @@ from .common import documents, map_texts, materialize, texts
 from .packing import default_tokenizer
 from .tokens import bpe
 
-BLOCK = 1024
+BLOCK = 64
 
 
 def _lengths(path: str):
@@ -41,7 +41,7 @@ def histogram(docs: DataFrame, tokenizer: str) -> DataFrame:
 
 
 def suffix_sums(hist: DataFrame) -> DataFrame:
-    """For each length L that occurs: documents and tokens of documents of L or more, the corpus cut at L, and the share of documents up to L."""
+    """For each length L that occurs: documents and tokens of documents of L or more, the corpus cut at L, how many documents are up to L, and how many there are."""
     hist = materialize(hist.select("n_tokens", "n_docs"))
     block = F.floor(F.col("n_tokens") / BLOCK)
     rows = hist.withColumn("block", block).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
@@ -55,7 +55,7 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
     return out.select(
         "n_tokens", "n_docs", "docs_at_least", "tokens_at_least",
         (F.col("all_tokens") - F.col("tokens_at_least") + F.col("n_tokens") * F.col("docs_at_least")).alias("truncated_total"),
-        F.round((F.col("docs") - F.col("docs_at_least") + F.col("n_docs")) / F.col("docs"), 9).alias("share_up_to"),
+        (F.col("docs") - F.col("docs_at_least") + F.col("n_docs")).alias("docs_up_to"), "docs",
     )
 
 
@@ -72,7 +72,7 @@ def at_limits(sums: DataFrame, limits: list[int]) -> DataFrame:
 def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:
     """``share, n_tokens``: the least length that so many documents don't exceed."""
     asked = sums.sparkSession.createDataFrame([(float(x),) for x in shares], "share double")
-    return sums.join(F.broadcast(asked), sums["share_up_to"] >= asked["share"]).groupBy("share").agg(F.min("n_tokens").alias("n_tokens"))
+    return sums.join(F.broadcast(asked), sums["docs_up_to"] / sums["docs"] >= asked["share"]).groupBy("share").agg(F.min("n_tokens").alias("n_tokens"))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

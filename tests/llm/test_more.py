@@ -238,7 +238,7 @@ def test_histogram_and_limits(spark, docs_of, corpus):
     assert {k: r.n_docs for k, r in got.items()} == Counter(lengths)
     for n, r in got.items():
         assert (r.docs_at_least, r.tokens_at_least, r.truncated_total) == (sum(x >= n for x in lengths), sum(x for x in lengths if x >= n), sum(min(x, n) for x in lengths))
-        assert abs(r.share_up_to - sum(x <= n for x in lengths) / len(lengths)) < 1e-8
+        assert (r.docs_up_to, r.docs) == (sum(x <= n for x in lengths), len(lengths))
     limits = [0, 1, 100, 512, 1024, 4096, 10**7]
     for r in token_counts.at_limits(sums, limits).collect():
         assert (r.docs_over, r.truncated_total) == (sum(x > r.context for x in lengths), sum(min(x, r.context) for x in lengths))

@@ -2,6 +2,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
@@ -48,3 +49,60 @@ def test_near_dedup_stage(spark, docs_of, lags, tile, monkeypatch):
 
 def test_near_dedup_of_an_empty_table(spark, docs_of):
     assert corpus_pipeline.near_dedup(spark, docs_of([]), "").count() == 0
+
+
+def brute_pipeline(rows):
+    """Ids, texts and places in the original table of what the first four stages keep."""
+    import zstandard
+
+    from tessera.llm import pii, quality
+
+    compressor = zstandard.ZstdCompressor(level=3)
+    kept = [(i, t) for i, t in rows if quality.measure(t or "", compressor)[9]]  # too few texts of a length for fitted bands
+    groups = {}
+    for i, t in kept:
+        groups.setdefault("".join((t or "").split(" ")).replace("\n", ""), []).append((-len(t or ""), i is None, i or 0, t))
+    kept = [(None if g[1] else g[2], g[3]) for g in map(min, groups.values())]
+    kept = [(i, t) for i, t in kept]
+    stays = brute_kept(kept)
+    return stays, {t: pii.mask(t, [s for part in pii.find(t) for s in part]) for _, t in kept}
+
+
+def test_pipeline_on_nulls_repeats_and_clashes(spark, docs_of, tmp_path):
+    from tokenizers import Tokenizer
+
+    from tessera.llm.packing import default_tokenizer
+
+    rng = np.random.default_rng(21)
+    stems = ["".join(rng.choice(list("abcdefghilmnoprstu"), rng.integers(2, 8))) for _ in range(900)]
+    prose = lambda n: " ".join(rng.choice(stems, n))
+    base = [prose(int(n)) for n in rng.integers(60, 300, 24)]
+    rows = list(enumerate(base)) + [(100 + i, base[i].replace(" ", "  ", 1)) for i in range(4)]  # exact copies but for a space
+    rows += [(200 + i, base[4 + i] + " zz") for i in range(4)]  # near copies
+    rows += [(None, base[9]), (None, prose(70)), (None, prose(80)), (5, prose(90)), (5, prose(100)), (6, base[6]), (None, None), (300, ""), (301, "short text")]
+    rows += [(400, prose(60) + " mail a.b@c.de or +1 222 333 4444 " + prose(60)), (401, "x " * 400), (402, prose(4000))]
+    docs = docs_of(rows).drop("sha").withColumn("bands", F.lit(1)).withColumn("_measured", F.lit("m"))
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    stays, masked = brute_pipeline(rows)
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    pieces, lengths = Counter(), {}
+    for r in out:
+        pieces[r.doc_id] += r.length
+        lengths.setdefault(r.doc_id, Counter())[r.doc_tokens] += r.length
+    tokenizer = Tokenizer.from_file(default_tokenizer())
+    count = lambda t: len(tokenizer.encode(masked[t], add_special_tokens=False).ids) + 1
+    assert set(pieces) == set(stays)
+    own = Counter()  # documents by id and tokens: a document's pieces add up to its tokens
+    for i, c in lengths.items():
+        for tokens, n in c.items():
+            assert n % tokens == 0
+            own[i] += n // tokens
+    assert own == stays
+    for i, t in rows:
+        if i is not None and Counter(x for x, _ in rows)[i] == 1 and stays[i]:
+            assert pieces[i] == count(t)
+
+
+def test_pipeline_on_an_empty_table(spark, docs_of, tmp_path):
+    docs_of([]).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
