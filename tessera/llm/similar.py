@@ -10,17 +10,18 @@ fingerprints in a bucket are compared bit-sliced, and what is near is verified.
    fingerprint and the keys of ``BANDS`` bands of ``ROWS`` minimal hashes. Equal sets
    are one node. A pair at 0.8 has no band in common with a chance of
    (1 - 0.8**5)**32, three in a million.
-2. In each bucket every node is compared with its ``LAGS`` next ones and with the
-   least: a few comparisons a node, whatever the bucket's size. Carry-save counters
-   over bit planes abandon words in which all exceed ``RADIUS`` bits; a pair at 0.8
+2. In each bucket every node is compared with its ``LAGS`` next ones and with the bucket's
+   centre, the node nearest to the majority of its fingerprints' bits - of near copies that is
+   their original or one like it: a few comparisons a node, whatever the bucket's size. Carry-save
+   counters over bit planes abandon words in which all exceed ``RADIUS`` bits; a pair at 0.8
    exceeds it with a chance of under one in a hundred thousand.
 3. Near pairs are verified on the whole sets; what is below 0.8 isn't linked.
 4. Where a bucket is longer than that and its nodes are still in several components, every
    node outside the bucket's largest component is compared with all of other components.
    Only pairs that could join two components are made.
 
-A bucket of more than ``TILE`` nodes is dealt to tiles: in step 2 each with the least
-node of the bucket, in step 4 the nodes outside the largest component visit every tile.
+A bucket of more than ``TILE`` nodes is dealt to tiles: in step 2 each with the centre
+of the whole bucket, in step 4 the nodes outside the largest component visit every tile.
 
 Defined results: words are those of :mod:`.simhash`; null and empty texts are one
 node; fewer words than a shingle make one shingle of what is there; an empty table
@@ -137,8 +138,15 @@ def _pairs_batch(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
 
 
+def _centre(prints: np.ndarray) -> int:
+    """The position of the fingerprint that is nearest to the majority of the bits."""
+    ones = np.unpackbits(prints.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    most = np.packbits(ones * 2 > len(prints), bitorder="little").view("<u8")[0]
+    return int(np.bitwise_count(prints ^ most).argmin())
+
+
 def _first_pairs(lags: int):
-    """Near pairs of each node with the next ones and the least of its bucket. Rows come sorted by ``bucket, key``."""
+    """Near pairs of each node with the next ones and the centre of its bucket. Rows come sorted by ``bucket, key``."""
 
     def run(batches):
         got = _columns(batches, "bucket", "key", "size", "fp")
@@ -146,10 +154,12 @@ def _first_pairs(lags: int):
             return
         bucket, key, size, prints = got[0], got[1], got[2].astype(np.int64), got[3].view(np.uint64)
         start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-        first = np.repeat(start, np.diff(np.append(start, len(bucket))))
-        far = np.flatnonzero(np.arange(len(bucket)) > first + lags)
-        hits = far[near_heads(prints[far], prints[first[far]], RADIUS)] if len(far) else far
-        for i, j in ((first[hits], hits), near_in_runs(bucket, prints, RADIUS, lags)):
+        length = np.diff(np.append(start, len(bucket)))
+        long = length > lags + 1
+        centre = np.array([a + _centre(prints[a : a + n]) for a, n in zip(start[long], length[long], strict=True)], np.int64)
+        far, hub = np.flatnonzero(np.repeat(long, length)), np.repeat(centre, length[long])
+        hits = near_heads(prints[far], prints[hub], RADIUS) if len(far) else far
+        for i, j in ((hub[hits], far[hits]), near_in_runs(bucket, prints, RADIUS, lags)):
             good = _possible(size[i], size[j]) & (key[i] != key[j])
             yield _pairs_batch(key[i[good]], key[j[good]])
 
@@ -206,6 +216,18 @@ def _in_buckets(rows: DataFrame, count: int, mapped, schema: str = "u long, v lo
     return materialize(rows.repartition(n, "bucket").sortWithinPartitions("bucket", "key").mapInArrow(mapped, schema).distinct())
 
 
+def _centres(rows: DataFrame) -> DataFrame:
+    """``band, tiles`` and ``key, size, fp`` of the centre of each band, by aggregates."""
+    bit = lambda b: F.sum(F.shiftrightunsigned("fp", b).bitwiseAND(1))
+    most = rows.groupBy("band").agg(F.count("*").alias("rows"), *(bit(b).alias(f"b{b}") for b in range(64)))
+    made = F.lit(0).cast("long")
+    for b in range(64):
+        made = made.bitwiseOR(F.when(F.col(f"b{b}") * 2 > F.col("rows"), F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0).cast("long")))
+    held = rows.join(F.broadcast(most.select("band", made.alias("most"))), "band")
+    best = held.groupBy("band").agg(F.min(F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("most"))).alias("d"), "key", "size", "fp", "tiles")).alias("f"))
+    return best.select("band", "f.tiles", "f.key", "f.size", "f.fp")
+
+
 def similar_groups(docs: DataFrame, lags: int = LAGS, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
     """``doc_id, key`` of every row, and ``key, copies, least, root`` of every set: its rows, their least id and its component's name."""
     described = materialize(map_texts(docs.select("doc_id", "text"), _described, _DESCRIBED))
@@ -213,16 +235,15 @@ def similar_groups(docs: DataFrame, lags: int = LAGS, tile: int = TILE) -> tuple
     nodes = materialize(described.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min(new).alias("f")).select("key", "least", "copies", "f.*"))
     banded = nodes.select("key", "size", "fp", F.explode("bands").alias("band"))
     count = BANDS * nodes.count()
-    in_band = materialize(banded.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct("key", "size", "fp")).alias("f")).filter(F.col("n") > lags + 1))
-    hot = in_band.filter(F.col("n") > tile).select("band", "f", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
+    in_band = materialize(banded.groupBy("band").agg(F.count("*").alias("n")).filter(F.col("n") > lags + 1))
+    hot = in_band.filter(F.col("n") > tile).select("band", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
     bucket = lambda tile: F.xxhash64("band", tile)
     home = F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")
     if hot.isEmpty():
         dealt = banded.withColumnRenamed("band", "bucket")
     else:  # hot bands are few: each has over a tile of rows
-        own = banded.join(F.broadcast(hot.drop("f")), "band", "left").select("key", "size", "fp", F.coalesce(bucket(home), "band").alias("bucket"))
-        least = hot.select("band", "f.*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
-        dealt = own.unionByName(least.select("key", "size", "fp", bucket(F.col("tile")).alias("bucket")))
+        own = banded.join(F.broadcast(hot), "band", "left").select("key", "size", "fp", F.coalesce(bucket(home), "band").alias("bucket"))
+        dealt = own.unionByName(_centres(banded.join(F.broadcast(hot), "band")).select("key", "size", "fp", F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), bucket)).alias("bucket")))
     pairs = _in_buckets(dealt.select("bucket", "key", "size", "fp"), count, _first_pairs(lags))
     links = _verified(pairs, docs)
     joined = components(links)
