@@ -91,27 +91,50 @@ def tag_counts(x: Column) -> Column:
     return F.regexp_extract_all(x, F.lit(r"<([a-zA-Z][\w.:-]*)"), F.lit(1))
 
 
-def balance(x: Column) -> Column:
-    """Closers for the brackets that ``x`` leaves open outside strings, innermost first; unmatched closers are ignored."""
-    start = F.named_struct(F.lit("open"), F.lit(""), F.lit("quoted"), F.lit(False), F.lit("escaped"), F.lit(False))
+_NAME = r"[\w.:-]+"
+#: A string, or a part of one that never ends; without backtracking, as strings may be long.
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+#: What repair reads a text as: an attribute, a string, a bare word before a key, or any character.
+_PIECES = rf'(?Us){_NAME}\s*+=\s*+"[^"]*+"|{_STRING}|(?<!["\w]){_NAME}\s++(?="{_NAME}":)|.'
 
-    def step(a, c):
-        text = a["quoted"]
-        matches = ((c == "}") & F.endswith(a["open"], F.lit("{"))) | ((c == "]") & F.endswith(a["open"], F.lit("[")))
-        opened = F.when(~text & c.isin("{", "["), F.concat(a["open"], c)).when(~text & matches, F.left(a["open"], F.length(a["open"]) - 1)).otherwise(a["open"])
-        quote = (c == '"') & ~a["escaped"]
-        return F.named_struct(F.lit("open"), opened, F.lit("quoted"), F.when(quote, ~text).otherwise(text), F.lit("escaped"), text & (c == "\\") & ~a["escaped"])
 
-    return F.translate(F.reverse(F.aggregate(F.split(x, ""), start, step, lambda a: a["open"])), "{[", "}]")
+def balance(marks: Column) -> Column:
+    """Closers for the brackets that a list of single brackets leaves open, innermost first; unmatched closers are ignored."""
+
+    def step(held, c):
+        closes = ((c == "}") & F.endswith(held, F.lit("{"))) | ((c == "]") & F.endswith(held, F.lit("[")))
+        return F.when(c.isin("{", "["), F.concat(held, c)).when(closes, F.left(held, F.length(held) - 1)).otherwise(held)
+
+    return F.translate(F.reverse(F.aggregate(marks, F.lit(""), step)), "{[", "}]")
+
+
+def mended(x: Column) -> Column:
+    """``x`` with JSON's rules applied, whether or not it parses then.
+
+    One reading of the text splits it into pieces, strings being one each, so nothing inside a string is
+    touched: attributes become members, a bare word before a key the key of an object, trailing tag ends go, as do commas before a
+    closer, and open brackets are closed.
+    """
+    cut = F.regexp_replace(F.regexp_replace(x, r"(?U)^\s+|\s+$", ""), r"(?U)[/>]+$|[/>]+\s*$", "")
+    pieces = F.regexp_extract_all(cut, F.lit(f"({_PIECES})"), F.lit(1))
+
+    def piece(t):
+        attribute = F.regexp_replace(t, rf'(?Us)^({_NAME})\s*=\s*(".*)$', r'"$1": $2,')
+        word = F.regexp_replace(t, rf"(?U)^({_NAME})\s+$", r'"$1": { ')
+        return F.when(t.startswith('"'), t).when(t == ",", t).when(F.length(t) == 1, t).when(t.contains("="), attribute).otherwise(word)
+
+    def closed(parts):
+        marks = F.filter(parts, lambda t: t.isin("{", "}", "[", "]") | (t.endswith('": { ') & ~t.startswith("{")))
+        return F.concat(F.array_join(parts, ""), balance(F.transform(marks, lambda t: F.substring(F.trim(t), -1, 1))))
+
+    made = F.get(F.transform(F.array(F.transform(pieces, piece)), closed), 0)
+    return F.regexp_replace(made, rf"(?s)({_STRING})|,(?=\s*[}}\]])", "$1")
 
 
 def repair_json(x: Column) -> Column:
-    """JSON text mended by rule - attributes to members, bare words to objects, tag ends cut, brackets closed, trailing commas dropped - or null if it still doesn't parse."""
-    a = F.regexp_replace(x, r'(?U)(\w+)="([^"]*)"', r'"$1": "$2",')
-    b = F.regexp_replace(a, r'(?U)(?<!["\w])(\w+)\s+"(?=\w+":)', r'"$1": { "')
-    c = F.regexp_replace(F.regexp_replace(F.regexp_replace(b, r"(?U)^\s+|\s+$", ""), r"[/>]+$", ""), r"(?U)\s+$", "")
-    d = F.regexp_replace(F.concat(c, balance(c)), r",\s*([}\]])", "$1")
-    return F.when(parses(x), x).when(parses(d), d)
+    """JSON text mended by rule - see :func:`mended` - or null if it still doesn't parse; what parses stays as it is."""
+    checked = F.get(F.transform(F.array(mended(x)), lambda m: F.when(parses(m), m)), 0)
+    return F.when(parses(x), x).otherwise(checked)
 
 
 def parses(x: Column) -> Column:
@@ -130,3 +153,46 @@ def greedy_groups(lines: Column, budget: int) -> Column:
         return F.struct(F.concat(a["out"], F.array(g)).alias("out"), g.alias("g"), F.when(fresh, n).otherwise(a["used"] + n).alias("used"))
 
     return F.aggregate(lines, start, step, lambda a: a["out"])
+
+
+def left(x: Column, n: int = 20) -> Column:
+    """The first ``n`` code points."""
+    return F.left(x, F.lit(n))
+
+
+def prefix_name(seed: int, *keys: Column) -> Column:
+    """Eight characters of a digest after a letter, so that it is a valid XML name."""
+    return F.concat(F.lit("u"), F.left(draw(seed, *keys), F.lit(7)))
+
+
+def merged_map(a: Column, b: Column) -> Column:
+    """Both maps' entries, those of ``b`` in place of equal keys of ``a``, whatever the session says of repeated keys."""
+    return F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)
+
+
+def promoted_values(values: Column) -> Column:
+    """JSON of what was collected under one key: one value as it is, more as a list; lists among them are taken apart."""
+    parts = F.filter(F.flatten(F.transform(values, lambda v: F.when(v.startswith("["), F.from_json(v, "array<string>")).otherwise(F.array(v)))), lambda v: v.isNotNull())
+    return F.when(F.size(values) == 1, F.get(values, 0)).otherwise(F.concat(F.lit("["), F.array_join(parts, ","), F.lit("]")))
+
+
+def coerced(x: Column) -> Column:
+    """JSON text of a scalar's text: true and false, null where it is empty, a whole number, else a string."""
+    number, quoted = x.try_cast("long"), F.to_json(F.array(x))
+    text = F.substr(quoted, F.lit(2), F.length(quoted) - 2)
+    return F.when(F.coalesce(x, F.lit("")) == "", "null").when(x.isin("true", "false"), x).when(number.isNotNull() & x.rlike(r"^\s*[+-]?[0-9]+\s*$"), number.cast("string")).otherwise(text)
+
+
+def token_strings(x: Column) -> Column:
+    """Runs of anything but white space."""
+    return F.filter(F.split(x, r"\s+"), lambda t: t != "")
+
+
+def token_count(x: Column, count=F.length) -> Column:
+    """Tokens of a text by a pluggable function of a column; code points where none is given. Null counts as empty."""
+    return count(F.coalesce(x, F.lit("")))
+
+
+def in_turn(options: list[str], i: Column) -> Column:
+    """The options one after the other."""
+    return F.get(F.array(*map(F.lit, options)), F.pmod(i, F.lit(len(options))).cast("int"))

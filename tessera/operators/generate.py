@@ -1,213 +1,154 @@
 """Paired documents: deterministic, format-tagged XML with the JSON it stands for.
 
-A format is a function from a key to columns (xml, json). All draws come from an md5 of
-(seed, id, place), so any partitioning gives the same rows, and other engines can follow.
+All draws come from an md5 of (seed, id, place), so any partitioning gives the same rows, and other engines
+can follow. The names of a document are drawn once, in a projection of their own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import draw, draw_int, pick
 
-WORDS = ["amber", "birch", "cedar", "delta", "ember", "fjord", "grove", "heron", "islet", "jetty", "knoll", "larch", "maple", "north", "ocean", "plain"]
-#: Items of a list by difficulty: (least, most).
-LENGTHS = {"easy": (2, 4), "medium": (2, 9), "hard": (3, 20)}
-
-Pair = tuple[Column, Column]
-FORMATS: dict[str, tuple[list[str], Callable[[int, Column, Column], Pair]]] = {}
-
-
-def register(name: str, *tags: str):
-    def add(fn):
-        FORMATS[name] = (list(tags), fn)
-        return fn
-
-    return add
-
-
-def _name(seed: int, place: str, i: Column) -> Column:
-    return F.concat(pick(WORDS, seed, i, F.lit(place)), F.lit("_"), F.lit(place))
-
-
-def _word(seed: int, i: Column, *place: Column) -> Column:
-    return pick(WORDS, seed, i, *place)
-
-
-def _cat(*parts) -> Column:
-    return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
-
+from .formats import CLASSES, DIFFICULTY, EXPERIMENTS, FORMATS, LEVELS, Draw, names_of
+from .markup import Node, cat, obj
 
-def _items(n: Column, each: Callable[[Column], Column], between: str) -> Column:
-    return F.array_join(F.transform(F.sequence(F.lit(1), n.cast("int")), each), between)
+SECOND = [f for f, x in FORMATS.items() if x.family == "second"]
 
 
-@register("SingleField", "simple_kv", "nested_object")
-def single_field(seed, i, n):
-    r, f, v = _name(seed, "r", i), _name(seed, "f", i), _word(seed, i, F.lit("v"))
-    return _cat("<", r, "><", f, ">", v, "</", f, "></", r, ">"), _cat('{"', r, '":{"', f, '":"', v, '"}}')
-
-
-@register("AttributedEntity", "attribute_to_kv")
-def attributed_entity(seed, i, n):
-    r, a, b = (_name(seed, k, i) for k in "rab")
-    x, y = _word(seed, i, F.lit("x")), _word(seed, i, F.lit("y"))
-    return _cat("<", r, " ", a, '="', x, '" ', b, '="', y, '"/>'), _cat('{"', r, '":{"@', a, '":"', x, '","@', b, '":"', y, '"}}')
-
-
-@register("BasicEntity", "simple_kv", "attribute_to_kv", "merged_object")
-def basic_entity(seed, i, n):
-    r, a, c = (_name(seed, k, i) for k in "rac")
-    x, y = _word(seed, i, F.lit("x")), _word(seed, i, F.lit("y"))
-    return _cat("<", r, " ", a, '="', x, '"><', c, ">", y, "</", c, "></", r, ">"), _cat('{"', r, '":{"@', a, '":"', x, '","', c, '":"', y, '"}}')
+def active_formats(asked: list[str] | None = None, exclude: list[str] = (), experiment: str | None = None) -> list[str]:
+    """The formats to draw from; an unknown name or none left is an error."""
+    names = asked if asked is not None else [f for part in EXPERIMENTS[experiment] for f in part] if experiment else SECOND
+    unknown = sorted({*names, *exclude} - FORMATS.keys())
+    if unknown:
+        raise ValueError(f"unknown formats: {', '.join(unknown)}")
+    names = [f for f in dict.fromkeys(names) if f not in exclude]
+    if not names:
+        raise ValueError("no active format")
+    return names
 
 
-@register("PropertyList", "list_of_values", "nested_object")
-def property_list(seed, i, n):
-    r, t = _name(seed, "r", i), _name(seed, "i", i)
-    v = lambda k: _word(seed, i, k)
-    return _cat("<", r, ">", _items(n, lambda k: _cat("<", t, ">", v(k), "</", t, ">"), ""), "</", r, ">"), _cat('{"', r, '":{"', t, '":[', _items(n, lambda k: _cat('"', v(k), '"'), ","), "]}}")
+def allocation(total: int, easy: float = 0.3, medium: float = 0.4) -> dict[str, int]:
+    """Rows by difficulty; what rounding leaves goes to hard."""
+    a, b = int(total * easy), int(total * medium)
+    return {"easy": a, "medium": b, "hard": total - a - b}
 
 
-@register("ListOfSimpleEntities", "list_of_objects", "simple_kv", "nested_object")
-def simple_entities(seed, i, n):
-    r, t, a, b = (_name(seed, k, i) for k in ("r", "i", "a", "b"))
-    v = lambda k, p: _word(seed, i, k, F.lit(p))
-    xml = _items(n, lambda k: _cat("<", t, "><", a, ">", v(k, "a"), "</", a, "><", b, ">", v(k, "b"), "</", b, "></", t, ">"), "")
-    return _cat("<", r, ">", xml, "</", r, ">"), _cat('{"', r, '":{"', t, '":[', _items(n, lambda k: _cat('{"', a, '":"', v(k, "a"), '","', b, '":"', v(k, "b"), '"}'), ","), "]}}")
+def _levelled(rows: DataFrame, table: str, seed: int, structured: bool, i: str = "ex_id", suffix: Column | None = None) -> DataFrame:
+    """The draws that a document's size and names depend on, once for each row."""
+    i = F.col(i)
+    at = lambda k: F.coalesce(*(F.when(F.col("difficulty") == d, DIFFICULTY[table][d][k]) for d in LEVELS))
+    between = lambda low, high, place: at(low) + draw_int(seed, at(high) - at(low) + 1, i, F.lit(place))
+    return rows.withColumns({"_n": between(0, 1, "n"), "_sub": between(2, 3, "sub"), "_depth": at(4), "_option": at(5), "_names": names_of(seed, i, structured, suffix)})
 
 
-@register("OrderedMixedContent", "mixed_content", "attribute_to_kv", "simple_kv", "nested_object")
-def mixed_content(seed, i, n):
-    r, a, c = (_name(seed, k, i) for k in "rac")
-    w = [_word(seed, i, F.lit(p)) for p in "wxyz"]
-    return _cat("<", r, " ", a, '="', w[0], '">', w[1], "<", c, ">", w[2], "</", c, ">", w[3], "</", r, ">"), _cat('{"', r, '":{"@', a, '":"', w[0], '","#content":["', w[1], '",{"', c, '":"', w[2], '"},"', w[3], '"]}}')
+def _drawn(seed: int, i: str = "ex_id", inner: Node | None = None, first: Column | None = None, last: Column | None = None) -> Draw:
+    return Draw(seed, F.col(i), F.col("difficulty"), F.col("_n"), F.col("_sub"), F.col("_depth"), F.col("_option"), F.col("_names"), inner, first, last)
 
 
-@register("SpecialValues", "simple_kv", "type_casting", "empty_element_to_null")
-def special_values(seed, i, n):
-    r, a, b, c = (_name(seed, k, i) for k in "rabc")
-    return _cat("<", r, "><", a, "/><", b, ">true</", b, "><", c, ">false</", c, "></", r, ">"), _cat('{"', r, '":{"', a, '":null,"', b, '":true,"', c, '":false}}')
+def _built(names: list[str], d: Draw, chosen: Column) -> Column:
+    """``xml, tag, js, prolog`` of the chosen format: one struct a format."""
+    made = []
+    for f in names:
+        root, prolog = FORMATS[f].build(d), FORMATS[f].prolog
+        made.append(F.when(chosen == f, F.struct(root.xml.alias("xml"), cat(root.key).alias("tag"), root.js.alias("js"), cat(prolog(d) if prolog else "").alias("prolog"))))
+    return F.coalesce(*made)
 
 
-@register("NamespacedObject", "namespace_handling", "attribute_to_kv", "simple_kv")
-def namespaced(seed, i, n):
-    r, p, c, v = _name(seed, "r", i), _word(seed, i, F.lit("p")), _name(seed, "c", i), _word(seed, i, F.lit("v"))
-    return _cat("<", r, " xmlns:", p, '="urn:', p, '"><', p, ":", c, ">", v, "</", p, ":", c, "></", r, ">"), _cat('{"', r, '":{"@xmlns:', p, '":"urn:', p, '","', p, ":", c, '":"', v, '"}}')
+def _tags(names: list[str], chosen: Column) -> Column:
+    return F.coalesce(*(F.when(chosen == f, F.array(*map(F.lit, FORMATS[f].tags))) for f in names))
 
 
-@register("HeterogeneousList", "list_of_objects", "list_of_values", "mixed_content")
-def heterogeneous(seed, i, n):
-    r, t, c = _name(seed, "r", i), _name(seed, "i", i), _name(seed, "c", i)
-    v, plain = (lambda k: _word(seed, i, k)), (lambda k: draw_int(seed, 2, i, k, F.lit("h")) == 0)
-    xml = _items(n, lambda k: F.when(plain(k), _cat("<", t, ">", v(k), "</", t, ">")).otherwise(_cat("<", t, "><", c, ">", v(k), "</", c, "></", t, ">")), "")
-    return _cat("<", r, ">", xml, "</", r, ">"), _cat('{"', r, '":{"', t, '":[', _items(n, lambda k: F.when(plain(k), _cat('"', v(k), '"')).otherwise(_cat('{"', c, '":"', v(k), '"}')), ","), "]}}")
+def _pairs(rows: DataFrame, names: list[str], seed: int, structured: bool, table: str) -> DataFrame:
+    made = _levelled(rows, table, seed, structured).withColumn("_made", _built(names, _drawn(seed), F.col("format_id")))
+    question = F.concat("_made.prolog", "_made.xml")
+    answer = cat('{"', F.col("_made.tag"), '":', F.col("_made.js"), "}")
+    return made.select("ex_id", question.alias("question"), answer.alias("answer"), "format_id", _tags(names, F.col("format_id")).alias("tags"), "difficulty")
 
 
-@register("CDataField", "cdata_section", "simple_kv")
-def cdata(seed, i, n):
-    r, c, v = _name(seed, "r", i), _name(seed, "c", i), _word(seed, i, F.lit("v"))
-    return _cat("<", r, "><", c, "><![CDATA[<p>", v, "</p>]]></", c, "></", r, ">"), _cat('{"', r, '":{"', c, '":"<p>', v, '</p>"}}')
+def generate(spark: SparkSession, total: int, formats: list[str] | None = None, seed: int = 42, curriculum: bool = False, exclude: list[str] = (), experiment: str | None = None, distribution: tuple[float, float] = (0.3, 0.4), structured: bool = True, table: str = "second") -> DataFrame:
+    """``ex_id, question, answer, format_id, tags, difficulty``; ids follow difficulty, and with ``curriculum`` the order of rows is theirs, else a hash's (``shuffle_key``)."""
+    names = active_formats(formats, exclude, experiment)
+    n = allocation(total, *distribution)
+    i = F.col("ex_id")
+    level = F.when(i < n["easy"], "easy").when(i < n["easy"] + n["medium"], "medium").otherwise("hard")
+    rows = spark.range(total).withColumnRenamed("id", "ex_id").withColumn("difficulty", level).withColumn("format_id", pick(names, seed, i, F.lit("format")))
+    out = _pairs(rows, names, seed, structured, table)
+    return out if curriculum else out.withColumn("shuffle_key", draw(seed, i))
 
 
-@register("HintedEmptyNode", "type_casting", "attribute_to_kv")
-def hinted(seed, i, n):
-    r, f = _name(seed, "r", i), _name(seed, "f", i)
-    kind = pick(["object", "list", "string", "boolean"], seed, i, F.lit("kind"))
-    value = F.when(kind == "object", "{}").when(kind == "list", "[]").when(kind == "string", '""').otherwise("false")
-    return _cat("<", r, "><", f, ' type="', kind, '"/></', r, ">"), _cat('{"', r, '":{"', f, '":', value, "}}")
+def in_order(df: DataFrame, curriculum: bool = False) -> DataFrame:
+    """The rows sorted: by difficulty and id, or by their shuffle key."""
+    rank = F.coalesce(*(F.when(F.col("difficulty") == d, k) for k, d in enumerate(LEVELS)))
+    return df.orderBy(rank, "ex_id") if curriculum else df.orderBy("shuffle_key", "ex_id")
 
 
-@register("ListOfAttributedEntities", "list_of_objects", "attribute_to_kv")
-def attributed_entities(seed, i, n):
-    r, t, a = _name(seed, "r", i), _name(seed, "i", i), _name(seed, "a", i)
-    v = lambda k: _word(seed, i, k)
-    return _cat("<", r, ">", _items(n, lambda k: _cat("<", t, " ", a, '="', v(k), '"/>'), ""), "</", r, ">"), _cat('{"', r, '":{"', t, '":[', _items(n, lambda k: _cat('{"@', a, '":"', v(k), '"}'), ","), "]}}")
+def generate_by_class(spark: SparkSession, total: int, classes: dict[str, list[str]] = CLASSES, seed: int = 42, distribution: tuple[float, float] = (0.33, 0.34), structured: bool = True) -> DataFrame:
+    """As :func:`generate`, with formats of their own for each difficulty, taken in turn."""
+    n, i = allocation(total, *distribution), F.col("ex_id")
+    starts = {"easy": 0, "medium": n["easy"], "hard": n["easy"] + n["medium"]}
+    level = F.when(i < starts["medium"], "easy").when(i < starts["hard"], "medium").otherwise("hard")
+    turn = lambda d: F.get(F.array(*map(F.lit, classes[d])), F.pmod(i - starts[d], F.lit(len(classes[d]))).cast("int"))
+    rows = spark.range(total).withColumnRenamed("id", "ex_id").withColumn("difficulty", level)
+    rows = rows.withColumn("format_id", F.coalesce(*(F.when(F.col("difficulty") == d, turn(d)) for d in LEVELS)))
+    return _pairs(rows, active_formats([f for d in LEVELS for f in classes[d]]), seed, structured, "mixed")
 
 
-@register("DeeplyNested", "nested_object", "simple_kv")
-def deeply_nested(seed, i, n):
-    depth, v = F.greatest(F.lit(2), F.least(F.lit(5), n)).cast("int"), _word(seed, i, F.lit("v"))
-    t = lambda k: _cat(_word(seed, i, k), "_", k.cast("string"))
-    down = F.sequence(F.lit(1), depth)
-    opened, closed = F.array_join(F.transform(down, lambda k: _cat("<", t(k), ">")), ""), F.array_join(F.transform(F.reverse(down), lambda k: _cat("</", t(k), ">")), "")
-    return _cat(opened, v, closed), _cat(F.array_join(F.transform(down, lambda k: _cat('{"', t(k), '":')), ""), '"', v, '"', F.repeat(F.lit("}"), depth))
+#: Formats that may hold another document beside their own children; and those that can't stand inside one,
+#: as namespaces, instructions and entities are declared on or before the root.
+WRAPPERS = [f for f in SECOND if FORMATS[f].wraps and FORMATS[f].nests]
+NOT_NESTED = [f for f in SECOND if not FORMATS[f].nests or f in ("DeeplyNested", "AttributePromotedKeyValueList")]
 
 
-@register("ListWithSpecialValues", "list_of_values", "type_casting")
-def special_list(seed, i, n):
-    r, t = _name(seed, "r", i), _name(seed, "i", i)
-    kind, v = (lambda k: draw_int(seed, 4, i, k, F.lit("s"))), (lambda k: _word(seed, i, k))
-    xml = _items(n, lambda k: F.when(kind(k) == 0, _cat("<", t, "/>")).otherwise(_cat("<", t, ">", F.when(kind(k) == 1, "true").when(kind(k) == 2, "false").otherwise(v(k)), "</", t, ">")), "")
-    js = _items(n, lambda k: F.when(kind(k) == 0, "null").when(kind(k) == 1, "true").when(kind(k) == 2, "false").otherwise(_cat('"', v(k), '"')), ",")
-    return _cat("<", r, ">", xml, "</", r, ">"), _cat('{"', r, '":{"', t, '":[', js, "]}}")
+def generate_nested(spark: SparkSession, total: int, max_depth: int = 4, seed: int = 42) -> DataFrame:
+    """``ex_id, question, answer, format_id, tags, difficulty, depth``: equal numbers of each depth, the remainder at the largest.
 
+    A document of depth d is a wrapper that holds a document of depth d - 1 as its first or its last child; its
+    format is ``NestedLd(wrapper,child)``. Names end in the layer, so that none clash. All layers of all documents are built as rows
+    of one table, with a mark for what they hold, and put together in a fold.
+    """
+    if max_depth < 1:
+        raise ValueError("a depth is at least 1")
+    i, per_level = F.col("ex_id"), max(1, total // max_depth)
+    base = [f for f in SECOND if f not in NOT_NESTED]
+    rows = spark.range(total).withColumnRenamed("id", "ex_id").withColumn("depth", F.least(F.lit(max_depth), F.floor(i / per_level) + 1).cast("int")).withColumn("difficulty", F.lit("medium"))
+    layers = rows.withColumn("layer", F.explode(F.sequence(F.lit(1), F.col("depth")))).withColumn("_id", F.concat_ws("/", "ex_id", "layer"))
+    chosen = lambda names: pick(names, seed, F.col("_id"), F.lit("format"))
+    layers = layers.withColumn("format_id", F.when(F.col("layer") == 1, chosen(base)).otherwise(chosen(WRAPPERS)))
+    layers = _levelled(layers, "second", seed, True, "_id", F.concat(F.lit("_"), "layer"))
+    first, holds = draw_int(seed, 2, F.col("_id"), F.lit("slot")) == 0, F.col("layer") > 1
+    drawn = _drawn(seed, "_id", Node(F.lit(_XML), F.lit(_TAG), F.lit(_JS)), holds & first, holds & ~first)
+    layers = layers.select("ex_id", "depth", "layer", "format_id", _built(base, drawn, F.col("format_id")).alias("made"))
+    gathered = layers.groupBy("ex_id", "depth").agg(F.array_sort(F.collect_list(F.struct("layer", "format_id", "made.xml", "made.tag", "made.js"))).alias("layers"))
 
-def allocation(total: int, easy: float = 0.3, medium: float = 0.4) -> dict[str, int]:
-    """Rows by difficulty; what rounding leaves goes to hard."""
-    a, b = int(total * easy), int(total * medium)
-    return {"easy": a, "medium": b, "hard": total - a - b}
+    def wrap(held: Column, outer: Column) -> Column:
+        put = lambda text, mark, part: F.replace(text, F.lit(mark), held[part])
+        name = cat("NestedL", outer["layer"].cast("string"), "(", outer["format_id"], ",", held["format_id"], ")")
+        return F.struct(outer["layer"].alias("layer"), name.alias("format_id"), put(outer["xml"], _XML, "xml").alias("xml"), outer["tag"].alias("tag"), put(put(outer["js"], _TAG, "tag"), _JS, "js").alias("js"))
 
+    whole = gathered.select("ex_id", "depth", F.aggregate(F.slice("layers", 2, max_depth), F.get("layers", 0), wrap).alias("m"))
+    answer = obj(Node(F.col("m.xml"), F.col("m.tag"), F.col("m.js")).member)
+    return whole.select("ex_id", F.col("m.xml").alias("question"), answer.alias("answer"), "m.format_id", F.array().cast("array<string>").alias("tags"), F.lit("medium").alias("difficulty"), "depth")
 
-def generate(spark: SparkSession, total: int, formats: list[str] | None = None, seed: int = 42, curriculum: bool = False) -> DataFrame:
-    """``ex_id, question, answer, format_id, tags, difficulty``; ids follow difficulty with ``curriculum``, else a hash orders them."""
-    names = [f for f in (formats or list(FORMATS)) if f in FORMATS]
-    if not names:
-        raise ValueError("no active format")
-    n = allocation(total)
-    i = F.col("ex_id")
-    level = F.when(i < n["easy"], "easy").when(i < n["easy"] + n["medium"], "medium").otherwise("hard")
-    rows = spark.range(total).withColumnRenamed("id", "ex_id").withColumn("difficulty", level).withColumn("format_id", pick(names, seed, i, F.lit("format")))
-    low, high = (F.coalesce(*(F.when(F.col("difficulty") == d, v[k]) for d, v in LENGTHS.items())) for k in (0, 1))
-    length = low + draw_int(seed, high - low + 1, i, F.lit("n"))
-    pairs = {f: FORMATS[f][1](seed, i, length) for f in names}
-    case = lambda k: F.coalesce(*(F.when(F.col("format_id") == f, p[k]) for f, p in pairs.items()))
-    tags = F.coalesce(*(F.when(F.col("format_id") == f, F.array(*map(F.lit, FORMATS[f][0]))) for f in names))
-    out = rows.select("ex_id", case(0).alias("question"), case(1).alias("answer"), "format_id", tags.alias("tags"), "difficulty")
-    return out if curriculum else out.withColumn("shuffle_key", draw(seed, i))
 
+#: Marks for what a wrapper holds.
+_XML, _TAG, _JS = "\u0001", "\u0002", "\u0003"
 
-#: Formats whose value is an object that can take one more child; and those that can't stand inside another document,
-#: as namespaces are declared on the root.
-WRAPPERS = ["BasicEntity", "PropertyList", "ListOfSimpleEntities", "SpecialValues", "HeterogeneousList", "HintedEmptyNode", "ListOfAttributedEntities", "ListWithSpecialValues"]
-NOT_NESTED = ["NamespacedObject", "DeeplyNested"]
 
+def nested_id(depth: int, wrapper: Column, child: Column) -> Column:
+    """``NestedLd(wrapper,child)``."""
+    return cat(f"NestedL{depth}(", wrapper, ",", child, ")")
 
-def _choice(names: list[str], chosen: Column, seed: int, i: Column, n: Column) -> Pair:
-    pairs = {f: FORMATS[f][1](seed, i, n) for f in names}
-    return tuple(F.coalesce(*(F.when(chosen == f, p[k]) for f, p in pairs.items())) for k in (0, 1))
 
+def wrapped_id(child: Column) -> Column:
+    """``Nested(child)``."""
+    return cat("Nested(", child, ")")
 
-def generate_nested(spark: SparkSession, total: int, max_depth: int = 4, seed: int = 42) -> DataFrame:
-    """``ex_id, question, answer, format_id, tags, difficulty, depth``: equal numbers of each depth, the remainder at the largest.
 
-    A document of depth d is a wrapper whose last child is a document of depth d - 1; its format is ``NestedLd(wrapper,child)``.
-    """
-    if max_depth < 1:
-        raise ValueError("a depth is at least 1")
-    i, per_level = F.col("ex_id"), max(1, total // max_depth)
-    low, high = LENGTHS["medium"]
-    base = [f for f in FORMATS if f not in NOT_NESTED]
-    rows = spark.range(total).withColumnRenamed("id", "ex_id").withColumn("depth", F.least(F.lit(max_depth), F.floor(i / per_level) + 1).cast("int"))
-    rows = rows.withColumn("n", low + draw_int(seed, high - low + 1, i, F.lit("n"))).withColumn("format_id", pick(base, seed, i, F.lit("format")))
-    xml, js = _choice(base, F.col("format_id"), seed, i, F.col("n"))
-    rows = rows.select("ex_id", "depth", "n", "format_id", xml.alias("question"), js.alias("answer"))
-    for d in range(2, max_depth + 1):
-        own, deeper = seed + d, F.col("depth") >= d
-        rows = rows.withColumn("wrapper", pick(WRAPPERS, own, i, F.lit("format")))
-        xml, js = _choice(WRAPPERS, F.col("wrapper"), own, i, F.col("n"))
-        rows = rows.withColumn("outer_xml", xml).withColumn("outer_js", js)
-        closing = _cat("</", _name(own, "r", i), ">")
-        rows = rows.select(
-            "ex_id", "depth", "n",
-            F.when(deeper, _cat(f"NestedL{d}(", F.col("wrapper"), ",", F.col("format_id"), ")")).otherwise(F.col("format_id")).alias("format_id"),
-            F.when(deeper, _cat(F.col("outer_xml").substr(F.lit(1), F.length("outer_xml") - F.length(closing)), F.col("question"), closing)).otherwise(F.col("question")).alias("question"),
-            F.when(deeper, _cat(F.col("outer_js").substr(F.lit(1), F.length("outer_js") - 2), ",", F.col("answer").substr(F.lit(2), F.length("answer") - 2), "}}")).otherwise(F.col("answer")).alias("answer"),
-        )
-    return rows.select("ex_id", "question", "answer", "format_id", F.array().cast("array<string>").alias("tags"), F.lit("medium").alias("difficulty"), "depth")
+def list_id(children: Column) -> Column:
+    """``ListOfNested(a,b)`` of an array of formats: different ones, in order."""
+    return cat("ListOfNested(", F.array_join(F.array_sort(F.array_distinct(children)), ","), ")")
 
 
 def constituents(format_id: Column) -> Column:

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.functions import columns as C
 from tessera.operators import blueprint as B
@@ -16,24 +15,11 @@ from tessera.operators import curation as U
 from tessera.operators import generate as G
 from tessera.operators import scoring as S
 from tessera.operators import xmljson as X
+from tessera.sources import datasets as D
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(fn):
-        QUERIES[fn.__name__] = fn
-        if sql:
-            ORACLE_SQL[fn.__name__] = sql
-        return fn
-
-    return add
-
-
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+from .registry import ORACLE_SQL, QUERIES, query, table
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 def examples(spark: SparkSession, sf: str) -> DataFrame:
     """``ex_id, format_id, length, complexity, tags``."""
@@ -92,14 +78,14 @@ def holdout_best_by_size(spark, sf):
 
 @query("SELECT lang IN ('fr', 'de') AS held_out, count(*) AS n FROM documents GROUP BY 1")
 def holdout_partition(spark, sf):
-    return table(spark, sf, "documents").groupBy(F.col("lang").isin("fr", "de").alias("held_out")).agg(F.count("*").alias("n"))
+    docs = table(spark, sf, "documents").withColumnRenamed("lang", "format_id")
+    return U.by_format(docs, ["fr", "de"]).groupBy((F.col("split") == "test").alias("held_out")).agg(F.count("*").alias("n"))
 
 
-@query("WITH d AS (SELECT doc_id, 'NestedL2(' || lang || ',' || source || ')' AS f FROM documents) SELECT doc_id, list_has_any(list_filter(regexp_extract_all(f, '[A-Za-z]+[0-9]*'), lambda t: NOT regexp_full_match(t, 'NestedL[0-9]+')), ['src3', 'es']) AS held_out FROM d")
+@query("WITH d AS (SELECT doc_id, 'NestedL2(' || lang || ',' || CASE WHEN doc_id % 3 = 0 THEN 'es' ELSE 'fr' END || ')' AS f FROM documents) SELECT doc_id, f AS format_id, lang_of = 'es' OR other = 'es' AS held_out FROM (SELECT *, split_part(split_part(f, '(', 2), ',', 1) AS lang_of, rtrim(split_part(f, ',', 2), ')') AS other FROM d)")
 def holdout_overlap(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.format_string("NestedL2(%s,%s)", "lang", "source").alias("f"))
-    parts = F.filter(F.regexp_extract_all("f", F.lit("([A-Za-z]+[0-9]*)"), F.lit(1)), lambda t: ~t.rlike("^NestedL[0-9]+$"))
-    return d.select("doc_id", F.arrays_overlap(parts, F.array(F.lit("src3"), F.lit("es"))).alias("held_out"))
+    d = table(spark, sf, "documents").select("doc_id", G.nested_id(2, F.col("lang"), F.when(F.col("doc_id") % 3 == 0, "es").otherwise("fr")).alias("format_id"))
+    return G.nested_holdout(d, ["es"]).select("doc_id", "format_id", (F.col("split") == "test").alias("held_out"))
 
 
 @query(f"WITH {_EX}, t AS (SELECT *, row_number() OVER (ORDER BY complexity, ex_id) AS r, count(*) OVER () AS n FROM x WHERE format_id IN ('fr', 'de')) SELECT ex_id, r <= round_even(0.2 * n, 0) AS leaked FROM t")
@@ -145,13 +131,12 @@ def curriculum_subsets(spark, sf):
 
 @query("SELECT o_orderkey, ['small', 'medium', 'large'][o_orderkey % 3 + 1] AS size_class FROM orders")
 def class_cycle(spark, sf):
-    return table(spark, sf, "orders").select("o_orderkey", F.element_at(F.array(*map(F.lit, ("small", "medium", "large"))), (F.col("o_orderkey") % 3 + 1).cast("int")).alias("size_class"))
+    return table(spark, sf, "orders").select("o_orderkey", C.in_turn(["small", "medium", "large"], F.col("o_orderkey")).alias("size_class"))
 
 
 @query("SELECT event_id, user_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 12 AS batch FROM events")
 def batch_groups(spark, sf):
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    return table(spark, sf, "events").select("event_id", "user_id", F.floor((F.row_number().over(w) - 1) / 12).alias("batch"))
+    return table(spark, sf, "events").select("event_id", "user_id", U.batch_number(["user_id"], "event_id", 12).alias("batch"))
 
 
 @query("""WITH d AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda l: {'g': 0, 'used': length(l)}) AS lines FROM documents),
@@ -244,7 +229,7 @@ def reconstruct_tree(spark, sf):
 @query("WITH l AS (SELECT l_orderkey, count(*) AS c FROM lineitem WHERE l_quantity > 45 GROUP BY 1) SELECT o_orderkey, coalesce('{\"n\":' || c || '}', '{}') AS result FROM orders LEFT JOIN l ON o_orderkey = l_orderkey")
 def results_left_default(spark, sf):
     lines = table(spark, sf, "lineitem").filter("l_quantity > 45").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.to_json(F.struct(F.count("*").alias("n"))).alias("result"))
-    return table(spark, sf, "orders").select("o_orderkey").join(lines, "o_orderkey", "left").select("o_orderkey", F.coalesce("result", F.lit("{}")).alias("result"))
+    return S.with_results(table(spark, sf, "orders").select("o_orderkey"), lines, "o_orderkey", "result")
 
 
 @query(r"SELECT round(avg(CASE WHEN replace(replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10), ''), '  ', '') = text THEN 1.0 ELSE 0.0 END), 9) AS exact_match, count(*) AS n FROM documents")
@@ -264,7 +249,7 @@ def instruct_prompt(spark, sf):
 
 @query("SELECT doc_id, length(coalesce(text, '')) AS n_chars_counted, len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+')) AS n_pieces FROM documents")
 def token_count(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars_counted"), F.size(F.regexp_extract_all("text", F.lit(r"([^ \t\n\r\f\x0B]+)"), F.lit(1))).cast("long").alias("n_pieces"))
+    return table(spark, sf, "documents").select("doc_id", C.token_count(F.col("text")).cast("long").alias("n_chars_counted"), F.size(C.token_strings(F.col("text"))).cast("long").alias("n_pieces"))
 
 
 @query("SELECT vec_id, [CASE WHEN t = 0 THEN -100 ELSE t END for t in list_concat(ids[1:6], [0, 0])] AS labels, [greatest(0, least(4, t)) for t in ids] AS clipped FROM (SELECT vec_id, [CAST(i * label % 7 - 1 AS INTEGER) for i in [1, 2, 3, 4, 5, 6]] AS ids FROM embeddings)")
@@ -281,14 +266,13 @@ def request_decode(spark, sf):
 
 @query("SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 40")
 def head_eval(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "lang").orderBy("doc_id").limit(40)
+    return U.head(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
 
 
 @query("SELECT lang, count(*) AS n FROM (SELECT lang FROM documents WHERE doc_id % 5 <> 0 UNION ALL SELECT lang FROM documents WHERE doc_id % 2 = 0) GROUP BY lang")
 def bag_union_minus(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "lang")
-    rest = d.join(d.filter("doc_id % 5 = 0").select("doc_id"), "doc_id", "left_anti")
-    return rest.unionByName(d.filter("doc_id % 2 = 0")).groupBy("lang").agg(F.count("*").alias("n"))
+    return U.without(d, d.filter("doc_id % 5 = 0"), "doc_id").unionByName(d.filter("doc_id % 2 = 0")).groupBy("lang").agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, row_number() OVER (ORDER BY md5('7-' || doc_id), doc_id) AS place FROM documents")
@@ -297,29 +281,37 @@ def shuffle_order(spark, sf):
     return U.ranked(d, [], F.substring("h", 1, 3), [F.col("h"), F.col("doc_id")], "place").select("doc_id", F.col("place").cast("long").alias("place"))
 
 
-@query("SELECT event_type, max_by('checkpoint-' || event_id, event_id) AS latest FROM events GROUP BY event_type")
+@query("SELECT max_by('checkpoint-' || event_id, event_id) AS latest FROM events WHERE event_id % 7 <> 0")
 def latest_checkpoint(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type").agg(F.max_by(F.concat(F.lit("checkpoint-"), "event_id"), "event_id").alias("latest"))
+    names = F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("other-"), "event_id")).otherwise(F.concat(F.lit("checkpoint-"), "event_id"))
+    return D.latest_checkpoint(table(spark, sf, "events").select(names.alias("name")))
+
+
+_DRAW = "('0x' || substr(md5('42-' || i || '-{}'), 1, 7))::BIGINT"
+_LEVEL = "CASE WHEN i < 900 THEN 'easy' WHEN i < 2100 THEN 'medium' ELSE 'hard' END"
 
 
-@query("SELECT 3000 AS total, 14 AS formats, 0 AS malformed, 0 AS different")
+@query(f"SELECT {G.SECOND!r}[1 + {_DRAW.format('format')} % {len(G.SECOND)}] AS format_id, {_LEVEL} AS difficulty, count(*) AS n, 0 AS different FROM (SELECT unnest(range(3000)) AS i) GROUP BY 1, 2")
 def generated_pairs(spark, sf):
-    """Every generated XML, converted, equals the JSON it was generated with."""
-    made = X.to_json(G.generate(spark, 3000), "question", "converted")
-    return made.agg(F.count("*").cast("int").alias("total"), F.count_distinct("format_id").cast("int").alias("formats"), F.count_if(F.col("converted").isNull()).cast("int").alias("malformed"), F.count_if(~F.col("converted").eqNullSafe(F.col("answer"))).cast("int").alias("different"))
+    """Rows by format and difficulty as drawn; and every generated XML, converted, equals the JSON it was generated with."""
+    made = X.to_json(X.to_json(G.generate(spark, 3000), "question", "plain"), "question", "promoted", promote=True)
+    converted = F.when(F.col("format_id") == "AttributePromotedKeyValueList", F.col("promoted")).otherwise(F.col("plain"))
+    same = F.coalesce(F.try_parse_json(converted).cast("string") == F.try_parse_json("answer").cast("string"), F.lit(False))
+    return made.groupBy("format_id", "difficulty").agg(F.count("*").alias("n"), F.count_if(~same).cast("int").alias("different"))
 
 
-@query("SELECT difficulty, n FROM (VALUES ('easy', 900), ('medium', 1200), ('hard', 900)) t(difficulty, n)")
+@query(f"SELECT {_LEVEL} AS difficulty, count(*) AS n, min(i) AS first_id FROM (SELECT unnest(range(3000)) AS i) GROUP BY 1")
 def difficulty_allocation(spark, sf):
-    return G.generate(spark, 3000).groupBy("difficulty").agg(F.count("*").cast("int").alias("n"))
+    return G.generate(spark, 3000, ["SingleField"]).groupBy("difficulty").agg(F.count("*").alias("n"), F.min("ex_id").alias("first_id"))
 
 
-@query("SELECT depth, 750 AS n, 0 AS different, 0 AS rebuilt_differently FROM (VALUES (1), (2), (3), (4)) t(depth)")
+@query("SELECT least(4, i // 500 + 1) AS depth, count(*) AS n, 0 AS different, 0 AS rebuilt_differently FROM (SELECT unnest(range(2000)) AS i) GROUP BY 1")
 def nested_pairs(spark, sf):
     """Nested documents by depth: converted whole, and by pieces where they have no mixed content, they equal the JSON they were generated with."""
-    made = X.to_json(G.generate_nested(spark, 3000), "question", "converted")
-    plain = made.filter(~F.col("format_id").contains("OrderedMixedContent"))
-    pieces = B.convert_by_pieces(plain, "ex_id", "question", lambda parts: X.to_json(parts, "chunk")).select("ex_id", F.col("json").alias("pieced"))
+    made = X.to_json(G.generate_nested(spark, 2000), "question", "converted")
+    mixed = F.col("format_id").contains("Mixed")
+    pieces = B.convert_by_pieces(made.filter(~mixed), "ex_id", "question", lambda parts: X.to_json(parts, "chunk")).select("ex_id", F.col("json").alias("pieced"))
     both = made.join(pieces, "ex_id", "left")
-    odd = ~F.col("format_id").contains("OrderedMixedContent") & ~F.col("pieced").eqNullSafe(F.col("answer"))
-    return both.groupBy("depth").agg(F.count("*").cast("int").alias("n"), F.count_if(~F.col("converted").eqNullSafe(F.col("answer"))).cast("int").alias("different"), F.count_if(odd).cast("int").alias("rebuilt_differently"))
+    parsed = lambda c: F.try_parse_json(F.col(c)).cast("string")
+    odd = ~mixed & ~parsed("pieced").eqNullSafe(parsed("answer"))
+    return both.groupBy(F.col("depth").cast("long").alias("depth")).agg(F.count("*").alias("n"), F.count_if(~parsed("converted").eqNullSafe(parsed("answer"))).cast("int").alias("different"), F.count_if(odd).cast("int").alias("rebuilt_differently"))

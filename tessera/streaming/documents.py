@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tessera.functions.columns import minify
-from tessera.operators.xmljson import to_json
+from tessera.operators.serving import converted, micro_batch
+
+__all__ = ["converted", "micro_batch", "read_documents", "write_responses"]
 
 
 def read_documents(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(folder)
 
 
-def converted(stream: DataFrame, column: str = "input_text") -> DataFrame:
-    """Requests with their output, or an error for those that aren't well-formed XML."""
-    out = to_json(stream.withColumn("_minified", minify(F.col(column))), "_minified", "output").drop("_minified")
-    return out.withColumn("error", F.when(F.col(column).isNull(), "missing input").when(F.col("output").isNull(), "not well-formed"))
+def write_responses(stream: DataFrame, path: str, checkpoint: str):
+    """What has arrived, answered once and appended as Parquet."""
+    return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
