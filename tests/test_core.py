@@ -39,18 +39,21 @@ def test_convert(xml, want):
 def test_chunks_fit_and_stitch(spark):
     leaves = "".join(f"<item><name>n{i}</name><size>{i}</size></item>" for i in range(40))
     doc = f'<shop id="7">{leaves}</shop>'
-    parts = X.chunks(doc, 200)
+    parts = [p for p, _ in X.chunks(doc, 200)]
     assert len(parts) > 5 and all(len(p) <= 200 for p in parts)
     df = X.to_json(spark.createDataFrame([(1, i, p) for i, p in enumerate(parts)], "doc long, seq int, chunk string"), "chunk")
     got = json.loads(X.stitch(df, "doc", "seq", "json").first().json)
     assert got["shop"]["item"] == json.loads(X.convert(doc))["shop"]["item"]
-    assert X.chunks("<a><b", 100) == [] and X.chunks(f"<a><b>{'x' * 300}</b></a>", 100) == [f"<b>{'x' * 300}</b>"]
+    assert X.chunks("<a><b", 100) == [] and X.chunks(f"<a><b>{'x' * 300}</b></a>", 100) == [(f"<b>{'x' * 300}</b>", "a")]
 
 
 def test_merges():
-    assert X.merge({"a": 1, "b": {"c": 1}}, {"a": 1, "b": {"d": 2}}) == {"a": [1, 1], "b": {"c": 1, "d": 2}}
-    assert X.merge([1], 2) == [1, 2] and X.merge(1, [2]) == [1, 2]
-    assert X.overwrite({"a": 1, "b": [1]}, {"a": 2, "b": [2]}) == {"a": 2, "b": [1, 2]}
+    assert X.combined([{"a": 1, "b": {"c": 1}}, {"a": 1, "b": {"d": 2}}]) == {"a": [1, 1], "b": {"c": 1, "d": 2}}
+    assert X.combined([[1], 2]) == [1, 2] and X.combined([1, [2]]) == [1, 2] and X.combined([1, {"a": 1}, {"b": 2}]) == [1, {"a": 1}, {"b": 2}]
+    assert X.combined([{"a": 1}, {"b": 2}, 3]) == [{"a": 1, "b": 2}, 3]
+    assert X.combined([{"@k": 1}, {"@k": 1}]) == {"@k": 1} and X.combined([{"@k": 1}, {"@k": 1}], legacy=True) == {"@k": [1, 1]} and X.combined([{"@k": 1}, {"@k": 2}]) == {"@k": [1, 2]}
+    assert X.combined([{"a": 1, "b": [1]}, {"a": 2, "b": [2]}], "last") == {"a": 2, "b": [1, 2]} and X.combined([[1], {"a": 1}, {"a": 2}], "last") == {"a": 2}
+    assert X.stitched(['[{"a":1},{"a":2}]']) == '{"a":[1,2]}' and X.stitched(["x", None]) == "{}"
 
 
 @pytest.mark.parametrize(
@@ -100,17 +103,35 @@ def test_epochs():
         U.epochs_weighted(4, [0, 0])
 
 
-@pytest.mark.parametrize("name", sorted(G.FORMATS))
-def test_formats_pair_up(spark, name):
-    rows = X.to_json(G.generate(spark, 40, [name]), "question").collect()
-    assert all(r.json == r.answer and r.format_id == name for r in rows)
+@pytest.mark.parametrize("structured", [True, False])
+def test_formats_pair_up(spark, structured):
+    rows = X.to_json(X.to_json(G.generate(spark, 400, structured=structured), "question"), "question", "promoted", promote=True).collect()
+    for r in rows:
+        made = r.promoted if r.format_id == "AttributePromotedKeyValueList" else r.json
+        assert json.loads(made) == json.loads(r.answer), (r.format_id, r.difficulty)
+    assert {r.format_id for r in rows} == set(G.SECOND) and len(G.SECOND) == 26
+
+
+def test_other_formats(spark):
+    """Formats of the other generators: well-formed on both sides, with the values of the XML in the JSON."""
+    names = [f for f, x in G.FORMATS.items() if x.family != "second"]
+    rows = X.to_json(G.generate(spark, 200, names, table="mixed"), "question").collect()
+    leaves = lambda v: [y for x in (v.values() if isinstance(v, dict) else v) for y in leaves(x)] if isinstance(v, (dict, list)) else [v]
+    for r in rows:
+        a, b = (sorted(str(x).lower() for x in leaves(json.loads(t)) if x is not None and x is not True) for t in (r.json, r.answer))
+        assert a == b or r.format_id in ("NestedConfig", "ListOfComplexEntities"), r
+    assert {r.format_id for r in rows} == set(names)
 
 
 def test_generation_ignores_partitions(spark):
-    rows = lambda p: sorted(map(tuple, G.generate(spark, 200).repartition(p).drop("tags").collect()))
+    rows = lambda p: sorted(map(tuple, G.generate(spark, 60, ["PropertyList", "HintedEmptyNode"]).repartition(p).drop("tags").collect()))
     assert rows(1) == rows(9)
-    with pytest.raises(ValueError):
-        G.generate(spark, 10, ["none"])
+    for bad in ({"formats": ["none"]}, {"formats": ["CDataField"], "exclude": ["CDataField"]}, {"exclude": ["none"]}):
+        with pytest.raises(ValueError):
+            G.generate(spark, 10, **bad)
+    ordered = G.in_order(G.generate(spark, 30, ["SingleField"], curriculum=True), curriculum=True).collect()
+    assert [r.ex_id for r in ordered] == list(range(30)) and [r.difficulty for r in ordered] == ["easy"] * 9 + ["medium"] * 12 + ["hard"] * 9
+    assert [r.ex_id for r in G.in_order(G.generate(spark, 30, ["SingleField"])).collect()] != list(range(30))
 
 
 def test_datasets(spark, tmp_path):
@@ -131,8 +152,10 @@ def test_scoring(spark):
     df = spark.createDataFrame([("a", "a"), ("b", "c"), (None, None)], "p string, t string")
     assert S.exact_match(df, "p", "t").first().exact_match == round(2 / 3, 9)
     assert [r.p for r in S.mismatches(df, "p", "t").collect()] == ["b"] and not S.accepted(df, "p", "t")
-    out = S.infer(df, "t", lambda: lambda xs: [f"{len(xs)}:{x}" for x in xs], batch=2).collect()
-    assert len(out) == 3 and all(r.output.endswith(str(r.t)) for r in out)
+    out = S.infer(df.coalesce(1), "t", lambda: lambda xs: [f"{len(xs)}:{x}" for x in xs], batch=2).collect()
+    assert [r.output for r in out] == ["2:a", "2:c", "1:None"]
+    with pytest.raises(Exception, match="1 answers to 2 questions"):
+        S.infer(df.coalesce(1), "t", lambda: lambda xs: xs[:1], batch=2).collect()
 
 
 def test_entry(spark):
@@ -181,7 +204,7 @@ def test_blueprint_counts_missing_results(spark):
 def test_nested_documents(spark):
     made = X.to_json(G.generate_nested(spark, 101, 3), "question", "converted").collect()
     assert [sum(r.depth == d for r in made) for d in (1, 2, 3)] == [33, 33, 35]
-    assert all(r.converted == r.answer for r in made)
+    assert all(json.loads(r.converted) == json.loads(r.answer) for r in made)
     assert all(r.format_id.count("NestedL") == r.depth - 1 for r in made)
     with pytest.raises(ValueError):
         G.generate_nested(spark, 10, 0)
