@@ -5,7 +5,7 @@ Records of a document, in pre-order: ``node`` (an element that was descended int
 attributes, where all together are too many), ``batch`` (equal children under a wrapper) and ``leaf`` (an
 element without children, whatever its size).
 
-Defined results: a null or malformed document has no records; text beside child elements and instructions before the
+Defined results: a null or malformed document has no records; one that nests too deeply for the interpreter's JSON writer is put together as null; text beside child elements and instructions before the
 root aren't carried; a piece without a result, or with one that doesn't parse, counts as ``{}`` and in ``n_missing``.
 A namespace is declared on the root and on each piece that uses it.
 """
@@ -34,10 +34,14 @@ _ARROW = pa.list_(pa.struct([("seq", pa.int32()), ("parent", pa.int32()), ("tag"
 
 @dataclass(frozen=True)
 class Limits:
-    """Sizes at which attributes and batches of children are cut; a batch must stay under ``children``."""
+    """Sizes at which attributes and batches of children are cut; a batch must stay under ``children``.
+
+    With ``whole`` an element that isn't larger is one piece, whatever is in it.
+    """
 
     children: int = 50
     attributes: int = 20
+    whole: int | None = None
 
 
 class _Writer:
@@ -53,9 +57,22 @@ class _Writer:
         return "".join(f" {self.name(k)}={quoteattr(v)}" for k, v in pairs)
 
     def _inner(self, e: ET.Element) -> str:
-        name, body = self.name(e.tag), escape(e.text or "") + "".join(self._inner(c) + escape(c.tail or "") for c in e)
-        opened = f"<{name}{self.attributes(e.attrib.items())}"
-        return f"{opened}>{body}</{name}>" if body else f"{opened}/>"
+        parts, todo = [], [e]
+        while todo:
+            x = todo.pop()
+            if isinstance(x, str):
+                parts.append(x)
+                continue
+            name = self.name(x.tag)
+            head = f"<{name}{self.attributes(x.attrib.items())}"
+            if len(x) == 0 and not x.text:
+                parts.append(f"{head}/>")
+                continue
+            parts.append(f"{head}>{escape(x.text or '')}")
+            todo.append(f"</{name}>")
+            for c in reversed(x):
+                todo += [escape(c.tail or ""), c]
+        return "".join(parts)
 
     def declared(self, names) -> str:
         used = {n.partition(":")[0] for n in names if ":" in n}
@@ -111,6 +128,9 @@ def _records(root: ET.Element, prefixes: dict[str, str], limits: Limits, size) -
             continue
         tag, pairs = writer.name(item.tag), list(item.attrib.items())
         own = spaces if item is root else []
+        if limits.whole is not None and len(item) and not own and size(writer.piece(item)) <= limits.whole:
+            add(parent, tag, "leaf", chunk=writer.piece(item))
+            continue
         if len(item) == 0:
             if own:  # the root's declarations are a record of their own kind only if it is all there is
                 at = add(parent, tag, "node", own)
@@ -187,7 +207,10 @@ def rebuilt(rows: list[dict]) -> tuple[str | None, int]:
             else:
                 lists.setdefault(c["tag"], []).append(value)
         values[r["seq"]] = own | {k: v if len(v) > 1 else v[0] for k, v in lists.items()}
-    return json.dumps({rows[0]["tag"]: values[0]}, ensure_ascii=False, separators=(",", ":")), missing
+    try:
+        return json.dumps({rows[0]["tag"]: values[0]}, ensure_ascii=False, separators=(",", ":")), missing
+    except RecursionError:
+        return None, missing
 
 
 def blueprint(df: DataFrame, key: str, column: str, limits: Limits = Limits(), size=size_of) -> DataFrame:
@@ -221,3 +244,19 @@ def convert_by_pieces(df: DataFrame, key: str, column: str, infer: Callable[[Dat
     """Split, convert each piece and reassemble. ``infer`` adds ``json`` to rows with ``chunk``."""
     parts = blueprint(df, key, column, limits, size)
     return reassemble(parts, infer(parts.filter("chunk IS NOT NULL").select(key, "seq", "chunk")), key)
+
+
+def hollow_piece(e: ET.Element, prefixes: dict[str, str]) -> str:
+    """An element's tag and attributes alone."""
+    return _Writer(prefixes).hollow(e.tag, list(e.attrib.items()))
+
+
+def entity_piece(e: ET.Element, prefixes: dict[str, str]) -> str:
+    """An element whole if no child has children of its own; else with its children emptied."""
+    if not any(len(c) for c in e):
+        return _Writer(prefixes).piece(e)
+    bare = ET.Element(e.tag, e.attrib)
+    bare.text = e.text
+    for c in e:
+        ET.SubElement(bare, c.tag, c.attrib).text = None if len(c) else c.text
+    return _Writer(prefixes).piece(bare)

@@ -214,3 +214,20 @@ def test_nested_holdout(spark):
     rows = spark.createDataFrame([("NestedL3(PropertyList,NestedL2(BasicEntity,CDataField))",), ("CDataField",), ("NestedL2(PropertyList,BasicEntity)",), (None,)], "format_id string")
     assert one(spark, G.constituents(F.lit(rows.first().format_id))) == ["PropertyList", "BasicEntity", "CDataField"]
     assert [r.split for r in G.nested_holdout(rows, ["CDataField"]).collect()] == ["test", "test", "train", "train"]
+
+
+def test_blueprint_of_deep_documents_and_whole_elements():
+    deep = "<a>" * 3000 + "</a>" * 3000
+    assert len(B.records(deep)) > 0 and B.rebuilt([r | {"json": X.convert(r["chunk"])} for r in B.records(deep)])[0] is None
+    xml = "<r>" + "".join(f"<e><n>{i}</n><m>{'x' * 20}</m></e>" for i in range(6)) + "</r>"
+    rows = B.records(xml, B.Limits(whole=70))
+    assert [r["kind"] for r in rows] == ["node"] + ["leaf"] * 6
+    assert B.rebuilt([r | {"json": X.convert(r["chunk"])} for r in rows]) == (X.convert(xml), 0)
+
+
+def test_pieces_of_an_element():
+    import xml.etree.ElementTree as ET
+
+    e = ET.fromstring('<r k="1"><a>x</a><b><c>y</c></b></r>')
+    assert B.hollow_piece(e, {}) == '<r k="1"/>' and B.entity_piece(e, {}) == '<r k="1"><a>x</a><b/></r>'
+    assert B.entity_piece(e[1], {}) == "<b><c>y</c></b>"
