@@ -3,25 +3,23 @@
 Two texts are linked if the Jaccard similarity of their sets of five-word shingles
 is at least 0.8; a component of the links is one group. Fingerprints of such texts differ
 in some ten bits of 64, so no choice of whole blocks of bits finds them all, as the
-narrow form's buckets do. Here minimal hashes of the sets name the buckets, the
-fingerprints in a bucket are compared bit-sliced, and what is near is verified.
+narrow form's buckets do. Here minimal hashes of the sets bring texts together, their
+fingerprints are compared bit-sliced, and what is near is verified.
 
 1. A row-local pass gives each text its sorted set of 64-bit shingle hashes, its
    fingerprint and the keys of ``BANDS`` bands of ``ROWS`` minimal hashes. Equal sets
    are one node. A pair at 0.8 has no band in common with a chance of
    (1 - 0.8**5)**32, three in a million.
-2. In each bucket every node is compared with its ``LAGS`` next ones and with the bucket's
-   centre, the node nearest to the majority of its fingerprints' bits - of near copies that is
-   their original or one like it: a few comparisons a node, whatever the bucket's size. Carry-save
-   counters over bit planes abandon words in which all exceed ``RADIUS`` bits; a pair at 0.8
-   exceeds it with a chance of under one in a hundred thousand.
-3. Near pairs are verified on the whole sets; what is below 0.8 isn't linked.
-4. Where a bucket is longer than that and its nodes are still in several components, every
-   node outside the bucket's largest component is compared with all of other components.
-   Only pairs that could join two components are made.
-
-A bucket of more than ``TILE`` nodes is dealt to tiles: in step 2 each with the centre
-of the whole bucket, in step 4 the nodes outside the largest component visit every tile.
+2. Each node is tied to the least one of each of its bands; what hangs together is a
+   *family*, so that a text goes to one place only, however many bands it shares.
+3. In a family each fingerprint is compared with all others at once: carry-save counters over
+   bit planes abandon words in which all exceed ``RADIUS`` bits, which a pair at 0.8 does with a
+   chance of under one in a hundred thousand. What is near, and not yet in the same
+   part, is verified on the whole sets. The family's centre, the node nearest to the majority of
+   the fingerprints' bits, asks first, as it is likely to be the original of the others. Only links that join
+   two parts are returned: fewer than the family has nodes.
+
+A family beyond ``TILE`` nodes or ``TILE_BYTES`` of sets is dealt to pairs of tiles.
 
 Defined results: words are those of :mod:`.simhash`; null and empty texts are one
 node; fewer words than a shingle make one shingle of what is there; an empty table
@@ -37,10 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import join_one, map_texts, materialize, schema_of, shuffle_partitions, small_or_shuffled, texts
+from .common import join_one, map_texts, materialize, schema_of, shuffle_partitions, texts
 from .components import components
 from .repeats import shingle_hashes
-from .simhash import TILE, _rows, bit_planes, keep_one_each, majority, near_all, near_heads, near_in_runs
+from .simhash import _rows, bit_planes, keep_one_each, majority, near_all
 
 SHINGLE = 5
 #: Least similarity of a link, as a fraction.
@@ -48,9 +46,14 @@ SIMILAR = (4, 5)
 #: At 0.8 fingerprints differ in 9.7 bits on average (standard deviation 2.9; 12 and 3.1 for sets of a few shingles).
 RADIUS = 26
 BANDS, ROWS = 32, 5
-LAGS = 8
-#: Rows of buckets that a task sorts and compares, on average.
-TASK_ROWS = 2_000_000
+#: Nodes, and bytes of their sets, that are compared with one another at a time.
+TILE, TILE_BYTES = 4_000, 32 << 20
+#: Bytes of sets that a task is sent, on average.
+TASK_BYTES = 64 << 20
+#: Shingles that are looked up at a time.
+_TOGETHER = 4_000_000
+#: Nodes of families that are broadcast, at most (some 60 bytes each); beyond that they are joined by a shuffle.
+BROADCAST_NODES = 500_000
 _RANDOM = np.random.default_rng(42)
 _FLIP = _RANDOM.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
 _TIMES = _RANDOM.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
@@ -128,16 +131,6 @@ def _possible(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.minimum(a, b) * SIMILAR[1] >= np.maximum(a, b) * SIMILAR[0]
 
 
-def _columns(batches, *names):
-    """A task's rows as arrays: some ``TASK_ROWS`` of a few numbers each."""
-    table = [b for b in batches if len(b)]
-    return [np.concatenate([b.column(n).to_numpy() for b in table]) for n in names] if table else None
-
-
-def _pairs_batch(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
-
-
 def _centre(prints: np.ndarray) -> int:
     """The position of the fingerprint that is nearest to the majority of the bits."""
     ones = np.unpackbits(prints.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -145,125 +138,101 @@ def _centre(prints: np.ndarray) -> int:
     return int(np.bitwise_count(prints ^ most).argmin())
 
 
-def _first_pairs(lags: int):
-    """Near pairs of each node with the next ones and the centre of its bucket. Rows come sorted by ``bucket, key``."""
-
-    def run(batches):
-        got = _columns(batches, "bucket", "key", "size", "fp")
-        if got is None:
-            return
-        bucket, key, size, prints = got[0], got[1], got[2].astype(np.int64), got[3].view(np.uint64)
-        start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-        length = np.diff(np.append(start, len(bucket)))
-        long = length > lags + 1
-        centre = np.array([a + _centre(prints[a : a + n]) for a, n in zip(start[long], length[long], strict=True)], np.int64)
-        far, hub = np.flatnonzero(np.repeat(long, length)), np.repeat(centre, length[long])
-        hits = near_heads(prints[far], prints[hub], RADIUS) if len(far) else far
-        for i, j in ((hub[hits], far[hits]), near_in_runs(bucket, prints, RADIUS, lags)):
-            good = _possible(size[i], size[j]) & (key[i] != key[j])
-            yield _pairs_batch(key[i[good]], key[j[good]])
-
-    return run
-
-
-def _cross_pairs(batches):
-    """Near pairs of the nodes outside a bucket's largest component with those at home here of other components. Rows come sorted by ``bucket``."""
-    got = _columns(batches, "bucket", "key", "size", "fp", "root", "asks", "home")
-    if got is None:
-        return
-    bucket, start = got[0], np.flatnonzero(np.append(True, got[0][1:] != got[0][:-1]))
-    for a, b in zip(start, np.append(start[1:], len(bucket)), strict=True):
-        key, size, prints, root, asks, home = (c[a:b] for c in got[1:])
-        size, prints, asks, here = size.astype(np.int64), prints.view(np.uint64), asks.astype(bool), np.flatnonzero(home)
-        if not len(here):
-            continue
-        planes = bit_planes(prints[here])
-        asking = np.flatnonzero(asks)
-        for at in range(0, len(asking), 64):
-            some = asking[at : at + 64]
-            for i, mask in zip(some, near_all(prints[some], planes, len(here), RADIUS), strict=True):
-                j = here[_rows(mask, len(here))]
-                j = j[(root[j] != root[i]) & (~asks[j] | (key[j] > key[i])) & _possible(size[j], size[i])]
-                if len(j):
-                    yield _pairs_batch(np.full(len(j), key[i]), key[j])
-
-
-def _similar(batches):
+def _similar(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Which of the sets are similar enough to ``own``?"""
+    length = np.array([len(o) for o in others], np.int64)
+    flat = np.concatenate(others)
+    at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+    both = np.add.reduceat((own[at] == flat).astype(np.int64), np.cumsum(length) - length)
+    return both * SIMILAR[1] >= (length + len(own) - both) * SIMILAR[0]
+
+
+def family_links(prints: np.ndarray, sets: list[np.ndarray], tile: np.ndarray, cross: bool) -> list[tuple[int, int]]:
+    """Positions of verified pairs that join the parts of a family; with ``cross`` only pairs from different tiles are compared."""
+    n, out = len(prints), []
+    root, size, planes = np.arange(n), np.array([len(s) for s in sets], np.int64), bit_planes(prints)
+    order = np.argsort(np.bitwise_count(prints ^ prints[_centre(prints)]), kind="stable")
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    for at in range(0, n, 64):
+        asked = order[at : at + 64]
+        for i, mask in zip(asked.tolist(), near_all(prints[asked], planes, n, RADIUS), strict=True):
+            j = _rows(mask, n)
+            j = j[(rank[j] > rank[i]) & (root[j] != root[i]) & _possible(size[j], size[i])]
+            if cross:
+                j = j[tile[j] != tile[i]]
+            while len(j):
+                some = j[: max(1, int(np.searchsorted(np.cumsum(size[j]), _TOGETHER)))]
+                for k in some[_similar(sets[i], [sets[k] for k in some])].tolist():
+                    if root[k] != root[i]:
+                        root[root == root[k]] = root[i]
+                        out.append((i, k))
+                j = j[len(some) :]
+                j = j[root[j] != root[i]]
+    return out
+
+
+def _links_in_families(batches):
+    """``u, v`` of the links in each bucket. Rows come sorted by ``bucket, key``; a node may come several times."""
+
+    def linked(parts: list[pa.RecordBatch]):
+        rows = pa.Table.from_batches(parts)
+        key = rows.column("key").to_numpy()
+        new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        if len(new) < 2:
+            return None
+        rows, key = rows.take(pa.array(new)), key[new]
+        sets = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
+        pairs = family_links(rows.column("fp").to_numpy().view(np.uint64), sets, rows.column("tile").to_numpy(), rows.column("cross")[0].as_py())
+        if not pairs:
+            return None
+        a, b = (key[[p[s] for p in pairs]] for s in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["u", "v"])
+
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        sets = [[np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in ("a", "b")]
-        both = np.array([len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(*sets, strict=True)], np.int64)
-        either = np.array([len(a) + len(b) for a, b in zip(*sets, strict=True)], np.int64) - both
-        yield batch.select(["u", "v"]).filter(pa.array(both * SIMILAR[1] >= either * SIMILAR[0]))
-
-
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the written ``pairs`` whose sets are similar enough.
-
-    Sets are made again from the texts, and only those asked for are kept: all sets together are larger
-    than the texts. A node of very many pairs has its set broadcast.
-    """
-    ends = pairs.select(F.col("u").alias("key"), F.lit(1).alias("as_u"), F.lit(0).alias("as_v")).unionByName(pairs.select(F.col("v").alias("key"), F.lit(0).alias("as_u"), F.lit(1).alias("as_v")))
-    asked = materialize(ends.groupBy("key").agg(F.sum("as_u").alias("as_u"), F.sum("as_v").alias("as_v")))
-    held = map_texts(docs.select("text"), _sets, "key long, shingles binary").join(small_or_shuffled(asked), "key")
-    sets = materialize(held.groupBy("key").agg(F.first("as_u").alias("as_u"), F.first("as_v").alias("as_v"), F.first("shingles").alias("shingles")))
-    left = join_one(pairs.withColumnRenamed("u", "key"), sets.select("key", "as_u", F.col("shingles").alias("a")), "key", "as_u", "inner", whole=0).withColumnRenamed("key", "u")
-    both = join_one(left.withColumnRenamed("v", "key"), sets.select("key", "as_v", F.col("shingles").alias("b")), "key", "as_v", "inner", whole=0).withColumnRenamed("key", "v")
-    return materialize(map_texts(both.select("u", "v", "a", "b"), _similar, "u long, v long", "a"))
-
-
-def _in_buckets(rows: DataFrame, count: int, mapped, schema: str = "u long, v long") -> DataFrame:
-    n = max(shuffle_partitions(rows.sparkSession), -(-count // TASK_ROWS))
-    return materialize(rows.repartition(n, "bucket").sortWithinPartitions("bucket", "key").mapInArrow(mapped, schema).distinct())
-
-
-def _centres(rows: DataFrame) -> DataFrame:
-    """``band, tiles`` and ``key, size, fp`` of the centre of each band, by aggregates."""
-    bit = lambda b: F.sum(F.shiftrightunsigned("fp", b).bitwiseAND(1))
-    most = rows.groupBy("band").agg(F.count("*").alias("rows"), *(bit(b).alias(f"b{b}") for b in range(64)))
-    made = F.lit(0).cast("long")
-    for b in range(64):
-        made = made.bitwiseOR(F.when(F.col(f"b{b}") * 2 > F.col("rows"), F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0).cast("long")))
-    held = rows.join(F.broadcast(most.select("band", made.alias("most"))), "band")
-    best = held.groupBy("band").agg(F.min(F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("most"))).alias("d"), "key", "size", "fp", "tiles")).alias("f"))
-    return best.select("band", "f.tiles", "f.key", "f.size", "f.fp")
-
-
-def similar_groups(docs: DataFrame, lags: int = LAGS, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+        bucket = batch.column("bucket").to_numpy()
+        cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a == b:
+                continue
+            if held and held[-1].column("bucket")[-1].as_py() != bucket[a]:
+                if (made := linked(held)) is not None:
+                    yield made
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held and (made := linked(held)) is not None:
+        yield made
+
+
+def similar_groups(docs: DataFrame, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
     """``doc_id, key`` of every row, and ``key, copies, least, root`` of every set: its rows, their least id and its component's name."""
     described = materialize(map_texts(docs.select("doc_id", "text"), _described, _DESCRIBED))
     new = F.when(F.col("bands").isNotNull(), F.struct("size", "fp", "bands"))
     nodes = materialize(described.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min(new).alias("f")).select("key", "least", "copies", "f.*"))
-    banded = nodes.select("key", "size", "fp", F.explode("bands").alias("band"))
-    count = BANDS * nodes.count()
-    in_band = materialize(banded.groupBy("band").agg(F.count("*").alias("n")).filter(F.col("n") > lags + 1))
-    hot = in_band.filter(F.col("n") > tile).select("band", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
-    bucket = lambda tile: F.xxhash64("band", tile)
-    home = F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")
-    if hot.isEmpty():
-        dealt = banded.withColumnRenamed("band", "bucket")
-    else:  # hot bands are few: each has over a tile of rows
-        own = banded.join(F.broadcast(hot), "band", "left").select("key", "size", "fp", F.coalesce(bucket(home), "band").alias("bucket"))
-        dealt = own.unionByName(_centres(banded.join(F.broadcast(hot), "band")).select("key", "size", "fp", F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), bucket)).alias("bucket")))
-    pairs = _in_buckets(dealt.select("bucket", "key", "size", "fp"), count, _first_pairs(lags))
-    links = _verified(pairs, docs)
-    joined = components(links)
-    # what the few comparisons of a long bucket may have missed
-    held = join_one(banded, in_band.select("band", "n"), "band", "n", "inner").join(joined.select(F.col("u").alias("key"), F.col("v").alias("root")), "key", "left")
-    held = materialize(held.select("band", "key", "size", "fp", F.coalesce("root", "key").alias("root")))
-    parts = held.groupBy("band", "root").agg(F.count("*").alias("m"))
-    split = parts.groupBy("band").agg(F.max_by("root", "m").alias("largest"), F.sum("m").alias("n"), F.count("*").alias("parts")).filter("parts > 1")
-    split = materialize(split.select("band", "largest", F.ceil(F.col("n") / tile).cast("int").alias("tiles"), "n"))
-    if not split.isEmpty():
-        rows = join_one(held, split, "band", "n", "inner").withColumn("asks", F.col("root") != F.col("largest")).withColumn("mine", home)
-        rows = rows.withColumn("tile", F.explode(F.when(F.col("asks"), F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array("mine"))))
-        rows = rows.select(bucket(F.col("tile")).alias("bucket"), "key", "size", "fp", "root", F.col("asks").cast("int").alias("asks"), (F.col("mine") == F.col("tile")).cast("int").alias("home"))
-        more = _in_buckets(rows, count, _cross_pairs).join(pairs, ["u", "v"], "left_anti")
-        joined = components(links.unionByName(_verified(materialize(more), docs)))
+    banded = nodes.select("key", F.explode("bands").alias("band"))
+    least = materialize(banded.groupBy("band").agg(F.min("key").alias("v"), F.count("*").alias("n")).filter("n > 1"))
+    ties = join_one(banded, least, "band", "n", "inner").select(F.col("key").alias("u"), "v").filter("u != v").distinct()
+    tied = components(ties)
+    family = tied.select(F.col("u").alias("key"), F.col("v").alias("family")).unionByName(tied.select(F.col("v").alias("key"), F.col("v").alias("family")).distinct())
+    kin = materialize(family.join(nodes.select("key", "size", "fp"), "key"))
+    weight = kin.groupBy("family").agg(F.count("*").alias("n"), F.sum(F.col("size") * 8).alias("bytes"))
+    tiles = F.greatest(F.ceil(F.col("n") / tile), F.ceil(F.col("bytes") / TILE_BYTES)).cast("int")
+    large = materialize(weight.select("family", tiles.alias("tiles")).filter("tiles > 1"))  # one row for a tile of nodes or more
+    placed = kin.join(F.broadcast(large), "family", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
+    pair = lambda t: F.struct(F.xxhash64("family", F.least(t, F.col("tile")), F.greatest(t, F.col("tile"))).alias("bucket"), (t != F.col("tile")).alias("cross"))
+    placed = placed.select("key", "fp", "tile", F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), pair).alias("pairs"))
+    sent = kin.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("size") * 8), F.lit(0)).alias("bytes")).first()
+    placed = F.broadcast(placed) if sent.n <= BROADCAST_NODES else placed
+    held = map_texts(docs.select("text"), _sets, "key long, shingles binary").join(placed, "key").select("key", "fp", "tile", "shingles", F.explode("pairs").alias("p"))
+    n = max(shuffle_partitions(docs.sparkSession), -(-sent.bytes // TASK_BYTES))
+    dealt = held.select("key", "fp", "tile", "p.*", "shingles").repartition(n, "bucket").sortWithinPartitions("bucket", "key")
+    joined = components(materialize(map_texts(dealt, _links_in_families, "u long, v long", "shingles")))
     rooted = nodes.join(joined.select(F.col("u").alias("key"), F.col("v").alias("root")), "key", "left").select("key", "copies", "least", F.coalesce("root", "key").alias("root"))
     return described.select("doc_id", "key"), materialize(rooted)
 
 
-def keep_one_similar(docs: DataFrame, lags: int = LAGS, tile: int = TILE) -> DataFrame:
+def keep_one_similar(docs: DataFrame, tile: int = TILE) -> DataFrame:
     """``docs`` with one row of each group, columns unchanged: the smallest id, or a row without one if the group has no other."""
-    rows, rooted = similar_groups(docs, lags, tile)
+    rows, rooted = similar_groups(docs, tile)
     return keep_one_each(docs, rows, rooted, _with_key)

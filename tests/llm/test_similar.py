@@ -24,8 +24,8 @@ def brute_kept(rows):
     return Counter(None if min(g)[0] else min(g)[1] for g in groups.values())
 
 
-@pytest.mark.parametrize(("lags", "tile"), [(8, 20_000), (1, 20_000), (1, 3)])
-def test_near_dedup_stage(spark, docs_of, lags, tile, monkeypatch):
+@pytest.mark.parametrize("tile", [4_000, 3])
+def test_near_dedup_stage(spark, docs_of, tile, monkeypatch):
     from tessera.llm import similar
 
     rng = np.random.default_rng(14)
@@ -40,7 +40,7 @@ def test_near_dedup_stage(spark, docs_of, lags, tile, monkeypatch):
                 other[10 * at] = f"x{rng.integers(10**6)}"
             rows.append((100 * k + j if k else None, " ".join(other)))
     rows += [(5000, ""), (None, None), (5001, "one"), (5002, "One"), (5003, "a b c"), (None, "only this"), (None, "only that")]
-    keep = lambda d: similar.keep_one_similar(d, lags, tile)
+    keep = lambda d: similar.keep_one_similar(d, tile)
     monkeypatch.setattr(corpus_pipeline, "keep_one_similar", keep)
     kept = corpus_pipeline.near_dedup(spark, docs_of(rows).repartition(3), "")
     assert kept.columns == docs_of([]).columns
@@ -51,6 +51,35 @@ def test_near_dedup_of_an_empty_table(spark, docs_of):
     assert corpus_pipeline.near_dedup(spark, docs_of([]), "").count() == 0
 
 
+def test_links_of_a_family_of_many_degrees():
+    """Texts at 0.5 to 0.95 of each other: parts are those of all similar pairs, and links are fewer than texts."""
+    from tessera.llm import similar, simhash
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 160, np.uint64)
+    sets = [np.unique(np.where(rng.random(160) < share, rng.integers(0, 1 << 63, 160, np.uint64), base)) for share in rng.uniform(0.02, 0.3, 150)]
+    prints = np.array([simhash.majority(s) for s in sets], np.uint64)
+    label = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if label[a] != label[b] and 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+                new, old = sorted((label[a], label[b]))
+                label = [new if x == old else x for x in label]
+    for tiles, cross in ((1, False), (2, True)):
+        tile = np.arange(len(sets)) % tiles
+        found = similar.family_links(prints, sets, tile, cross)
+        assert len(found) < len(sets)
+        if not cross:
+            mine = list(range(len(sets)))
+            for a, b in found:
+                new, old = sorted((mine[a], mine[b]))
+                mine = [new if x == old else x for x in mine]
+            assert mine == label and 1 < len(set(label)) < len(sets)
+        else:
+            assert found and all(tile[a] != tile[b] for a, b in found)
+
+
 def brute_pipeline(rows):
     """Ids, texts and places in the original table of what the first four stages keep."""
     import zstandard
