@@ -205,12 +205,25 @@ def _shared(rows: DataFrame, column: str) -> DataFrame:
     return join_one(rows, materialize(counted), column, "rows", "inner")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, key``: one key for rows alike in id and text, and different ones for all others.
+
+    Keys are 64-bit hashes; the few that documents of different second hashes have in common - some ten in
+    2 * 10**10 documents - are replaced by those.
+    """
+    hashed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"), F.xxhash64(F.lit("second"), "text", "doc_id").alias("second"))
+    clash = materialize(hashed.groupBy("key").agg(F.min("second").alias("a"), F.max("second").alias("b")).filter("a < b").select("key"))
+    if clash.isEmpty():
+        return hashed.drop("second")
+    marked = hashed.join(F.broadcast(clash.withColumn("clash", F.lit(True))), "key", "left")
+    return marked.select("doc_id", "text", F.when(F.col("clash"), F.xxhash64("key", "second")).otherwise(F.col("key")).alias("key"))
+
+
 def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """``doc_id, begin_word, end_word`` of every merged span of at least ``least`` words that another document has too."""
     if least - gram + 1 < window or least - window + 1 < gram:
         raise ValueError("a passage must hold a whole window of shingles, and a suffix's beginning a whole shingle")
-    spark = docs.sparkSession
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+    spark, keyed = docs.sparkSession, _keyed(docs)
     retained = materialize(map_texts(keyed.select("key", "text"), _retained(least, gram, window), "key long, pos int, hash long"))
     wanted = _shared(retained, "hash").groupBy("key").agg(F.collect_set("pos").alias("at"))  # a document's own positions
     one_each = keyed.join(wanted, "key").dropDuplicates(["key"]).select("key", "text", "at")
@@ -233,7 +246,7 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, window
     marked = spans.withColumn("new", (reach.isNull() | (reach < F.col("begin"))).cast("int"))
     numbered = marked.withColumn("span", F.sum("new").over(earlier.rowsBetween(Window.unboundedPreceding, 0)))
     per_key = numbered.groupBy("key", "span").agg(F.min("begin").alias("begin"), F.max("end").alias("end")).drop("span")
-    ids = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key")).distinct()
+    ids = keyed.select("doc_id", "key").distinct()
     return ids.join(per_key, "key").select("doc_id", F.col("begin").alias("begin_word"), F.col("end").alias("end_word"))
 
 

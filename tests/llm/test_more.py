@@ -76,6 +76,25 @@ def test_passage_whole_at_one_place_of_two_documents_and_cut_at_another(spark, d
     assert spans(spark, docs_of, rows) == brute_repeats(rows, 50)
 
 
+def test_documents_whose_keys_collide(spark, docs_of, monkeypatch):
+    """Keys that documents have in common are told apart by a second hash."""
+    rng = random.Random(17)
+    prose = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
+    passage = prose(70)
+    rows = [(1, f"{prose(20)} {passage}"), (2, f"{passage} {prose(20)}"), (3, prose(80)), (1, None), (None, passage)]
+    plain, seen = F.xxhash64, []
+
+    def colliding(*columns):
+        if isinstance(columns[0], str) and columns[0] == "doc_id":
+            seen.append(1)
+            return F.lit(7).cast("long")
+        return plain(*columns)
+
+    monkeypatch.setattr(repeats.F, "xxhash64", colliding)
+    got = repeats.repeated_spans(docs_of(rows)).collect()
+    assert seen and Counter((r.doc_id, r.begin_word, r.end_word) for r in got) == brute_repeats(rows, 50)
+
+
 # ---- sharding
 
 def check_shards(rows, out, shards):
