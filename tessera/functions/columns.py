@@ -143,16 +143,23 @@ def parses(x: Column) -> Column:
 
 
 def greedy_groups(lines: Column, budget: int) -> Column:
-    """Group number of each line: a running sum that starts anew when the next line would pass the budget."""
-    start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("g"), F.lit(0).alias("used"))
+    """Group number of each line: a running sum that starts anew when the next line would pass the budget.
+
+    The fold keeps the places where groups start, not a number for every line.
+    """
+    start = F.struct(F.array(F.lit(0)).alias("starts"), F.lit(0).alias("i"), F.lit(0).alias("used"))
 
     def step(a, line):
         n = F.length(line)
         fresh = (a["used"] > 0) & (a["used"] + n > budget)
-        g = a["g"] + fresh.cast("int")
-        return F.struct(F.concat(a["out"], F.array(g)).alias("out"), g.alias("g"), F.when(fresh, n).otherwise(a["used"] + n).alias("used"))
+        starts = F.when(fresh, F.concat(a["starts"], F.array(a["i"]))).otherwise(a["starts"])
+        return F.struct(starts.alias("starts"), (a["i"] + 1).alias("i"), F.when(fresh, n).otherwise(a["used"] + n).alias("used"))
+
+    def numbered(a):
+        ends = F.concat(F.slice(a["starts"], 2, F.size(a["starts"])), F.array(a["i"]))
+        return F.flatten(F.zip_with(F.transform(a["starts"], lambda s, g: F.struct(s.alias("s"), g.alias("g"))), ends, lambda x, e: F.array_repeat(x["g"], e - x["s"])))
 
-    return F.aggregate(lines, start, step, lambda a: a["out"])
+    return F.aggregate(lines, start, step, numbered)
 
 
 def left(x: Column, n: int = 20) -> Column:
