@@ -305,10 +305,10 @@ def difficulty_allocation(spark, sf):
     return G.generate(spark, 3000, ["SingleField"]).groupBy("difficulty").agg(F.count("*").alias("n"), F.min("ex_id").alias("first_id"))
 
 
-@query("SELECT least(4, i // 500 + 1) AS depth, count(*) AS n, 0 AS different, 0 AS rebuilt_differently FROM (SELECT unnest(range(2000)) AS i) GROUP BY 1")
+@query("SELECT least(4, i // 200 + 1) AS depth, count(*) AS n, 0 AS different, 0 AS rebuilt_differently FROM (SELECT unnest(range(800)) AS i) GROUP BY 1")
 def nested_pairs(spark, sf):
     """Nested documents by depth: converted whole, and by pieces where they have no mixed content, they equal the JSON they were generated with."""
-    made = X.to_json(G.generate_nested(spark, 2000), "question", "converted")
+    made = X.to_json(G.generate_nested(spark, 800), "question", "converted")
     mixed = F.col("format_id").contains("Mixed")
     pieces = B.convert_by_pieces(made.filter(~mixed), "ex_id", "question", lambda parts: X.to_json(parts, "chunk")).select("ex_id", F.col("json").alias("pieced"))
     both = made.join(pieces, "ex_id", "left")

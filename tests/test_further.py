@@ -194,11 +194,3 @@ def test_evaluation(spark):
     assert tuple(S.evaluate(rows, "p", "r", lambda ids: F.array_join(ids.cast("array<string>"), " "), 4).first()) == (1.0, 2)
     longest = S.model_columns(spark.createDataFrame([("a bb", "c"), ("a b c", "")], "input_text string, target_text string"), lambda x: F.transform(F.split(x, " "), F.length), None).collect()
     assert [r.input_ids for r in longest] == [[1, 2, 0], [1, 1, 1]] and longest[0].labels == [1, -100, -100]
-
-
-def test_every_query_over_the_smallest_tables(spark):
-    import __spark_entry__ as entry
-
-    for name, fn in entry.queries().items():
-        if not name.startswith("op") and name != "pipeline" and name not in ("nested_pairs", "generated_pairs"):
-            assert fn(spark, "/root/testdata/sf0.001").count() >= 0, name
