@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .collocations import OP11_SQL, op11_collocations
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .licences import op9_licences
 from .packing import op1_packing
@@ -15,6 +16,6 @@ from .token_counts import op8_token_counts
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_suffix_dedup, op3_sharding, op4_quality_rules, op5_pii, op6_exact_dedup, op7_sentencepiece, op8_token_counts, op9_licences, op10_simhash)
+    for f in (op1_packing, op2_suffix_dedup, op3_sharding, op4_quality_rules, op5_pii, op6_exact_dedup, op7_sentencepiece, op8_token_counts, op9_licences, op10_simhash, op11_collocations)
 }
-ORACLE_SQL = {"op6_exact_dedup": OP6_SQL}
+ORACLE_SQL = {"op6_exact_dedup": OP6_SQL, "op11_collocations": OP11_SQL}
