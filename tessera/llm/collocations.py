@@ -8,7 +8,7 @@
 2. The second pass counts exactly, by the phrase itself, what passes: a phrase all of whose parts
    pass as well. Parts of a frequent phrase are at least as frequent, so that loses nothing,
    and the counts of all parts that scores need are among them. Counts are added up
-   in a span, in a task and after the shuffle.
+   in a span, in a task and after the shuffle; tasks are few and large, so that most is added up before it.
 3. Cuts are joined with the counts of both their parts; scores are exact (decimals).
    A candidate is subsumed by one a word longer if by any (the counts of those between lie between),
    so the two longest parts of each candidate are all that is compared.
@@ -39,10 +39,12 @@ MIN_COUNT, LONGEST, TOP, SUBSUMED_PERCENT = 100, 5, 2000, 100
 DEPTH = 2
 #: Powers of two of a row's counters, at least and at most.
 BITS = (16, 27)
-#: Counters of a row for each byte of text: some 25 phrases a counter.
-CELLS_PER_BYTE = 1 / 25
+#: Counters of a row for each byte of text: some 50 phrases a counter.
+CELLS_PER_BYTE = 1 / 64
 #: Counters in a block that is sent.
 BLOCK = 1 << 18
+#: Different phrases whose counts a task holds.
+HELD_ROWS = 400_000
 #: Rows of counts (some 100 bytes each) that are broadcast.
 BROADCAST_COUNTS = 200_000
 CLASSES = byte_classes(b" \t", b".,;:!?\n\x0b\x0c\r")
@@ -125,8 +127,8 @@ def merged_sketch(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LO
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     bits = min(max(int(size * CELLS_PER_BYTE).bit_length(), BITS[0]), BITS[1])
-    # a sketch for each task: few large tasks, whose number doesn't follow the input
-    read = docs.select("lang", "text").coalesce(2 * spark.sparkContext.defaultParallelism)
+    # a sketch for each core: what is sent follows the input by the sketch's size alone
+    read = docs.select("lang", "text").coalesce(spark.sparkContext.defaultParallelism)
     blocks = map_texts(read, _sketched(bits, longest), "block long, cells binary")
     dealt = blocks.repartition(shuffle_partitions(spark), "block").sortWithinPartitions("block")
     out, step = np.zeros(DEPTH << bits >> 3, np.uint8), min(BLOCK, 1 << bits) >> 3
@@ -194,6 +196,32 @@ def _counted(bits: int, reached, longest: int):
     return run
 
 
+def _summed(run):
+    """What ``run`` yields, added up by phrase within the task as far as ``HELD_ROWS`` different ones."""
+
+    def of(batches):
+        held, fresh = [], 0
+        for part in run(batches):
+            held.append(part)
+            fresh += len(part)
+            if fresh >= HELD_ROWS // 2:
+                held, fresh = [*_added_up(held)], 0
+                if sum(map(len, held)) >= HELD_ROWS:
+                    yield from held
+                    held = []
+        yield from _added_up(held)
+
+    return of
+
+
+def _added_up(parts: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    if not parts:
+        return []
+    keys = ["lang", "phrase", "words"]
+    table = pa.Table.from_batches(parts).group_by(keys).aggregate([("c", "sum")])
+    return table.rename_columns([*keys, "c"]).combine_chunks().to_batches(max_chunksize=50_000)
+
+
 def _rows(lang: pa.Array, phrase: pa.Array, k: int, count: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([lang, phrase, pa.array(np.full(len(lang), k, np.int32)), pa.array(count.astype(np.int64))], names=["lang", "phrase", "words", "c"])
 
@@ -202,7 +230,8 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int =
     """``lang, phrase, words, f``: the exact count of every phrase that occurs ``min_count`` times; with 0 words a language's number of words."""
     bits, reached = merged_sketch(docs, min_count, longest)
     held = docs.sparkSession.sparkContext.broadcast(reached)
-    counted = map_texts(docs.select("lang", "text"), _counted(bits, held, longest), "lang string, phrase string, words int, c long")
+    read = docs.select("lang", "text").coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism)  # larger tasks add up more
+    counted = map_texts(read, _summed(_counted(bits, held, longest)), "lang string, phrase string, words int, c long")
     return materialize(counted.groupBy("lang", "phrase", "words").agg(F.sum("c").alias("f")).filter((F.col("f") >= min_count) | (F.col("words") == 0)))
 
 
