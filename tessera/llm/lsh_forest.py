@@ -92,7 +92,7 @@ def _digest(shingles: np.ndarray) -> tuple[int, int]:
     return (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63)
 
 
-_DESCRIBED = [("row", T.LongType()), ("d1", T.LongType()), ("d2", T.LongType()), ("size", T.LongType()), ("signature", T.BinaryType())]
+_DESCRIBED = [("row", T.LongType()), ("hash", T.LongType()), ("d1", T.LongType()), ("d2", T.LongType()), ("size", T.LongType()), ("signature", T.BinaryType())]
 
 
 def _described(shingle: int):
@@ -109,7 +109,7 @@ def _described(shingle: int):
             if len(seen) > SEEN:
                 seen.clear()
             made = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), *made], names=["doc_id", *(k for k, _ in _DESCRIBED)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), batch.column("hash"), *made], names=["doc_id", *(k for k, _ in _DESCRIBED)])
 
     return run
 
@@ -283,12 +283,12 @@ def regions(nodes: DataFrame, dense: int = DENSE) -> DataFrame:
 def similar_groups(docs: DataFrame, shingle: int = SHINGLE, dense: int = DENSE, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
     """``doc_id, d1, d2, size`` of every row, and ``d1, d2, copies, least, root`` of every set: its rows, their least id and its component's name."""
     spark = docs.sparkSession
-    read = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+    read = docs.select("doc_id", "text").withColumns({"row": F.monotonically_increasing_id(), "hash": F.xxhash64("text")})
     described = materialize(map_texts(read, _described(shingle), T.StructType([docs.schema["doc_id"], *(T.StructField(*f) for f in _DESCRIBED)])))
     key = ["d1", "d2"]
-    nodes = materialize(described.filter("d1 is not null").groupBy(*key).agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.max("size").alias("size"), F.max("signature").alias("signature")))
+    nodes = materialize(described.filter("d1 is not null").groupBy(*key).agg(F.min("row").alias("node"), F.min("hash").alias("hash"), F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.max("size").alias("size"), F.max("signature").alias("signature")))
     members = regions(nodes.select("node", "signature"), dense)
-    active = materialize(members.select("node").distinct().join(nodes.select("node", *key, "size", "signature"), "node"))
+    active = materialize(members.select("node").distinct().join(nodes.select("node", "hash", *key, "size", "signature"), "node"))
     placed = small_or_shuffled(active.select("node", "size", "signature"))
     partitions = max(shuffle_partitions(spark), -(-members.count() // 200_000))
 
@@ -304,10 +304,12 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, dense: int = DENSE,
         return materialize(dealt.mapInArrow(_in_groups(_region_pairs, "bucket"), "u long, v long").distinct())
 
     first = near(None)
-    asked = small_or_shuffled(active.select("node", *key))
+    asked = small_or_shuffled(active.select("node", "hash", *key))
     touched = first.select(F.col("u").alias("node")).unionByName(first.select(F.col("v").alias("node"))).distinct()
     wanted = materialize(asked.join(touched, "node"))
-    found = map_texts(docs.select("text"), _sets(shingle), "d1 long, d2 long, shingles binary").join(small_or_shuffled(wanted), key)
+    # a set is made again from a text that had it; the digest says that it is the one
+    texts = docs.select("text").withColumn("hash", F.xxhash64("text")).join(small_or_shuffled(wanted.select("hash").distinct()), "hash", "left_semi").select("text")
+    found = map_texts(texts, _sets(shingle), "d1 long, d2 long, shingles binary").join(small_or_shuffled(wanted.select("node", *key)), key)
     sets = materialize(found.groupBy("node").agg(F.first("shingles").alias("shingles")))
     side = lambda end, name: sets.select(F.col("node").alias(end), F.col("shingles").alias(name))
     links = materialize(map_texts(first.join(side("v", "b"), "v").join(side("u", "a"), "u"), _verify, "u long, v long", "a"))

@@ -9,6 +9,7 @@ term - a long list over several partitions - and in each partition best first. T
 2. A document whose score is at least ``low`` has a contribution of ``low / m`` in one of
    the item's ``m`` lists at least, so all postings from that threshold on are fetched. Their sums raise the bound;
    what a list that was not fetched for a document can add is less than the threshold and at most the list's best.
+   Fetched postings meet by document, in a row that no other task needs, so that items are summed up there.
 3. For documents whose sum and rest reach the bound the remaining contributions are looked up.
 
 All sums and bounds are integers, so ties at the bound stay in; the result is that of scoring everything.
@@ -28,12 +29,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_ROWS, documents, join_one, map_texts, materialize, shuffle_partitions, small_or_shuffled
+from .common import documents, join_one, map_texts, materialize, shuffle_partitions, small_or_shuffled
 from .words import byte_classes, spans
 
 BEST = 50
 #: Terms that every task is sent; with more, the postings of all terms are written and joined with those asked for.
 VOCABULARY = 500_000
+#: Pairs of item and term that every task is sent (some 64 MB); with more, sums are made by a join.
+LISTS = 2_000_000
+#: Sums of a document and an item that are held at once.
+CELLS = 1 << 20
 #: Postings of a list that go to one partition, on average; a longer list goes to several.
 LIST_ROWS = 100_000
 #: Postings of a partition, on average.
@@ -114,6 +119,91 @@ def _kth(sums: DataFrame, k: int, value: str, name: str) -> DataFrame:
     return sums.select("q", value).withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= k).groupBy("q").agg(F.max(F.when(F.col("_at") == k, F.col(value))).alias(name))
 
 
+def _joined_candidates(held: DataFrame, lists: DataFrame, rests: DataFrame, k: int) -> DataFrame:
+    """``q, row, doc_id, p, most``: sums of what is fetched, and what the scores can be at most, of the documents that may be among the ``k`` best."""
+    fetched = held.join(lists, "t").filter("s >= least")
+    sums = fetched.groupBy("q", "row").agg(F.sum("s").alias("p"), F.sum("rest").alias("seen"), F.first("doc_id").alias("doc_id"))
+    sums = materialize(sums.join(small_or_shuffled(rests), "q").withColumn("most", F.expr("p + rests - seen")).filter("most >= low").select("q", "row", "doc_id", "p", "most", "low"))
+    raised = materialize(_kth(sums, k, "p", "raised"))
+    return sums.join(small_or_shuffled(raised), "q", "left").filter(F.col("most") >= F.greatest("low", F.coalesce("raised", F.lit(0)))).select("q", "row", "doc_id", "p", "most")
+
+
+def _summed(lists, rests):
+    """For a batch of documents with their fetched postings: pieces of (rows from, ``p``, ``most``), a column an item. Sums stay under 2**53, so doubles are exact."""
+    t, q, least, rest = lists
+    terms, begin = np.unique(t, return_index=True)
+    begin = np.append(begin, len(t))
+
+    def of(batch):
+        values, ends = batch.column("postings").flatten(), batch.column("postings").value_lengths().to_numpy()
+        term, s = (values.field(i).to_numpy() for i in (0, 1))
+        step = max(1, CELLS // max(len(rests), 1))
+        bounds = np.append(0, np.cumsum(ends))
+        for a in range(0, len(ends), step):
+            b = min(a + step, len(ends))
+            own = np.searchsorted(terms, term[bounds[a] : bounds[b]])
+            many = begin[own + 1] - begin[own]
+            at = np.arange(many.sum()) + np.repeat(begin[own] - (np.cumsum(many) - many), many)
+            got = np.repeat(s[bounds[a] : bounds[b]], many)
+            row = np.repeat(np.repeat(np.arange(b - a), ends[a:b]), many)
+            enough = got >= least[at]
+            at, cell = at[enough], (row * len(rests) + q[at])[enough]
+            p, seen = (np.bincount(cell, x, (b - a) * len(rests)).astype(np.int64).reshape(b - a, -1) for x in (got[enough], rest[at]))
+            yield a, p, np.where(p > 0, p + rests - seen, 0)
+
+    return of
+
+
+def _best_sums(held, k: int):
+    """The ``k`` largest sums of each item among the task's documents."""
+
+    def run(batches):
+        *lists, rests, _ = held.value
+        summed, best = _summed(lists, rests), np.zeros((k, len(rests)), np.int64)
+        for batch in batches:
+            for _, p, _ in _summed_of(summed, batch):
+                best = np.partition(np.concatenate([best, p]), -k, axis=0)[-k:]
+        rank, q = np.nonzero(best)
+        yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int64)), pa.array(best[rank, q])], names=["i", "p"])
+
+    return run
+
+
+def _summed_of(summed, batch):
+    return summed(batch) if len(batch) else ()
+
+
+def _reaching(held, raised):
+    def run(batches):
+        *lists, rests, names = held.value
+        summed, least = _summed(lists, rests), raised.value
+        for batch in batches:
+            for a, p, most in _summed_of(summed, batch):
+                row, q = np.nonzero((most >= least) & (p > 0))
+                at = pa.array(row + a)
+                yield pa.RecordBatch.from_arrays([pa.array(names[q]), batch.column("row").take(at), batch.column("doc_id").take(at), pa.array(p[row, q]), pa.array(most[row, q])], names=["q", "row", "doc_id", "p", "most"])
+
+    return run
+
+
+def _candidates(held: DataFrame, lists: DataFrame, rests: DataFrame, k: int) -> DataFrame:
+    """As :func:`_joined_candidates`, for lists that fit in every task: fetched postings are brought together by document, not by pair of item and document."""
+    spark = held.sparkSession
+    known = rests.orderBy("q").collect()  # one row an item; like ``lists`` under ``LISTS``
+    names, low = (np.array([r[c] for r in known], np.int64) for c in ("q", "low"))
+    own = lists.orderBy("t", "q").toArrow()
+    t, q, least, rest = (own.column(c).to_numpy() for c in ("t", "q", "least", "rest"))
+    shared = spark.sparkContext.broadcast((t, np.searchsorted(names, q), least, rest, np.array([r.rests for r in known], np.int64), names))
+    wanted = F.broadcast(lists.groupBy("t").agg(F.min("least").alias("least")))
+    fetched = held.join(wanted, "t").filter("s >= least").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("t", "s")).alias("postings"))
+    fetched = materialize(fetched)
+    best = fetched.select("postings").coalesce(2 * spark.sparkContext.defaultParallelism).mapInArrow(_best_sums(shared, k), "i long, p long")
+    for r in _kth(best.withColumnRenamed("i", "q"), k, "p", "raised").filter("raised is not null").collect():
+        low[r.q] = max(low[r.q], r.raised)
+    schema = T.StructType([T.StructField("q", T.LongType()), T.StructField("row", T.LongType()), held.schema["doc_id"], T.StructField("p", T.LongType()), T.StructField("most", T.LongType())])
+    return fetched.mapInArrow(_reaching(shared, spark.sparkContext.broadcast(low)), schema)
+
+
 def top_documents(docs: DataFrame, items: DataFrame, k: int = BEST) -> DataFrame:
     """``item_id, rank, doc_id, score``: the ``k`` best documents of ``docs`` for each item (``item_id, text``) with a score above 0."""
     asked = materialize(map_texts(items.select("item_id", "text"), _terms, T.StructType([items.schema["item_id"], T.StructField("term", T.StringType())])).distinct())
@@ -131,19 +221,14 @@ def top_documents(docs: DataFrame, items: DataFrame, k: int = BEST) -> DataFrame
     bounds = materialize(bounds.select("q", F.coalesce("low", F.lit(0)).alias("low"), F.greatest(F.lit(1), F.expr("coalesce(low, 0) div m")).alias("least")))
 
     # 2: all postings from the threshold on; ``rest``: what the lists that weren't fetched can add at most
-    with_bounds = lists.join(small_or_shuffled(bounds), "q").withColumn("rest", F.least(F.col("least") - 1, "most"))
-    with_bounds = materialize(with_bounds)
-    rests = with_bounds.groupBy("q").agg(F.sum("rest").alias("rests"), F.first("low").alias("low"))
-    fetched = held.join(small_or_shuffled(with_bounds.filter("most >= least").select("q", "t", "least", "rest")), "t").filter("s >= least")
-    sums = fetched.groupBy("q", "row").agg(F.sum("s").alias("p"), F.sum("rest").alias("seen"), F.first("doc_id").alias("doc_id"))
-    sums = materialize(sums.join(F.broadcast(rests) if bounds.count() <= BROADCAST_ROWS else rests, "q").withColumn("most", F.expr("p + rests - seen")).filter("most >= low").select("q", "row", "doc_id", "p", "most", "low"))
-    raised = materialize(_kth(sums, k, "p", "raised"))
-    candidates = sums.join(small_or_shuffled(raised), "q", "left").filter(F.col("most") >= F.greatest("low", F.coalesce("raised", F.lit(0)))).select("q", "row", "doc_id", "p", "most")
-    candidates = materialize(candidates)
+    whole = materialize(lists.join(small_or_shuffled(bounds), "q").withColumn("rest", F.least(F.col("least") - 1, "most")))
+    rests = materialize(whole.groupBy("q").agg(F.sum("rest").alias("rests"), F.first("low").alias("low")))
+    open_lists = whole.filter("most >= least").select("q", "t", "least", "rest")
+    candidates = materialize((_candidates if whole.count() <= LISTS else _joined_candidates)(held, open_lists, rests, k))
 
     # 3: the candidates' contributions below the threshold
     open_ones = small_or_shuffled(candidates.filter("most > p").select("q", "row"))
-    below = small_or_shuffled(with_bounds.filter("rest > 0").select("q", "t", "least"))
+    below = small_or_shuffled(whole.filter("rest > 0").select("q", "t", "least"))
     looked_up = held.select("t", "s", "row").join(open_ones, "row").join(below, ["q", "t"]).filter("s < least").groupBy("q", "row").agg(F.sum("s").alias("added"))
     scores = candidates.join(looked_up, ["q", "row"], "left").withColumn("score", F.col("p") + F.coalesce("added", F.lit(0)))
     best = Window.partitionBy("q").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"), "row")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +30,20 @@ class Words:
     """Words in the order of the texts."""
 
     row: np.ndarray  #: the text's place in the batch
-    piece: np.ndarray  #: equal for neighbours that no break and no end of a text parts
     code: np.ndarray  #: the word's place in ``vocabulary``
     length: np.ndarray  #: bytes
     raw: np.ndarray  #: the words' bytes without anything between them
     vocabulary: pa.Array
+    start: np.ndarray  #: bytes of the span before it
+    kind: np.ndarray  #: the class of each byte of the span
+    first: np.ndarray  #: where texts begin in the span
+
+    @cached_property
+    def piece(self) -> np.ndarray:
+        """Equal for neighbours that no break and no end of a text parts."""
+        new = self.kind == BREAK
+        new[self.first] = True
+        return np.cumsum(new, dtype=np.int32)[self.start]
 
     def hashes(self, seed: int = 0) -> np.ndarray:
         """XXH64 of each different word."""
@@ -85,9 +95,6 @@ def _words(data: np.ndarray, ends: np.ndarray, classes: np.ndarray, lower: bool)
     # a word ends where the next begins in ``raw``
     place = np.cumsum(inside, dtype=np.int64)[start] - 1
     bounds = np.append(place, len(raw))
-    breaks = np.union1d(np.flatnonzero(kind == BREAK), first)
     encoded = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(raw)]).dictionary_encode()
-    return Words(
-        np.searchsorted(ends[1:], start, "right"), np.searchsorted(breaks, start, "right"),
-        encoded.indices.to_numpy().astype(np.int64), np.diff(bounds), raw, encoded.dictionary,
-    )
+    many = np.diff(np.searchsorted(start, ends))  # words of each text
+    return Words(np.repeat(np.arange(len(many)), many), encoded.indices.to_numpy().astype(np.int64), np.diff(bounds), raw, encoded.dictionary, start, kind, first)

@@ -61,7 +61,7 @@ def test_equals_scoring_everything(spark, rows, k):
 def test_shuffle_joins_and_split_lists(spark, rows, monkeypatch):
     monkeypatch.setattr(r, "VOCABULARY", 3)
     monkeypatch.setattr(r, "LIST_ROWS", 20)
-    monkeypatch.setattr(r, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(r, "LISTS", 0)
     monkeypatch.setattr("tessera.llm.common.BROADCAST_ROWS", 0)
     got = [tuple(x) for x in r.top_documents(*tables(spark, *rows), 10).collect()]
     assert sorted(got, key=str) == brute(*rows, 10)
