@@ -3,9 +3,10 @@
 Base kinds (``email ip card phone``) follow fixed patterns and stay whenever they
 match; each pattern is matched in linear time, however long the text. On top of
 them the method proposes spans of further kinds and scores each: a prior for
-the pattern, more if a checksum holds (mod-97 for bank account numbers, the
-mod-10 variants for cards of other lengths and routing numbers), more for a
-telling word shortly before or after the span, less for one before it that speaks against it.
+the pattern, more if a checksum or another test of its structure holds (mod-97 for bank account numbers, the
+mod-10 variants for cards of other lengths and routing numbers, entropy by alphabet for keys, a header that decodes for
+signed tokens, a body that decodes for private keys), more for a telling word shortly before or
+after the span and for a value that is assigned, less for a word before it that speaks against it.
 Spans at ``threshold`` or above count, unless they overlap a span already taken;
 the best score goes first.
 
@@ -18,10 +19,13 @@ columns pass through untouched. Offsets are code points, the end exclusive.
 
 from __future__ import annotations
 
+import binascii
 import hashlib
+import json
 import re
 from bisect import bisect_left
 from itertools import accumulate
+from math import log2
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +34,7 @@ from pyspark.sql import types as T
 from .common import documents, map_texts, schema_of, texts
 
 KINDS = ("email", "ip", "card", "phone")
-EXTRA_KINDS = ("iban", "card_other", "ssn", "routing", "phone_local", "mac", "ipv6", "secret")
+EXTRA_KINDS = ("iban", "card_other", "ssn", "routing", "phone_local", "mac", "ipv6", "secret", "private_key", "jwt", "password")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
@@ -44,9 +48,16 @@ _ROUTING = re.compile(r"(?<![0-9-])[0-9]{9}(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])")
 _MAC = re.compile(r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}(?![0-9A-Fa-f:])")
 _IPV6 = re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:.])|(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]{4,39}(?![0-9A-Za-z:.]))(?:[0-9A-Fa-f]{1,4}:){1,6}:(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})(?![0-9A-Za-z:.])")
-#: Published prefixes of access keys, then what follows them.
-_SECRET = re.compile(r"(?<![A-Za-z0-9_-])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,200}|sk_live_[A-Za-z0-9]{16,64}|AIza[A-Za-z0-9_-]{35}|[A-Za-z0-9_-]{32,64})(?![A-Za-z0-9_-])")
-_PUBLISHED = re.compile(r"AKIA|gh[pousr]_|xox[abprs]-|sk_live_|AIza")
+#: Published prefixes of access keys, with what follows them.
+_PUBLISHED = re.compile(r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,200}|sk_live_[A-Za-z0-9]{16,64}|AIza[A-Za-z0-9_-]{35}")
+_SECRET = re.compile(rf"(?<![A-Za-z0-9_+/-])(?:{_PUBLISHED.pattern}|[A-Za-z0-9_+/-]{{20,128}}={{0,2}})(?![A-Za-z0-9_+/=-])")
+_HEX, _BASE32, _ONE_CASE = re.compile("[0-9a-f]+|[0-9A-F]+"), re.compile("[A-Z2-7]+"), re.compile("[0-9a-z]+|[0-9A-Z]+")
+_PRIVATE_KEY = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----(?:\s*+[A-Za-z-]+: [^\n]*+)*+[A-Za-z0-9+/=\s]*+-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----")
+_JWT = re.compile(r"(?<![A-Za-z0-9_.-])eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++(?![A-Za-z0-9_.-])")
+#: The value of an assignment to a name of this sort; the name is before the span.
+_PASSWORD = re.compile(r"""(?i)(?<![^\W_])(?:password|passwd|passwort|passphrase|pwd|contrase\u00f1a|mot de passe)["']?\s{0,3}[:=]\s{0,3}["']?(?P<span>[^\s"'<>,;]{6,64})""")
+_PLACEHOLDER = re.compile(r"(?i)example|changeme|placeholder|your|none|null|true|false|x{4,}|\*{3,}|\.{3,}|\$\{|required|optional")
+_ASSIGNED = re.compile(r"""[=:]\s{0,3}["'`]?$""")
 #: kind: (pattern, prior, gain of a valid checksum, words that speak for it, words that speak against it).
 EXTRA = {
     "iban": (_IBAN, 0.3, 0.5, ("iban", "account", "konto", "cuenta", "compte", "bank"), ("isbn", "serial", "sku")),
@@ -57,10 +68,15 @@ EXTRA = {
     "mac": (_MAC, 0.6, 0.0, ("mac", "device", "hardware"), ("sha", "hash")),
     "ipv6": (_IPV6, 0.6, 0.0, ("address", "host", "server"), ("time", "version")),
     "secret": (_SECRET, 0.0, 0.6, ("key", "token", "secret", "password", "passwort", "api", "bearer", "credential"), ("sha", "md5", "digest", "checksum", "commit", "hash", "uuid")),
+    "private_key": (_PRIVATE_KEY, 0.4, 0.6, (), ()),
+    "jwt": (_JWT, 0.2, 0.8, (), ()),
+    "password": (_PASSWORD, 0.4, 0.3, (), ()),
 }
 THRESHOLD = 0.6
 CONTEXT_CHARS = 40
 CONTEXT_WEIGHT = 0.4
+#: For a key or password that is assigned, as in ``name = "value"``.
+ASSIGNED_WEIGHT = 0.2
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -85,7 +101,46 @@ def _aba(d: str) -> bool:
     return any(n) and (3 * (n[0] + n[3] + n[6]) + 7 * (n[1] + n[4] + n[7]) + n[2] + n[5] + n[8]) % 10 == 0
 
 
-def _valid(kind: str, found: str) -> bool:
+def _entropy(x: str) -> float:
+    """Bits a character, by the characters' own frequencies."""
+    return -sum(x.count(c) / len(x) * log2(x.count(c) / len(x)) for c in set(x))
+
+
+def _random(x: str) -> bool:
+    """Does a run look drawn from an alphabet: hexadecimal, base 32, letters of one case and digits, or base 64?"""
+    core = x.rstrip("=")
+    digits, letters = sum(map(str.isdigit, core)), sum(map(str.isalpha, core))
+    if not digits or not letters:
+        return False
+    if _HEX.fullmatch(core):
+        return _entropy(core) >= 0.7 * min(4, log2(len(core)))
+    if _BASE32.fullmatch(core):
+        return _entropy(core) >= 0.7 * min(5, log2(len(core)))
+    if _ONE_CASE.fullmatch(core):
+        return 100 * digits >= 12 * len(core) and _entropy(core) >= 0.68 * min(5.2, log2(len(core)))
+    return bool(re.search("[a-z]", core) and re.search("[A-Z]", core)) and _entropy(core) >= 0.75 * min(6, log2(len(core)))
+
+
+def _decoded(x: str) -> bytes | None:
+    """Base 64 of either alphabet, as bytes."""
+    x = "".join(x.split()).rstrip("=").replace("-", "+").replace("_", "/")
+    try:
+        return binascii.a2b_base64(x + "=" * (-len(x) % 4), strict_mode=True)
+    except binascii.Error:
+        return None
+
+
+def _signed(token: str) -> bool:
+    """Is the first part of a token a header that names its algorithm?"""
+    try:
+        header = json.loads(_decoded(token.split(".")[0]) or b"")
+    except ValueError:
+        return False
+    return isinstance(header, dict) and "alg" in header
+
+
+def _valid(kind: str, found: str) -> float:
+    """How much of a kind's gain the span's own structure earns."""
     digits = re.sub("[^0-9]", "", found)
     if kind == "iban":
         return mod97(found.replace(" ", ""))
@@ -93,8 +148,15 @@ def _valid(kind: str, found: str) -> bool:
         return luhn(digits)
     if kind == "routing":
         return _aba(digits)
-    if kind == "secret":  # a published prefix; without one, digits and letters of both cases say half of it
-        return 1.0 if _PUBLISHED.match(found) else 0.5 * (bool(re.search("[0-9]", found)) and bool(re.search("[a-z]", found)) and bool(re.search("[A-Z]", found)))
+    if kind == "secret":  # a published prefix; without one, the look of a drawn run says half of it
+        return 1.0 if _PUBLISHED.fullmatch(found) else 0.5 * _random(found)
+    if kind == "private_key":
+        body = re.sub(r"\s*[A-Za-z-]+: [^\n]*", "", found.split("-----")[2])
+        return bool(body.strip()) and _decoded(body) is not None
+    if kind == "jwt":
+        return _signed(found)
+    if kind == "password":
+        return not _PLACEHOLDER.search(found) and bool(re.search(r"[^A-Za-z]", found))
     return kind == "ssn" and digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000"
 
 
@@ -137,10 +199,12 @@ def extra_spans(text: str, taken: list[tuple[int, int, str]], threshold: float =
         for m in pattern.finditer(text):
             if kind == "card_other" and not 12 <= sum(map(str.isdigit, m[0])) <= 13:
                 continue
-            before, after = ({w.lower() for w in _WORD.findall(side)} for side in (text[max(0, m.start() - CONTEXT_CHARS) : m.start()], text[m.end() : m.end() + CONTEXT_CHARS]))
-            score = prior + gain * _valid(kind, m[0]) + CONTEXT_WEIGHT * (not (before | after).isdisjoint(good)) - CONTEXT_WEIGHT * (not before.isdisjoint(bad))
+            start, end = m.span("span" if "span" in pattern.groupindex else 0)
+            before, after = ({w.lower() for w in _WORD.findall(side)} for side in (text[max(0, start - CONTEXT_CHARS) : start], text[end : end + CONTEXT_CHARS]))
+            valid = _valid(kind, text[start:end])
+            score = prior + gain * valid + ASSIGNED_WEIGHT * (valid > 0 and kind in ("secret", "password") and bool(_ASSIGNED.search(text[max(0, start - 6) : start]))) + CONTEXT_WEIGHT * (not (before | after).isdisjoint(good)) - CONTEXT_WEIGHT * (not before.isdisjoint(bad))
             if score >= threshold - 1e-9:
-                proposed.append((m.start(), m.end(), kind, round(score, 2)))
+                proposed.append((start, end, kind, round(score, 2)))
     starts, ends = [a for a, _, _ in taken], [b for _, b, _ in taken]  # ascending, up to overlaps of base kinds
     ends = [*accumulate(ends, max)]
     out: list = []
