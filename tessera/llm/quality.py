@@ -13,8 +13,9 @@ document must be inside both:
 - *Fitted* ones: for each half-octave of length the median ratio of all documents that pass the
   base rules, and around it some robust standard deviations (from the median
   absolute deviation); likewise for the chunks. Only different pairs of length and
-  compressed size count, so a group of copies has no more weight than one text. A
-  class of length with under ``least_texts`` such pairs has no band of its own: the fixed one holds.
+  compressed size count, so a group of copies has no more weight than one text. Each
+  class takes in its neighbours', with a weight that falls to ``1 / pooled`` a half-octave, so that one with many
+  texts goes by its own and one with few by those next to it, at any size of the table.
 
 One scan measures each row and writes the measures; the fit is a histogram of some
 thousand rows, and the verdict an expression over the measures.
@@ -59,7 +60,9 @@ class Bands:
     chunk_below: tuple[float, float] = (6.0, 0.12)
     #: Chunks outside the fitted band that a document may have.
     max_odd_chunks: float = 0.1
-    least_texts: int = 50
+    #: A neighbouring class of length counts one in so many, up to ``reach`` classes away.
+    pooled: int = 16
+    reach: int = 4
     level: int = 3
     min_words: int = 50
     max_repeat_percent: int = 50
@@ -143,7 +146,10 @@ def fit(measured: DataFrame, name: str, bands: Bands = BANDS) -> tuple[dict[int,
     whole = pairs.select("k", F.round(F.col("n_bytes") / F.col("packed"), 3).alias("r"))
     inside = pairs.select(F.lit(-1).alias("k"), F.explode("chunks").alias("p")).select("k", F.round(F.lit(float(bands.chunk_bytes)) / F.col("p"), 3).alias("r"))
     hist = materialize(whole.unionByName(inside).groupBy("k", "r").agg(F.count("*").alias("n")))
-    middle = hist.groupBy("k").agg(F.percentile("r", 0.5, F.col("n")).alias("mid"), F.sum("n").alias("texts")).filter(F.col("texts") >= bands.least_texts)
+    step = F.explode(F.sequence(F.lit(-bands.reach), F.lit(bands.reach))).alias("d")
+    near = hist.filter("k >= 0").select("*", step).select((F.col("k") + F.col("d")).alias("k"), "r", (F.col("n") * F.pow(F.lit(bands.pooled), bands.reach - F.abs("d"))).cast("long").alias("n"))
+    hist = materialize(near.filter("k >= 0").unionByName(hist.filter("k < 0")).groupBy("k", "r").agg(F.sum("n").alias("n")))
+    middle = hist.groupBy("k").agg(F.percentile("r", 0.5, F.col("n")).alias("mid"))
     spread = hist.join(F.broadcast(middle), "k").groupBy("k").agg(F.first("mid").alias("mid"), F.percentile(F.abs(F.col("r") - F.col("mid")), 0.5, F.col("n")).alias("mad"))
     out = {}
     for r in spread.collect():  # one row a length class
