@@ -13,11 +13,14 @@ from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tessera.functions.columns import content_length, draw
+from tessera.tables import written
 
 from .generate import constituents
+from .selection import first_rows
 
 
 def ranked(df: DataFrame, groups: list[str], bucket: Column, order: list[Column], name: str = "rank") -> DataFrame:
@@ -170,17 +173,19 @@ def hint_leak(test: DataFrame, share: float, only_level: int | None = None) -> D
     if not 0 <= share < 1:
         raise ValueError("the share of hints must be in [0, 1)")
     counts = {r.complexity: r.n for r in test.groupBy("complexity").agg(F.count("*").alias("n")).collect()}  # one row a level
-    quota, leaked = round(share * sum(counts.values())), F.lit(False)
+    quota, wanted = round(share * sum(counts.values())), []
     for level in sorted(counts) if only_level is None else [only_level]:
-        n = counts.get(level, 0)
-        if quota <= 0 or not n:
-            continue
-        at = F.col("complexity") == level
-        if n > quota:
-            at = at & (F.col("ex_id") <= nth_smallest(test.filter(at), "ex_id", quota))
-        leaked = leaked | at
-        quota -= n
-    return test.withColumn("leaked", leaked)
+        wanted.append((level, min(quota, counts.get(level, 0))))
+        quota -= wanted[-1][1]
+    wanted = test.sparkSession.createDataFrame(wanted, "_g int, _want long")  # one row a level
+    return first_rows(test, F.col("complexity"), wanted, order_key(test, "ex_id"), [F.col("ex_id")], "leaked")
+
+
+def order_key(df: DataFrame, column: str) -> Column:
+    """A whole number in the order of the column: a whole number itself, else the first seven bytes of the text."""
+    if isinstance(df.schema[column].dataType, T.IntegralType):
+        return F.coalesce(F.col(column).cast("long"), F.lit(-(1 << 63)))
+    return F.coalesce(F.conv(F.hex(F.substring(F.rpad(F.encode(F.col(column).cast("string"), "UTF-8"), 7, F.unhex(F.lit("00"))), 1, 7)), 16, 10).cast("long"), F.lit(-1))
 
 
 def stratum(df: DataFrame, tagged: bool = True) -> DataFrame:
@@ -194,10 +199,11 @@ def quotas(df: DataFrame, tests: int) -> DataFrame:
     sizes = df.groupBy("stratum").agg(F.count("*").alias("n"))
     total = df.count()
     exact = F.lit(tests) * F.col("n")
-    parts = sizes.withColumn("whole", F.floor(exact / total)).withColumn("rest", exact % total)
-    extra = F.lit(tests) - F.sum("whole").over(Window.partitionBy(F.lit(0)))
-    order = F.row_number().over(Window.orderBy(F.desc("rest"), "stratum"))  # one row a stratum
-    return parts.select("stratum", "n", (F.col("whole") + (order <= extra).cast("int")).alias("quota"))
+    parts = written(sizes.withColumn("whole", F.floor(exact / total)).withColumn("rest", exact % total))
+    extra = tests - (parts.agg(F.sum("whole")).first()[0] or 0)
+    one = df.sparkSession.createDataFrame([(0, extra)], "_g int, _want long")
+    more = first_rows(parts, F.lit(0), one, -F.col("rest"), [F.col("stratum")], "more")
+    return more.select("stratum", "n", (F.col("whole") + F.col("more").cast("int")).alias("quota"))
 
 
 def stratified_split(df: DataFrame, test_size: float = 0.2, seed: int = 42, tests: int | None = None, on_small_stratum: str = "fallback") -> DataFrame:
@@ -210,13 +216,14 @@ def stratified_split(df: DataFrame, test_size: float = 0.2, seed: int = 42, test
     fallback = not sizes.strata or sizes.least < 2 or min(tests, sizes.total - tests) < sizes.strata
     if fallback and on_small_stratum == "error":
         raise ValueError("a stratum is too small to be split")
-    hashed = df.withColumn("_h", draw(seed, F.col("ex_id")))
-    bucket = F.substring("_h", 1, 3)
+    drawn = df.withColumn("_draw", draw(seed, F.col("ex_id")))
+    key = F.conv(F.substring("_draw", 1, 15), 16, 10).cast("long")
     if fallback:
-        out = ranked(hashed, [], bucket, [F.col("_h"), F.col("ex_id")])
-        return out.withColumn("split", F.when(F.col("rank") <= tests, "test").otherwise("train")).drop("_h", "rank")
-    out = ranked(hashed, ["stratum"], bucket, [F.col("_h"), F.col("ex_id")]).join(quotas(df, tests).drop("n"), "stratum")
-    return out.withColumn("split", F.when(F.col("rank") <= F.col("quota"), "test").otherwise("train")).drop("_h", "rank", "quota")
+        group, wanted = F.lit(0), df.sparkSession.createDataFrame([(0, tests)], "_g int, _want long")
+    else:
+        group, wanted = F.col("stratum"), quotas(df, tests).select(F.col("stratum").alias("_g"), F.col("quota").alias("_want"))
+    chosen = first_rows(drawn, group, wanted, key, [F.col("_draw"), F.col("ex_id")], "_test")
+    return chosen.withColumn("split", F.when(F.col("_test"), "test").otherwise("train")).drop("_draw", "_test")
 
 
 def divided(df: DataFrame, share: float, seed: int, tests: int | None, on_small_stratum: str) -> DataFrame:
