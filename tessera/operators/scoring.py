@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tessera.functions import columns as C
 
@@ -62,6 +63,62 @@ def infer(df: DataFrame, column: str, make: Callable[[], Callable[[list[str]], l
     return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField(name, T.StringType())]))
 
 
+def token_batches(df: DataFrame, ids: str, budget: int, pad: int = 0, partitions: int | None = None) -> DataFrame:
+    """``df`` with ``batch, width, padded, mask``: rows of like length together, each batch as many as fit ``budget`` places when all are padded to its longest.
+
+    Rows are dealt by ranges of length and sorted in them, so that a batch pads little, whatever the longest row of the table; a row longer than
+    the budget is a batch by itself. ``batch`` is unique; its numbers depend on the partitions, the rows' padding to their batch doesn't lose any.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = F.coalesce(F.size(ids), F.lit(0))
+    sized = df.withColumn("_size", F.greatest(size, F.lit(0))).repartitionByRange(n, "_size", F.xxhash64(*(F.col(c) for c in df.columns))).sortWithinPartitions("_size")
+    sized = sized.withColumn("_part", F.spark_partition_id().cast("long"))
+
+    def run(batches):
+        number, used, widest, at = 0, 0, 0, None
+        for frame in batches:
+            marks = []
+            for part, length in zip(frame["_part"], frame["_size"], strict=True):
+                if at != part or (used and (used + 1) * max(widest, length, 1) > budget):
+                    number, used, widest, at = number + 1, 0, 0, part
+                used, widest = used + 1, max(widest, length)
+                marks.append((int(part) << 40) + number)
+            yield frame.assign(batch=marks)
+
+    marked = sized.mapInPandas(run, T.StructType([*sized.schema.fields, T.StructField("batch", T.LongType())]))
+    width = F.max("_size").over(Window.partitionBy("batch"))  # at most ``budget`` places
+    whole = marked.withColumn("width", width).drop("_part")
+    own = F.coalesce(ids, F.array().cast(df.schema[ids].dataType))
+    return whole.withColumns({"padded": F.concat(own, F.array_repeat(F.lit(pad).cast(df.schema[ids].dataType.elementType), F.col("width") - F.col("_size"))), "mask": F.concat(F.array_repeat(F.lit(1), F.col("_size")), F.array_repeat(F.lit(0), F.col("width") - F.col("_size")))}).drop("_size")
+
+
+def infer_by_tokens(df: DataFrame, ids: str, make: Callable[[], Callable[[list[list[int]]], list[str]]], budget: int, pad: int = 0, name: str = "output") -> DataFrame:
+    """``df`` with an injected model's answers, asked in :func:`token_batches`; columns and rows are ``df``'s, in no set order: sort by a key of your own."""
+    ready = token_batches(df, ids, budget, pad).repartition("batch").sortWithinPartitions("batch")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, held = make(), None
+
+        def answered(rows: pd.DataFrame) -> pd.DataFrame:
+            asked = [list(map(int, x)) for x in rows["padded"]]
+            got = model(asked)
+            if len(got) != len(asked):
+                raise ValueError(f"{len(got)} answers to {len(asked)} questions")
+            return rows.drop(columns=["batch", "width", "padded", "mask"]).assign(**{name: got})
+
+        for f in frames:
+            held = pd.concat([held, f], ignore_index=True) if held is not None else f
+            whole = held["batch"] != held["batch"].iloc[-1] if len(held) else held["batch"].astype(bool)
+            for _, rows in held[whole].groupby("batch", sort=False):
+                yield answered(rows)
+            held = held[~whole]
+        if held is not None and len(held):
+            for _, rows in held.groupby("batch", sort=False):
+                yield answered(rows)
+
+    return ready.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField(name, T.StringType())]))
+
+
 def evaluate(df: DataFrame, prediction: str, reference: str, decode: Callable[[Column], Column], vocabulary: int, pad: int = 0, ignore: int = -100) -> DataFrame:
     """``exact_match, n`` of predicted and true ids: masked places become padding, ids outside the vocabulary are clipped, both sides are decoded.
 

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.operators import merging as M
+from tessera.operators import scoring as G
 from tessera.operators import selection as S
+from tessera.operators import subwords as W
 
 from .registry import query, table
 
@@ -35,3 +38,38 @@ def shuffled_documents(spark, sf):
 def shuffled_in_blocks(spark, sf):
     """The same inside each language, languages in a set order first."""
     return S.shuffled(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id", 42, blocks="lang", first=["en", "de"]).select("doc_id", "lang", "place")
+
+
+@query()
+def subword_counts(spark, sf):
+    """Tokens of every document by ranked merges of its different words."""
+    import public_tokenizers
+
+    ranks = W.read_ranks(str(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    return W.token_counts(table(spark, sf, "documents"), "doc_id", "text", ranks).withColumnRenamed("key", "doc_id")
+
+
+@query("SELECT conv_id, turn, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '')) AS BIGINT) AS answer FROM conversations")
+def answers_by_tokens(spark, sf):
+    """Turns of conversations, asked of a model in batches of like length: it tells the number of real places, which padding must not change."""
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.transform(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda x: x != ""), lambda x: (F.crc32(x) % 30_000 + 1).cast("int")).alias("ids"))
+    asked = G.infer_by_tokens(rows, "ids", lambda: lambda batch: [str(sum(x > 0 for x in ids)) for ids in batch], 4096)
+    return asked.select("conv_id", "turn", F.col("output").cast("long").alias("answer"))
+
+
+@query()
+def padding_by_batch(spark, sf):
+    """Places that padding to the longest of the batch adds, and those that padding to the longest of the table would."""
+    rows = table(spark, sf, "conversations").select(F.split(F.coalesce("text", F.lit("")), r"\s+").alias("words")).select(F.transform("words", lambda x: F.length(x)).alias("ids"))
+    sized = G.token_batches(rows, "ids", 4096)
+    real, widest = F.sum(F.size("ids")), F.max("width")
+    return sized.agg(F.count_distinct("batch").alias("batches"), real.alias("places"), (F.sum("width") - real).alias("padding"), (F.count("*") * widest - real).alias("padding_of_table"))
+
+
+@query("SELECT user_id, CAST(count(*) AS BIGINT) AS n, string_agg(json_extract_string(props, '$.k'), ',' ORDER BY event_id) AS k FROM events GROUP BY 1")
+def merged_props(spark, sf):
+    """The properties of each user's events as one object, in order of the events: the values of ``k`` as a list, or alone."""
+    events = table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("ord"), F.col("props").alias("text"))
+    whole = M.merged(events)
+    items = F.from_json(F.regexp_replace(F.get_json_object("json", "$.k"), r"^([^\[].*)$", "[$1]"), "array<string>")
+    return whole.select(F.col("key").alias("user_id"), F.size(items).cast("long").alias("n"), F.array_join(items, ",").alias("k"))
