@@ -273,10 +273,25 @@ def test_held_out_accuracy_and_calibration():
     model = licences.train()
     data = licences.variations(777, 3)
     probs = np.array([model.probabilities(t) for t, _ in data])
-    right = probs.argmax(1) == [k for _, k in data]
-    assert right.mean() > 0.97
-    sure = probs.max(1) >= licences.MIN_PROBABILITY
-    assert right[sure].mean() >= 0.98 and sure.mean() > 0.95
+    own = np.array([[k in o for k in range(len(licences.FAMILIES))] for _, o in data])
+    several = own.sum(1) > 1
+    best = np.where(probs.max(1) >= 0.5, probs.argmax(1), -1)
+    assert (best == np.where(own.any(1), own.argmax(1), -1))[~several].mean() > 0.97
+    assert ((probs >= 0.5) == own).all(1)[several].mean() > 0.85
+    told = probs >= licences.MIN_PROBABILITY
+    assert own[told].mean() > 0.98 and told[own].mean() > 0.9  # what is told is right, and most is told
+    for low, high in ((0.5, 0.8), (0.8, 0.95), (0.95, 1.0)):
+        some = (probs >= low) & (probs < high)
+        assert abs(own[some].mean() - probs[some].mean()) < 0.15
+
+
+def test_no_text_without_a_telling_word_is_a_licence():
+    model = licences.train()
+    words, bound = set(licences.telling_words(model)), np.array(model.bias)
+    for g, w in model.weights.items():
+        if not any(p in words for t in g.split() for p in re.findall("[a-z0-9]+", t)):
+            bound = bound + np.maximum(w, 0)
+    assert (1 / (1 + np.exp(-bound / model.temperature)) < licences.MIN_PROBABILITY).all()
 
 
 #: Notices whose wording, wrapping or frame isn't in the training texts, with their family.
@@ -306,6 +321,23 @@ def test_unseen_notices_and_unknown_licences(spark, docs_of):
     assert [got[i] for i in range(len(rows))] == [*({f} for f in UNSEEN.values()), *(set() for _ in UNKNOWN)]
 
 
+#: Notices of two licences, in one line or paragraph.
+BOTH = {
+    "Dual licensed under MIT OR Apache-2.0": {"mit", "apache"},
+    "// SPDX-License-Identifier: MIT OR Apache-2.0": {"mit", "apache"},
+    "/* SPDX-License-Identifier: GPL-2.0-only OR BSD-3-Clause */": {"gpl", "bsd"},
+    "Licensed under either of Apache License, Version 2.0\nor MIT license at your option.": {"mit", "apache"},
+    "Released under Apache-2.0.": {"apache"},
+}
+
+
+def test_two_licences_at_once(spark, docs_of):
+    got = defaultdict(set)
+    for r in licences.licence_paragraphs(docs_of(list(enumerate(BOTH)))).collect():
+        got[r.doc_id].add(r.family)
+    assert [got[i] for i in range(len(BOTH))] == [*BOTH.values()]
+
+
 def brute_units(text):
     """(number of the first line, lines, text, block) of paragraphs and of the lines of longer ones."""
     block, held, out = 0, [], []
@@ -317,22 +349,20 @@ def brute_units(text):
             out.append((held[0][0], len(held), "\n".join(x for _, x in held), block))
         out += [(j, 1, x, block) for j, x in held]
         held, block = [], block + 1
-    return [u for u in out if any(a in u[2] for a in licences.ANCHORS)]
+    return out
 
 
 def test_scan_equals_the_classifier(spark, docs_of, corpus):
     model = licences.train()
     some = [n for f in licences.TEXTS for n in licences.notices(f)]
-    texts = [*(t for _, t in corpus), "\n".join(some[::3]) + "\nplain words\n", "\n\n".join(some[1::3]), *licences.ORDINARY, *UNSEEN, *UNKNOWN, "\n".join(t for t, _ in licences.variations(5, 1)[::7]), "odd \x01 license \x02 under\nthe MIT license"]
+    texts = [*(t for _, t in corpus), "\n".join(some[::3]) + "\nplain words\n", "\n\n".join(some[1::3]), *licences.ORDINARY, *UNSEEN, *UNKNOWN, *BOTH, "\n".join(t for t, _ in licences.variations(5, 1)[::7]), "odd \x01 license \x02 under\nthe MIT license"]
     rows = [*enumerate(texts), (None, some[0]), (None, some[0]), (3, some[0])]
     want = Counter()
     for i, t in rows:
         judged = []
         for first, n, unit, block in brute_units((t or "").replace("\x01", " ").replace("\x02", " ")):
-            probs = model.probabilities(unit)
-            k = int(probs.argmax())
-            if k and probs[k] >= licences.MIN_PROBABILITY:
-                family, own = licences.CLASSES[k], licences.grams(unit)
+            for k in np.flatnonzero(model.probabilities(unit) >= licences.MIN_PROBABILITY).tolist():
+                family, own = licences.FAMILIES[k], licences.grams(unit)
                 share = max(len(licences.grams(x) & own) / len(licences.grams(x)) for x in licences.notices(family))
                 if share:
                     judged.append((block, family, n == 1, round(share, 6) >= licences.MIN_SIMILARITY, first, n))
