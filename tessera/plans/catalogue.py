@@ -17,7 +17,7 @@ from tessera.operators import scoring as S
 from tessera.operators import xmljson as X
 from tessera.sources import datasets as D
 
-from .registry import ORACLE_SQL, QUERIES, query, table
+from .registry import ORACLE_SQL, QUERIES, fixture, query, table
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -291,7 +291,7 @@ _DRAW = "('0x' || substr(md5('42-' || i || '-{}'), 1, 7))::BIGINT"
 _LEVEL = "CASE WHEN i < 900 THEN 'easy' WHEN i < 2100 THEN 'medium' ELSE 'hard' END"
 
 
-@query(f"SELECT {G.SECOND!r}[1 + {_DRAW.format('format')} % {len(G.SECOND)}] AS format_id, {_LEVEL} AS difficulty, count(*) AS n, 0 AS different FROM (SELECT unnest(range(3000)) AS i) GROUP BY 1, 2")
+@fixture(f"SELECT {G.SECOND!r}[1 + {_DRAW.format('format')} % {len(G.SECOND)}] AS format_id, {_LEVEL} AS difficulty, count(*) AS n, 0 AS different FROM (SELECT unnest(range(3000)) AS i) GROUP BY 1, 2")
 def generated_pairs(spark, sf):
     """Rows by format and difficulty as drawn; and every generated XML, converted, equals the JSON it was generated with."""
     made = X.to_json(X.to_json(G.generate(spark, 3000), "question", "plain"), "question", "promoted", promote=True)
@@ -300,12 +300,12 @@ def generated_pairs(spark, sf):
     return made.groupBy("format_id", "difficulty").agg(F.count("*").alias("n"), F.count_if(~same).cast("int").alias("different"))
 
 
-@query(f"SELECT {_LEVEL} AS difficulty, count(*) AS n, min(i) AS first_id FROM (SELECT unnest(range(3000)) AS i) GROUP BY 1")
+@fixture(f"SELECT {_LEVEL} AS difficulty, count(*) AS n, min(i) AS first_id FROM (SELECT unnest(range(3000)) AS i) GROUP BY 1")
 def difficulty_allocation(spark, sf):
     return G.generate(spark, 3000, ["SingleField"]).groupBy("difficulty").agg(F.count("*").alias("n"), F.min("ex_id").alias("first_id"))
 
 
-@query("SELECT least(4, i // 200 + 1) AS depth, count(*) AS n, 0 AS different, 0 AS rebuilt_differently FROM (SELECT unnest(range(800)) AS i) GROUP BY 1")
+@fixture("SELECT least(4, i // 200 + 1) AS depth, count(*) AS n, 0 AS different, 0 AS rebuilt_differently FROM (SELECT unnest(range(800)) AS i) GROUP BY 1")
 def nested_pairs(spark, sf):
     """Nested documents by depth: converted whole, and by pieces where they have no mixed content, they equal the JSON they were generated with."""
     made = X.to_json(G.generate_nested(spark, 800), "question", "converted")

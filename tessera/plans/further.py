@@ -17,7 +17,7 @@ from tessera.operators import templates as M
 from tessera.operators import xmljson as X
 
 from .catalogue import _EX, examples, nation_xml
-from .registry import query, table, values
+from .registry import fixture, query, table, values
 
 # ---- curation
 
@@ -229,12 +229,12 @@ FIXTURES = [
 ]
 
 
-@query(f"SELECT name, js FROM {values([(n, j) for n, _, j in FIXTURES], 'name, js')}")
+@fixture(f"SELECT name, js FROM {values([(n, j) for n, _, j in FIXTURES], 'name, js')}")
 def xml_fixtures(spark, sf):
     return X.to_json(spark.createDataFrame([(n, x) for n, x, _ in FIXTURES], "name string, xml string"), "xml", "js").drop("xml")
 
 
-@query("""SELECT * FROM (VALUES ('{"p": {"k": 1, "j": "\\u00e9"}}', '{"p":{"k":1,"j":"é"}}')) v(spaced, promoted)""")
+@fixture("""SELECT * FROM (VALUES ('{"p": {"k": 1, "j": "\\u00e9"}}', '{"p":{"k":1,"j":"é"}}')) v(spaced, promoted)""")
 def xml_dialects(spark, sf):
     """Rows of two attributes as one object, whole numbers, and JSON with spaces and escapes."""
     one = spark.createDataFrame([('<p><i n="k" v="1"/><i n="j" v="é"/></p>', "<p><k>1</k><j>é</j></p>")], "rows string, plain string")
@@ -259,7 +259,7 @@ BROKEN = [
 ]
 
 
-@query(f"SELECT name, mended FROM {values([(n, m) for n, _, m in BROKEN], 'name, mended')}")
+@fixture(f"SELECT name, mended FROM {values([(n, m) for n, _, m in BROKEN], 'name, mended')}")
 def repair_fixtures(spark, sf):
     return spark.createDataFrame([(n, x) for n, x, _ in BROKEN], "name string, x string").select("name", C.repair_json(F.col("x")).alias("mended"))
 
@@ -279,13 +279,13 @@ MERGES = [
 ]
 
 
-@query(f"SELECT name, js FROM {values([(n, j) for n, _, j in MERGES], 'name, js')}")
+@fixture(f"SELECT name, js FROM {values([(n, j) for n, _, j in MERGES], 'name, js')}")
 def merge_fixtures(spark, sf):
     rows = [(n, i, t) for n, texts, _ in MERGES for i, t in enumerate(texts)]
     return X.stitch(spark.createDataFrame(rows, "name string, i int, t string"), "name", "i", "t").withColumnRenamed("json", "js")
 
 
-@query("""SELECT * FROM (VALUES ('a', '{"x":{"y":2,"z":1},"l":[1,2]}'), ('b', '{"x":1,"__error_1":"bad"}')) v(name, js)""")
+@fixture("""SELECT * FROM (VALUES ('a', '{"x":{"y":2,"z":1},"l":[1,2]}'), ('b', '{"x":1,"__error_1":"bad"}')) v(name, js)""")
 def overlaid(spark, sf):
     """Later scalars in place of earlier ones; what doesn't parse leaves a mark."""
     rows = [("a", 0, '{"x":{"y":1,"z":1},"l":[1]}'), ("a", 1, '{"x":{"y":2},"l":[2]}'), ("b", 0, '{"x":1}'), ("b", 1, "bad")]
@@ -357,12 +357,12 @@ def _templates(df):
     return made.groupBy("template").agg(F.count("*").alias("n"), F.count_if(bad).cast("int").alias("malformed"))
 
 
-@query(f"SELECT {[*M.TEMPLATES['v0']]!r}[1 + {_DRAW.format('template')} % {len(M.TEMPLATES['v0'])}] AS template, count(*) AS n, 0 AS malformed FROM {_I.format(750)} GROUP BY 1")
+@fixture(f"SELECT {[*M.TEMPLATES['v0']]!r}[1 + {_DRAW.format('template')} % {len(M.TEMPLATES['v0'])}] AS template, count(*) AS n, 0 AS malformed FROM {_I.format(750)} GROUP BY 1")
 def uniform_templates(spark, sf):
     return _templates(M.generate_uniform(spark))
 
 
-@query(f"SELECT unnest({[t for t in M.TEMPLATES['v1.5'] if t != 'test_cdata_entity']!r}) AS template, 25 AS n, 0 AS malformed")
+@fixture(f"SELECT unnest({[t for t in M.TEMPLATES['v1.5'] if t != 'test_cdata_entity']!r}) AS template, 25 AS n, 0 AS malformed")
 def equal_templates(spark, sf):
     return _templates(M.generate_equal(spark)).withColumn("n", F.col("n").cast("int"))
 
@@ -370,12 +370,12 @@ def equal_templates(spark, sf):
 _MAIN, _TESTS = [t for t in M.TEMPLATES["v2"] if not t.startswith("test_")], [t for t in M.TEMPLATES["v2"] if t.startswith("test_")]
 
 
-@query(f"SELECT CASE WHEN i < {750 - 25 * len(_TESTS)} THEN {_MAIN!r}[1 + {_DRAW.format('template')} % {len(_MAIN)}] ELSE {_TESTS!r}[1 + (i - {750 - 25 * len(_TESTS)}) // 25] END AS template, count(*) AS n, 0 AS malformed FROM {_I.format(750)} GROUP BY 1")
+@fixture(f"SELECT CASE WHEN i < {750 - 25 * len(_TESTS)} THEN {_MAIN!r}[1 + {_DRAW.format('template')} % {len(_MAIN)}] ELSE {_TESTS!r}[1 + (i - {750 - 25 * len(_TESTS)}) // 25] END AS template, count(*) AS n, 0 AS malformed FROM {_I.format(750)} GROUP BY 1")
 def pooled_templates(spark, sf):
     return _templates(M.generate_pools(spark))
 
 
-@query(f"SELECT i AS ex_id, [1, 4, 9][1 + i % 3] + {_DRAW.format('n')} % [3, 5, 7][1 + i % 3] AS employees, true AS same FROM {_I.format(300)}")
+@fixture(f"SELECT i AS ex_id, [1, 4, 9][1 + i % 3] + {_DRAW.format('n')} % [3, 5, 7][1 + i % 3] AS employees, true AS same FROM {_I.format(300)}")
 def employee_lists(spark, sf):
     """Sizes in turn; the XML has the names of the JSON, however it is laid out."""
     made = M.generate_employees(spark, 300)
@@ -384,24 +384,24 @@ def employee_lists(spark, sf):
     return made.select("ex_id", F.size(a).cast("long").alias("employees"), ((a == b) & (F.size(F.array_distinct(a)) == F.size(a))).alias("same"))
 
 
-@query("SELECT CASE WHEN i < 99 THEN 'easy' WHEN i < 201 THEN 'medium' ELSE 'hard' END AS difficulty, CASE WHEN i < 99 THEN ['BasicEntity', 'EmptyElement', 'MixedContent'][1 + i % 3] WHEN i < 201 THEN ['PropertyList', 'DeeplyNested'][1 + (i - 99) % 2] ELSE ['ListOfComplexEntities', 'NestedConfig', 'ListOfLists'][1 + (i - 201) % 3] END AS format_id, count(*) AS n FROM (SELECT unnest(range(300)) AS i) GROUP BY 1, 2")
+@fixture("SELECT CASE WHEN i < 99 THEN 'easy' WHEN i < 201 THEN 'medium' ELSE 'hard' END AS difficulty, CASE WHEN i < 99 THEN ['BasicEntity', 'EmptyElement', 'MixedContent'][1 + i % 3] WHEN i < 201 THEN ['PropertyList', 'DeeplyNested'][1 + (i - 99) % 2] ELSE ['ListOfComplexEntities', 'NestedConfig', 'ListOfLists'][1 + (i - 201) % 3] END AS format_id, count(*) AS n FROM (SELECT unnest(range(300)) AS i) GROUP BY 1, 2")
 def formats_by_class(spark, sf):
     return G.generate_by_class(spark, 300).groupBy("difficulty", "format_id").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT i AS ex_id, list_transform(list_sort(list_transform({O.VOCABULARY!r}, lambda w: {{'h': md5('42-' || i || '-names-' || w), 'w': w}}))[1:{O.NAMES}], lambda s: s['w']) AS names FROM {_I.format(200)}")
+@fixture(f"SELECT i AS ex_id, list_transform(list_sort(list_transform({O.VOCABULARY!r}, lambda w: {{'h': md5('42-' || i || '-names-' || w), 'w': w}}))[1:{O.NAMES}], lambda s: s['w']) AS names FROM {_I.format(200)}")
 def structured_names(spark, sf):
     """Different names for each document, drawn without putting any back."""
     return spark.range(200).select(F.col("id").alias("ex_id"), O.names_of(42, F.col("id")).alias("names"))
 
 
-@query(f"SELECT i AS ex_id, {O.NAMES} AS different, true AS valid, true AS short FROM {_I.format(200)}")
+@fixture(f"SELECT i AS ex_id, {O.NAMES} AS different, true AS valid, true AS short FROM {_I.format(200)}")
 def random_names(spark, sf):
     rows = spark.range(200).select(F.col("id").alias("ex_id"), O.names_of(42, F.col("id"), False).alias("names"))
     return rows.select("ex_id", F.size(F.array_distinct("names")).alias("different"), F.forall("names", lambda n: n.rlike("^[a-z]+_?[a-z._-]*[a-z]$")).alias("valid"), F.forall("names", lambda n: F.length(n) <= 20).alias("short"))
 
 
-@query(f"SELECT * FROM {values([(e, 'train' if k == 0 else 'test', f) for e, sides in O.EXPERIMENTS.items() for k, side in enumerate(sides) for f in side], 'experiment, side, format_id')}")
+@fixture(f"SELECT * FROM {values([(e, 'train' if k == 0 else 'test', f) for e, sides in O.EXPERIMENTS.items() for k, side in enumerate(sides) for f in side], 'experiment, side, format_id')}")
 def experiments(spark, sf):
     """The formats that each experiment draws from; those held out make the test."""
     rows = [(e, f) for e in O.EXPERIMENTS for f in G.active_formats(experiment=e)]
@@ -410,7 +410,7 @@ def experiments(spark, sf):
     return reduce(lambda a, b: a.unionByName(b), map(split, O.EXPERIMENTS)).withColumnRenamed("split", "side")
 
 
-@query("""SELECT * FROM (VALUES ('{"a":{"@k":true,"b":null,"l":{"#item_name":"i","#items":[1,{"@x":"<"}]}}}', '<a k="true"><b></b><l><i>1</i><i x="&lt;" /></l></a>', '{"a":{"@k":true,"b":null,"l":[1,{"@x":"<"}]}}')) v(described, xml, plain)""")
+@fixture("""SELECT * FROM (VALUES ('{"a":{"@k":true,"b":null,"l":{"#item_name":"i","#items":[1,{"@x":"<"}]}}}', '<a k="true"><b></b><l><i>1</i><i x="&lt;" /></l></a>', '{"a":{"@k":true,"b":null,"l":[1,{"@x":"<"}]}}')) v(described, xml, plain)""")
 def xml_of_json(spark, sf):
     described = '{"a":{"@k":true,"b":null,"l":{"#item_name":"i","#items":[1,{"@x":"<"}]}}}'
     made = M.with_xml(spark.createDataFrame([(described,)], "described string"), "described", indent=None)

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+#: Queries on made-up rows, and their SQL: tests run them, the driver's list doesn't have them.
+FIXTURES: dict = {}
+FIXTURE_SQL: dict = {}
 
 
 def query(sql: str | None = None):
@@ -18,6 +21,16 @@ def query(sql: str | None = None):
     return add
 
 
+def fixture(sql: str | None = None):
+    def add(fn):
+        FIXTURES[fn.__name__] = fn
+        if sql:
+            FIXTURE_SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
