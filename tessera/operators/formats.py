@@ -223,7 +223,7 @@ def cdata(d: Draw) -> Node:
     return d.root([Node(tagged(d.name(1), cat("<![CDATA[", body, "]]>")), d.name(1), quoted(body))])
 
 
-_TARGETS = ["xml-stylesheet", "php", "cocoon-process", "robot-control", "my-custom-parser"]
+_TARGETS = ["page-layout", "render-hint", "print-order", "cache-policy", "link-base", "spell-check"]
 
 
 def _instruction(d: Draw) -> tuple[Column, Column, Column]:
@@ -424,26 +424,63 @@ def plain_mixed(d: Draw) -> Node:
 
 
 #: Named experiments as (formats to train on, formats held out).
-_CORE = ["SingleField", "AttributedEntity", "BasicEntity", "PropertyList", "ListOfSimpleEntities", "OrderedMixedContent", "SpecialValues", "NamespacedObject", "HeterogeneousList", "CDataField", "ProcessingInstructionNode", "EntityReferenceField", "HintedEmptyNode", "AttributePromotedKeyValueList", "ListOfAttributedEntities"]
-_PLACED = ["NestedAttributedEntity", "ListWithSpecialValues", "AttributedPropertyList", "ListOfObjectsWithSpecialValues", "NamespacedAttributes", "ListOfMixedContentObjects"]
 EXPERIMENTS = {
-    "master_curriculum": (_CORE, ["ListOfLists", "DeeplyNested", "ListOfNamespacedEntities"]),
-    "easy_master_curriculum": (_CORE, _PLACED),
-    "easy_master_curriculum_2": (_CORE, [*_PLACED, "MixedPropertyGroup", "AttributedObjectWithSpecialValues"]),
-    "easy_master_curriculum_3": ([*_CORE, "MixedPropertyGroup", "AttributedPropertyList"], ["ListWithSpecialValues", "NamespacedAttributes", "ListOfMixedContentObjects", "AttributedObjectWithSpecialValues"]),
+    "master_curriculum": (
+        ["SingleField", "AttributedEntity", "BasicEntity", "PropertyList", "ListOfSimpleEntities", "OrderedMixedContent", "SpecialValues", "NamespacedObject", "HeterogeneousList", "CDataField", "ProcessingInstructionNode", "EntityReferenceField", "HintedEmptyNode", "AttributePromotedKeyValueList", "ListOfAttributedEntities"],
+        ["ListOfLists", "DeeplyNested", "ListOfNamespacedEntities"],
+    ),
+    "easy_master_curriculum": (
+        ["SingleField", "AttributedEntity", "BasicEntity", "PropertyList", "ListOfSimpleEntities", "OrderedMixedContent", "SpecialValues", "NamespacedObject", "HeterogeneousList", "CDataField", "ProcessingInstructionNode", "EntityReferenceField", "HintedEmptyNode", "AttributePromotedKeyValueList", "ListOfAttributedEntities"],
+        ["NestedAttributedEntity", "ListWithSpecialValues", "AttributedPropertyList", "ListOfObjectsWithSpecialValues", "NamespacedAttributes", "ListOfMixedContentObjects"],
+    ),
+    "easy_master_curriculum_2": (
+        ["SingleField", "AttributedEntity", "BasicEntity", "PropertyList", "ListOfSimpleEntities", "OrderedMixedContent", "SpecialValues", "NamespacedObject", "HeterogeneousList", "CDataField", "ProcessingInstructionNode", "EntityReferenceField", "HintedEmptyNode", "AttributePromotedKeyValueList", "ListOfAttributedEntities"],
+        ["NestedAttributedEntity", "ListWithSpecialValues", "AttributedPropertyList", "ListOfObjectsWithSpecialValues", "NamespacedAttributes", "ListOfMixedContentObjects", "MixedPropertyGroup", "AttributedObjectWithSpecialValues"],
+    ),
+    "easy_master_curriculum_3": (
+        ["SingleField", "AttributedEntity", "BasicEntity", "PropertyList", "ListOfSimpleEntities", "OrderedMixedContent", "SpecialValues", "NamespacedObject", "HeterogeneousList", "CDataField", "ProcessingInstructionNode", "EntityReferenceField", "HintedEmptyNode", "AttributePromotedKeyValueList", "ListOfAttributedEntities", "MixedPropertyGroup", "AttributedPropertyList"],
+        ["ListWithSpecialValues", "NamespacedAttributes", "ListOfMixedContentObjects", "AttributedObjectWithSpecialValues"],
+    ),
     "foundations_plus_composition": (
         ["SingleField", "AttributedEntity", "PropertyList", "SpecialValues", "HintedEmptyNode", "NamespacedObject", "OrderedMixedContent", "CDataField", "ProcessingInstructionNode", "EntityReferenceField", "BasicEntity", "ListOfSimpleEntities", "ListOfAttributedEntities", "AttributedPropertyList", "MixedPropertyGroup", "AttributePromotedKeyValueList", "HeterogeneousList", "NestedAttributedEntity"],
         ["ListWithSpecialValues", "AttributedObjectWithSpecialValues", "NamespacedAttributes", "ListOfNamespacedEntities", "ListOfMixedContentObjects"],
     ),
-    "nested_master_curriculum": ([f for f in _CORE if f != "ProcessingInstructionNode"], ["ListOfLists", "DeeplyNested", "ListOfNamespacedEntities"]),
-    "nested_easy_master_curriculum": ([f for f in _CORE if f != "ProcessingInstructionNode"], _PLACED),
-    "easy_master_curriculum_2_nested": ([*_CORE, "DeeplyNested"], _PLACED),
-    "first_master_curriculum": (["AdvancedMixedContent" if f == "OrderedMixedContent" else f for f in _CORE if f != "HintedEmptyNode"], ["ListOfLists", "DeeplyNested", "ListOfNamespacedEntities"]),
-    "nested_lists_with_dict": (["PropertyList", "SimplifiedListOfComplexEntities", "ObjectWithList", "Dictionary"], ["ListOfLists"]),
-    "shape_combination": (["SingleField", "SimpleList"], ["MixedFields"]),
-    "comprehensive_mix": (["BasicEntity", "EmptyElement", "MixedContent", "PropertyList", "DeeplyNested", "NestedConfig", "SimpleList"], ["ListOfComplexEntities"]),
-    "nested_lists": (["PropertyList", "SimplifiedListOfComplexEntities"], ["ListOfLists"]),
-    "nested_lists_easy": (["PropertyList", "SimplifiedListOfComplexEntities", "ObjectWithList"], ["ListOfLists"]),
+    "nested_master_curriculum": (
+        ["SingleField", "AttributedEntity", "BasicEntity", "PropertyList", "ListOfSimpleEntities", "OrderedMixedContent", "SpecialValues", "NamespacedObject", "HeterogeneousList", "CDataField", "EntityReferenceField", "HintedEmptyNode", "AttributePromotedKeyValueList", "ListOfAttributedEntities"],
+        ["ListOfLists", "DeeplyNested", "ListOfNamespacedEntities"],
+    ),
+    "nested_easy_master_curriculum": (
+        ["SingleField", "AttributedEntity", "BasicEntity", "PropertyList", "ListOfSimpleEntities", "OrderedMixedContent", "SpecialValues", "NamespacedObject", "HeterogeneousList", "CDataField", "EntityReferenceField", "HintedEmptyNode", "AttributePromotedKeyValueList", "ListOfAttributedEntities"],
+        ["NestedAttributedEntity", "ListWithSpecialValues", "AttributedPropertyList", "ListOfObjectsWithSpecialValues", "NamespacedAttributes", "ListOfMixedContentObjects"],
+    ),
+    "easy_master_curriculum_2_nested": (
+        ["SingleField", "AttributedEntity", "BasicEntity", "PropertyList", "ListOfSimpleEntities", "OrderedMixedContent", "SpecialValues", "NamespacedObject", "HeterogeneousList", "CDataField", "ProcessingInstructionNode", "EntityReferenceField", "HintedEmptyNode", "AttributePromotedKeyValueList", "ListOfAttributedEntities", "DeeplyNested"],
+        ["NestedAttributedEntity", "ListWithSpecialValues", "AttributedPropertyList", "ListOfObjectsWithSpecialValues", "NamespacedAttributes", "ListOfMixedContentObjects"],
+    ),
+    "first_master_curriculum": (
+        ["SingleField", "AttributedEntity", "BasicEntity", "PropertyList", "ListOfSimpleEntities", "AdvancedMixedContent", "SpecialValues", "NamespacedObject", "HeterogeneousList", "CDataField", "ProcessingInstructionNode", "EntityReferenceField", "AttributePromotedKeyValueList", "ListOfAttributedEntities"],
+        ["ListOfLists", "DeeplyNested", "ListOfNamespacedEntities"],
+    ),
+    "nested_lists_with_dict": (
+        ["PropertyList", "SimplifiedListOfComplexEntities", "ObjectWithList", "Dictionary"],
+        ["ListOfLists"],
+    ),
+    "shape_combination": (
+        ["SingleField", "SimpleList"],
+        ["MixedFields"],
+    ),
+    "comprehensive_mix": (
+        ["BasicEntity", "EmptyElement", "MixedContent", "PropertyList", "DeeplyNested", "NestedConfig", "SimpleList"],
+        ["ListOfComplexEntities"],
+    ),
+    "nested_lists": (
+        ["PropertyList", "SimplifiedListOfComplexEntities"],
+        ["ListOfLists"],
+    ),
+    "nested_lists_easy": (
+        ["PropertyList", "SimplifiedListOfComplexEntities", "ObjectWithList"],
+        ["ListOfLists"],
+    ),
 }
 #: Formats by intrinsic difficulty.
 CLASSES = {"easy": ["BasicEntity", "EmptyElement", "MixedContent"], "medium": ["PropertyList", "DeeplyNested"], "hard": ["ListOfComplexEntities", "NestedConfig", "ListOfLists"]}

@@ -83,9 +83,9 @@ def nth_smallest(spark, sf):
     return spark.range(1).select(F.lit(n).cast("long").alias("place"), F.lit(U.nth_smallest(docs, "n_chars", n)).cast("long").alias("value"))
 
 
-@query("SELECT doc_id, coalesce(text, '') AS input_text, lang AS target_text FROM documents WHERE doc_id % 10 = 3")
+@query("SELECT doc_id, coalesce(text, '') AS input_text, lang AS target_text FROM documents")
 def training_columns(spark, sf):
-    rows = table(spark, sf, "documents").filter("doc_id % 10 = 3").select("doc_id", F.coalesce("text", F.lit("")).alias("question"), F.col("lang").alias("answer"), F.lit(1).alias("complexity"))
+    rows = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("question"), F.col("lang").alias("answer"), F.lit(1).alias("complexity"))
     return S.training_columns(rows).drop(*S.CURATION_COLUMNS)
 
 
@@ -306,10 +306,10 @@ def budgeted_split(spark, sf):
     return pieces.groupBy("doc_id").agg(F.sum(n).alias("lines"), F.count_if((n > 1) & (F.length("chunk") > 600)).cast("int").alias("too_big"))
 
 
-@query("SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk_seq, md5('<?xml version=\"1.0\" encoding=\"utf-8\"?>' || chr(10) || CASE WHEN l = '' THEN '<p/>' ELSE '<p>' || replace(replace(replace(l, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</p>' END) AS chunk, 'doc' AS path FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents WHERE doc_id % 20 = 0)")
+@query("SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk_seq, md5('<?xml version=\"1.0\" encoding=\"utf-8\"?>' || chr(10) || CASE WHEN l = '' THEN '<p/>' ELSE '<p>' || replace(replace(replace(l, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</p>' END) AS chunk, 'doc' AS path FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents)")
 def unit_split(spark, sf):
     """Units alone, each with a declaration and the path above it."""
-    pieces = X.split_documents(_lines_xml(spark, sf).filter("doc_id % 20 = 0"), "xml", 60, unit=lambda tag, attributes: tag == "p", declaration=True)
+    pieces = X.split_documents(_lines_xml(spark, sf), "xml", 60, unit=lambda tag, attributes: tag == "p", declaration=True)
     return pieces.select("doc_id", F.col("chunk_seq").cast("long").alias("chunk_seq"), F.md5("chunk").alias("chunk"), "path")
 
 
