@@ -45,7 +45,10 @@ FAMILIES = tuple(TEXTS)
 SEED = 5
 VARIANTS = 4
 #: Function words: no gram of these alone is a feature, as they tell nothing about licences and are everywhere.
-COMMON = frozenset("a an and any are as at be by can for from he i if in is it may more not of on or she that the their this to two was were will with without you your 1 2 3 2.0 4.0 v. v".split())
+COMMON = frozenset(
+    "a an and any are as at be by can for from he i if in is it may more not of on or she that the their this to two was were will with without you your all also but do does either had has have here her him his how into its new no"
+    " only other our out over shall should so some such than them then there these they those under up use used very we what when where which while who would 0 1 2 3 4 1.0 1.1 2.0 2.1 3.0 4.0 v. v".split()
+)
 MIN_PROBABILITY = 0.8
 MIN_SIMILARITY = 0.6
 _TOKEN = "[a-z0-9]+(?:[.+-][a-z0-9]+)*"
@@ -119,12 +122,18 @@ class Classifier:
         return 1 / (1 + np.exp(-z / self.temperature))
 
 
+def _own_parts(gram: str) -> set[str]:
+    """Of each word of a gram the longest run of letters and digits that isn't a function word, if it has one."""
+    runs = ([x for x in re.findall("[a-z0-9]+", word) if x not in COMMON] for word in gram.split() if word not in COMMON)
+    return {max(r, key=lambda x: (not x.isdigit(), len(x))) for r in runs if r}
+
+
 @lru_cache
 def train(seed: int = SEED, variants: int = VARIANTS, steps: int = 300, shrink: float = 1e-4) -> Classifier:
     """Accelerated proximal gradient on the families' log-losses with an L1 penalty; temperature and a shift of all biases by held-out loss, every third unknown licence being held out."""
     data, held = variations(seed, variants, tuple(o for i, o in enumerate(OTHERS) if i % 3)), variations(seed + 1, 2)
     noticed = set().union(*(grams(n) for f in TEXTS for n in notices(f)), *(grams(n) for n in OTHER_NOTICES))
-    names = sorted(g for g in noticed if not set(g.split()) <= COMMON)
+    names = sorted(g for g in noticed if _own_parts(g))
     at = {g: i for i, g in enumerate(names)}
     x = np.zeros((len(data), len(names)), np.float32)
     y = np.zeros((len(data), len(FAMILIES)), np.float32)
@@ -166,7 +175,7 @@ def telling_words(model: Classifier, least: float = MIN_PROBABILITY) -> tuple[st
     the bias stay under what that probability needs.
     """
     need = model.temperature * float(np.log(least / (1 - least)))
-    parts = {g: {max(re.findall("[a-z0-9]+", t), key=lambda x: (not x.isdigit(), len(x))) for t in g.split() if t not in COMMON} for g in model.weights}
+    parts = {g: _own_parts(g) for g in model.weights}
     taken: set[str] = set()
     while True:
         left = {g: w for g, w in model.weights.items() if not parts[g] & taken}
