@@ -123,9 +123,8 @@ class Classifier:
 
 
 def _own_parts(gram: str) -> set[str]:
-    """Of each word of a gram the longest run of letters and digits that isn't a function word, if it has one."""
-    runs = ([x for x in re.findall("[a-z0-9]+", word) if x not in COMMON] for word in gram.split() if word not in COMMON)
-    return {max(r, key=lambda x: (not x.isdigit(), len(x))) for r in runs if r}
+    """The words of a gram that aren't, nor are made of, function words."""
+    return {word for word in gram.split() if word not in COMMON and not set(re.findall("[a-z0-9]+", word)) <= COMMON}
 
 
 @lru_cache
@@ -169,7 +168,7 @@ def train(seed: int = SEED, variants: int = VARIANTS, steps: int = 300, shrink:
 
 
 def telling_words(model: Classifier, least: float = MIN_PROBABILITY) -> tuple[str, ...]:
-    """Runs of letters and digits of which every text has one that reaches the least probability for a family.
+    """Words of which every text has one that reaches the least probability for a family.
 
     Those whose grams have the largest positive weights are taken until, for each family, all positive weights of the other grams together with
     the bias stay under what that probability needs.
@@ -189,9 +188,19 @@ def telling_words(model: Classifier, least: float = MIN_PROBABILITY) -> tuple[st
         taken.add(max(sorted(gain), key=gain.get))
 
 
-def _telling(lower, words):
-    """Has the text a telling word?"""
-    return F.arrays_overlap(F.split(F.regexp_replace(lower, "[^a-z0-9]+", " "), " "), F.array(*map(F.lit, words)))
+def _may_tell(lower, words: tuple[str, ...]):
+    """Has the text the longest run of letters and digits of a telling word, or, if it has none of three, the word itself? A text with a telling word has."""
+    runs, whole = set(), []
+    for word in words:
+        run = max(re.findall("[a-z0-9]+", word), key=lambda x: (x not in COMMON, not x.isdigit(), len(x)))
+        if run == word or (len(run) > 2 and run not in COMMON):
+            runs.add(run)
+        else:
+            whole.append(word)
+    may = F.arrays_overlap(F.split(lower, "[^a-z0-9]+"), F.array(*map(F.lit, sorted(runs))))
+    for word in whole:
+        may = may | lower.contains(word)
+    return may
 
 
 def _units(docs: DataFrame, words: tuple[str, ...]) -> DataFrame:
@@ -199,14 +208,14 @@ def _units(docs: DataFrame, words: tuple[str, ...]) -> DataFrame:
 
     ``paragraph`` is the number of the first line; a line carries its number through the cuts in front of its text.
     """
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.lower(F.coalesce(F.col("text"), F.lit(""))).alias("lower")).filter(_telling(F.col("lower"), words))
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.lower(F.coalesce(F.col("text"), F.lit(""))).alias("lower")).filter(_may_tell(F.col("lower"), words))
     numbered = F.transform(F.split("lower", "\n"), lambda line, i: F.when(F.trim(F.translate(line, "\t\r\u000b\u000c", "    ")) == "", F.lit("\u0001")).otherwise(F.concat(i.cast("string"), F.lit("\u0002"), F.translate(line, "\u0001\u0002", "  "))))
-    blocks = rows.select("doc_id", "row", F.posexplode(F.split(F.array_join(numbered, "\n"), "\u0001")).alias("block", "body")).filter(_telling(F.col("body"), words))
+    blocks = rows.select("doc_id", "row", F.posexplode(F.split(F.array_join(numbered, "\n"), "\u0001")).alias("block", "body")).filter(_may_tell(F.col("body"), words))
     lines = F.filter(F.split("body", "\n"), lambda x: x != "")
-    both = F.when(F.size("lines") > 1, F.concat(F.array(F.array_join("lines", "\n")), F.filter("lines", lambda x: _telling(x, words)))).otherwise(F.col("lines"))
+    both = F.when(F.size("lines") > 1, F.concat(F.array(F.array_join("lines", "\n")), F.filter("lines", lambda x: _may_tell(x, words)))).otherwise(F.col("lines"))
     units = blocks.withColumn("lines", lines).select("doc_id", "row", "block", F.explode(both).alias("unit"))
     text = F.regexp_replace("unit", "(^|\n)[0-9]+\u0002", " ")
-    return units.select("doc_id", F.substring_index("unit", "\u0002", 1).cast("long").alias("paragraph"), (F.length("unit") - F.length(F.replace("unit", F.lit("\u0002"), F.lit("")))).cast("long").alias("n_lines"), "row", "block", F.regexp_extract_all(text, F.lit(f"({_TOKEN})"), F.lit(1)).alias("words"))
+    return units.select("doc_id", F.substring_index("unit", "\u0002", 1).cast("long").alias("paragraph"), (F.length("unit") - F.length(F.replace("unit", F.lit("\u0002"), F.lit("")))).cast("long").alias("n_lines"), "row", "block", F.regexp_extract_all(text, F.lit(f"({_TOKEN})"), F.lit(1)).alias("words")).filter(F.arrays_overlap("words", F.array(*map(F.lit, words))))
 
 
 def licence_paragraphs(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
