@@ -118,7 +118,10 @@ def _random(x: str) -> bool:
         return _entropy(core) >= 0.7 * min(5, log2(len(core)))
     if _ONE_CASE.fullmatch(core):
         return 100 * digits >= 12 * len(core) and _entropy(core) >= 0.68 * min(5.2, log2(len(core)))
-    return bool(re.search("[a-z]", core) and re.search("[A-Z]", core)) and _entropy(core) >= 0.75 * min(6, log2(len(core)))
+    mixed = bool(re.search("[a-z]", core) and re.search("[A-Z]", core))
+    if mixed and core.isalnum() and len(core) >= 32:  # digits and letters of both cases without a break: no name or path is made so
+        return len(set(core)) >= 6
+    return mixed and _entropy(core) >= 0.75 * min(6, log2(len(core)))
 
 
 def _decoded(x: str) -> bytes | None:
