@@ -1,6 +1,6 @@
 """Markup as a relation: tokens, an interval for each element, structural joins and conversion to JSON level by level.
 
-Everything is an expression or a join of the JVM; no tree is built anywhere. A document's text is taken apart by one
+Everything is an expression or a join of the JVM. :func:`to_json` folds short XML documents in their rows. A document's text is taken apart by one
 regular expression. Depth and place of a token are sums over what comes before it, the end of an element the nearest
 end tag of its level after it, its parent the nearest start tag of the level above before it: all of them are running
 sums, minima or maxima, which :func:`running` computes in blocks, so that a document of any width is spread over tasks.
@@ -29,6 +29,8 @@ ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
 BLOCK = 10_000
 #: Tokens of a range that a structural join compares.
 RANGE = 256
+#: Characters ``<`` of a document that is folded in its own row: it has at most twice as many tokens and one more.
+ROW = 256
 
 _OTHER = r"""<!--(?s:.*?)-->|<!\[CDATA\[(?s:.*?)\]\]>|<\?(?s:.*?)\?>|<![^>]*>"""
 _TAG = r"""</?[A-Za-z_][^\s/>"']*+[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+>"""
@@ -38,18 +40,33 @@ HTML_TOKEN = f"{_OTHER}|(?i:{_RAW})|{_TAG}|[^<]+|<"
 _ATTRIBUTE = r"""([^\s=/>"'<]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 
 
+def _cut(text: Column, html: bool) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(HTML_TOKEN if html else XML_TOKEN), F.lit(0))
+
+
+def _tag(token: Column, html: bool) -> Column:
+    name = F.regexp_extract(token, r"^</?([A-Za-z_][^\s/>]*)", 1)
+    return F.nullif(F.lower(name) if html else name, F.lit(""))
+
+
+def _sort(token: Column, tag: Column, html: bool) -> Column:
+    whole = token.endswith("/>") | (tag.isin(*VOID, *RAW) if html else F.lit(False))
+    return (
+        F.when(tag.isNull() & token.startswith("<![CDATA["), "cdata").when(tag.isNull() & token.startswith("<!"), "declaration")
+        .when(tag.isNull() & token.startswith("<?"), "instruction").when(tag.isNull(), "text")
+        .when(token.startswith("</"), "end").when(whole, "leaf").otherwise("start")
+    )
+
+
+def _blank(token: Column) -> Column:
+    return F.trim(F.translate(token, "\t\n\r", "   ")) == ""
+
+
 def tokens(df: DataFrame, key: str, text: str, html: bool = False) -> DataFrame:
     """``key, pos, token, kind, tag, sort``: ``kind`` is 1 for a start tag, -1 for an end tag, else 0; ``sort`` says what it is."""
-    cut = df.select(F.col(key).alias("key"), F.posexplode(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(HTML_TOKEN if html else XML_TOKEN), F.lit(0))).alias("pos", "token"))
-    name = F.regexp_extract("token", r"^</?([A-Za-z_][^\s/>]*)", 1)
-    rows = cut.withColumn("tag", F.nullif(F.lower(name) if html else name, F.lit("")))
-    whole = F.col("token").endswith("/>") | (F.col("tag").isin(*VOID, *RAW) if html else F.lit(False))
-    sort = (
-        F.when(F.col("tag").isNull() & F.col("token").startswith("<![CDATA["), "cdata").when(F.col("tag").isNull() & F.col("token").startswith("<!"), "declaration")
-        .when(F.col("tag").isNull() & F.col("token").startswith("<?"), "instruction").when(F.col("tag").isNull(), "text")
-        .when(F.col("token").startswith("</"), "end").when(whole, "leaf").otherwise("start")
-    )
-    rows = rows.withColumn("sort", sort)
+    cut = df.select(F.col(key).alias("key"), F.posexplode(_cut(F.col(text), html)).alias("pos", "token"))
+    rows = cut.withColumn("tag", _tag(F.col("token"), html))
+    rows = rows.withColumn("sort", _sort(F.col("token"), F.col("tag"), html))
     return rows.withColumn("kind", F.when(F.col("sort") == "start", 1).when(F.col("sort") == "end", -1).otherwise(0)).select("key", "pos", "token", "kind", "tag", "sort")
 
 
@@ -138,9 +155,8 @@ def faults(df: DataFrame, key: str, text: str, html: bool = False, block: int =
 
 def _faults_of(keys: DataFrame, placed: DataFrame, found: DataFrame) -> DataFrame:
     depth = placed.groupBy("key").agg(F.min("depth").alias("least"), F.sum("kind").alias("open"), F.max((F.col("token") == "<").cast("int")).alias("stray"))
-    blank = F.trim(F.translate("token", "\t\n\r", "   ")) == ""
     shape = found.groupBy("key").agg(
-        F.count_if((F.col("level") == 1) & F.col("tag").isNotNull()).alias("roots"), F.count_if((F.col("level") == 1) & F.col("tag").isNull() & ~blank).alias("beside"),
+        F.count_if((F.col("level") == 1) & F.col("tag").isNotNull()).alias("roots"), F.count_if((F.col("level") == 1) & F.col("tag").isNull() & ~_blank(F.col("token"))).alias("beside"),
         F.count_if((F.col("sort") == "start") & ~F.col("tag").eqNullSafe(F.col("end_tag"))).alias("crossed"),
     )
     fault = (
@@ -202,8 +218,7 @@ def unescaped(text: Column) -> Column:
 
 def quoted(text: Column) -> Column:
     """A JSON string."""
-    made = F.to_json(F.array(text))
-    return F.substring(made, F.lit(2), F.length(made) - 2)
+    return F.btrim(F.to_json(F.array(text)), F.lit("[]"))
 
 
 def attributes(token: Column) -> Column:
@@ -225,27 +240,105 @@ def _member(name: Column, value: Column) -> Column:
     return F.concat(quoted(name), F.lit(":"), value)
 
 
-def _value(members: Column, text: Column, kids: Column, scalar) -> Column:
-    """JSON of an element of its attributes, its own text where it has no children, and its children and texts in order."""
-    some = F.coalesce(kids, F.array().cast("array<struct<at:int,tag:string,value:string,plain:string>>"))
+def _leaf(members: Column, text: Column, scalar) -> Column:
+    """JSON of an element without children, of its attributes and its text."""
+    return (
+        F.when(F.size(members) == 0, F.when(text == "", "null").otherwise(scalar(text)))
+        .otherwise(_object(F.when(text == "", members).otherwise(F.concat(members, F.array(_member(F.lit("#text"), scalar(text)))))))
+    )
+
+
+def _inner(members: Column, some: Column) -> Column:
+    """JSON of an element of its attributes, and its children and texts in order."""
     tags = F.array_distinct(F.transform(F.filter(some, lambda k: k.tag.isNotNull()), lambda k: k.tag))
     texts = F.exists(some, lambda k: k.tag.isNull())
     of = lambda t: F.transform(F.filter(some, lambda k: k.tag == t), lambda k: k.value)
     grouped = F.transform(tags, lambda t: _member(t, F.when(F.size(of(t)) == 1, F.element_at(of(t), 1)).otherwise(F.concat(F.lit("["), F.array_join(of(t), ","), F.lit("]")))))
     content = F.concat(F.lit("["), F.array_join(F.transform(some, lambda k: F.when(k.tag.isNull(), k.value).otherwise(_object(F.array(_member(k.tag, k.value))))), ","), F.lit("]"))
-    leaf = F.size(tags) == 0
-    return (
-        F.when(leaf & (F.size(members) == 0), F.when(text == "", "null").otherwise(scalar(text)))
-        .when(leaf, _object(F.when(text == "", members).otherwise(F.concat(members, F.array(_member(F.lit("#text"), scalar(text)))))))
-        .when(texts, _object(F.concat(members, F.array(_member(F.lit("#content"), content)))))
-        .otherwise(_object(F.concat(members, grouped)))
-    )
+    return F.when(texts, _object(F.concat(members, F.array(_member(F.lit("#content"), content))))).otherwise(_object(F.concat(members, grouped)))
+
+
+def _value(members: Column, text: Column, some: Column, scalar) -> Column:
+    return F.when(~F.exists(some, lambda k: k.tag.isNotNull()), _leaf(members, text, scalar)).otherwise(_inner(members, some))
+
+
+def _literal(sort: Column, token: Column) -> Column:
+    return F.when(sort == "cdata", F.substring(token, F.lit(10), F.length(token) - 12)).otherwise(unescaped(token))
+
+
+def _scalar(booleans: bool):
+    return (lambda t: F.when(t.isin("true", "false"), t).otherwise(quoted(t))) if booleans else quoted
+
 
+def _members(token: Column) -> Column:
+    return F.transform(attributes(token), lambda a: _member(F.concat(F.lit("@"), a["name"]), quoted(a["value"])))
 
-def to_json(df: DataFrame, key: str, text: str, html: bool = False, booleans: bool = True, block: int = BLOCK, fold: int = 8) -> DataFrame:
-    """``key, json`` of every well-formed document, by :func:`values`."""
-    roots = values(parsed(df, key, text, html, block), html, booleans, block, fold).filter("parent is null")
-    return roots.select("key", _object(F.array(_member(F.col("tag"), F.col("value")))).alias("json"))
+
+def _let(value: Column, made) -> Column:
+    """``made(value)``, with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), made), 1)
+
+
+_OPEN = "struct<open:array<struct<tag:string,members:array<string>,kids:array<struct<tag:string,value:string,plain:string>>>>,text:string,bad:boolean>"
+
+
+def _folded(text: Column, scalar) -> Column:
+    """JSON of an XML document, null if it isn't well-formed: a fold over its tokens, whose state has the elements that are open.
+
+    The first of them stands for the document. An element gets its value at its end, when it becomes a child of the one before.
+    ``text`` is what was read since the last tag.
+    """
+    none, no_text = F.lit(None).cast("string"), F.lit("")
+    no_kids, no_members = F.array().cast("array<struct<tag:string,value:string,plain:string>>"), F.array().cast("array<string>")
+    entry = lambda tag, members, kids: F.array(F.struct(tag.alias("tag"), members.alias("members"), kids.alias("kids")))
+    child = lambda tag, value, plain: F.array(F.struct(tag.alias("tag"), value.alias("value"), plain.alias("plain")))
+    state = lambda items, own, bad: F.struct(items.alias("open"), own.alias("text"), bad.alias("bad"))
+    members = lambda token: F.when(F.contains(token, F.lit("=")), _members(token)).otherwise(no_members)
+
+    def take(s: Column, t: Column) -> Column:
+        items, own, n = s["open"], s["text"], F.size(s["open"])
+        top, above, rest = F.element_at(items, -1), F.element_at(items, -2), lambda k: F.slice(items, F.lit(1), n - k)
+        kids = F.when(own == "", top["kids"]).otherwise(_let(_stripped(own), lambda x: F.when(x == "", top["kids"]).otherwise(F.concat(top["kids"], child(none, quoted(x), x)))))
+        at_text = F.when((n == 1) | (t["token"] == "<"), state(items, own, ~_blank(t["token"]))).otherwise(state(items, F.concat(own, _literal(t["sort"], t["token"])), s["bad"]))
+        before = F.when(own == "", items).otherwise(F.concat(rest(1), entry(top["tag"], top["members"], kids)))
+        at_start = state(F.concat(before, entry(t["tag"], members(t["token"]), no_kids)), no_text, s["bad"])
+        leaf = child(t["tag"], _let(members(t["token"]), lambda m: _leaf(m, no_text, scalar)), none)
+        at_leaf = state(F.concat(rest(1), entry(top["tag"], top["members"], F.concat(kids, leaf))), no_text, s["bad"])
+        bare = F.when(F.size(top["kids"]) == 0, _let(_stripped(own), lambda x: _leaf(top["members"], x, scalar))).otherwise(_let(kids, lambda some: _inner(top["members"], some)))
+        closed = state(F.concat(rest(2), entry(above["tag"], above["members"], F.concat(above["kids"], child(t["tag"], bare, none)))), no_text, s["bad"])
+        at_end = F.when((n == 1) | (top["tag"] != t["tag"]), state(items, own, F.lit(True))).otherwise(closed)
+        return (
+            F.when(s["bad"], s).when(t["sort"].isin("text", "cdata"), at_text).when(t["sort"] == "start", at_start)
+            .when(t["sort"] == "leaf", at_leaf).when(t["sort"] == "end", at_end).otherwise(s)
+        )
+
+    def root(s: Column) -> Column:
+        found = F.element_at(s["open"], 1)["kids"]
+        good = ~s["bad"] & (F.size(s["open"]) == 1) & (F.size(found) == 1)
+        return F.when(good, _let(F.element_at(found, 1), lambda k: _object(F.array(_member(k["tag"], k["value"])))))
+
+    cut = F.transform(_cut(text, False), lambda t: F.struct(t.alias("token"), F.when(t.startswith("<"), _tag(t, False)).alias("tag")))
+    cut = F.transform(cut, lambda t: F.struct(t["token"].alias("token"), t["tag"].alias("tag"), _sort(t["token"], t["tag"], False).alias("sort")))
+    begin = state(entry(none, no_members, no_kids), no_text, F.lit(False)).cast(_OPEN)
+    return F.aggregate(cut, begin, take, root)
+
+
+def to_json(df: DataFrame, key: str, text: str, html: bool = False, booleans: bool = True, block: int = BLOCK, fold: int = 8, row: int = ROW) -> DataFrame:
+    """``key, json`` of every well-formed document.
+
+    XML with at most ``row`` characters ``<`` is folded in its row, where its tokens are, so that none of them is shuffled or
+    written. Wider documents and HTML, whose lone tags need all of a document, are folded level by level by :func:`values`.
+    """
+    wide, short = df, None
+    if not html:
+        whole = written(df.select(F.col(key).alias(key), F.col(text).alias(text)))
+        few = F.coalesce(F.length(text) - F.length(F.replace(F.col(text), F.lit("<"), F.lit(""))), F.lit(0)) <= row
+        wide, short = whole.filter(~few), whole.filter(few).select(F.col(key).alias("key"), _folded(F.col(text), _scalar(booleans)).alias("json")).filter("json is not null")
+        if wide.isEmpty():
+            return short
+    roots = values(parsed(wide, key, text, html, block), html, booleans, block, fold).filter("parent is null")
+    made = roots.select("key", _object(F.array(_member(F.col("tag"), F.col("value")))).alias("json"))
+    return made if short is None else short.unionByName(made)
 
 
 def values(found: DataFrame, html: bool = False, booleans: bool = True, block: int = BLOCK, fold: int = 8) -> DataFrame:
@@ -255,16 +348,14 @@ def values(found: DataFrame, html: bool = False, booleans: bool = True, block: i
     a comment parts are one. The tables of every ``fold`` levels are written, so that a plan doesn't grow with the depth.
     Hints, promotion and instructions are left to :func:`tessera.operators.xmljson.convert`.
     """
-    literal = F.when(F.col("sort") == "cdata", F.expr("substring(token, 10, length(token) - 12)")).otherwise(unescaped(F.col("token")))
-    scalar = (lambda t: F.when(t.isin("true", "false"), t).otherwise(quoted(t))) if booleans else quoted
+    literal, scalar = _literal(F.col("sort"), F.col("token")), _scalar(booleans)
     beside = running(found, ["key", "level"], "pos", {"after": (F.max, F.when(F.col("tag").isNotNull(), F.col("pos")))}, block=block)
     texts = beside.filter("sort in ('text', 'cdata') and parent is not null").groupBy("key", "parent", "level", "after").agg(F.min("pos").alias("pos"), F.sort_array(F.collect_list(F.struct("pos", literal.alias("text")))).alias("t"))
     texts = texts.withColumn("text", _stripped(F.array_join("t.text", ""))).filter("text != ''")  # what only a comment parts is one
     raw = F.lit(html) & F.col("tag").isin(*RAW) & F.col("token").contains("</")
     kept = F.when(raw, F.regexp_extract("token", r"(?s)^<[^>]*>(.*)</[^<>]*>$", 1)).otherwise(F.lit(""))
     head = F.when(raw, F.regexp_extract("token", r"^<[^>]*>", 0)).otherwise(F.col("token"))
-    members = F.transform(attributes(head), lambda a: _member(F.concat(F.lit("@"), a["name"]), quoted(a["value"])))
-    own = written(found.filter("tag is not null").select("key", "pos", "parent", "level", "tag", members.alias("members"), _stripped(kept).alias("kept")))
+    own = written(found.filter("tag is not null").select("key", "pos", "parent", "level", "tag", _members(head).alias("members"), _stripped(kept).alias("kept")))
     texts = written(texts.select("key", "level", F.col("parent").alias("pos"), F.struct(F.col("pos").alias("at"), F.lit(None).cast("string").alias("tag"), quoted(F.col("text")).alias("value"), F.col("text").alias("plain")).alias("k")))
     levels = own.agg(F.max("level").alias("n")).first().n or 0
     done, every = None, []
@@ -275,7 +366,8 @@ def values(found: DataFrame, html: bool = False, booleans: bool = True, block: i
         kids = parts.groupBy("key", "pos").agg(F.sort_array(F.collect_list("k")).alias("kids"))
         rows = own.filter(F.col("level") == level).join(kids, ["key", "pos"], "left")
         text = F.concat("kept", F.coalesce(F.element_at("kids", 1)["plain"], F.lit("")))
-        done = rows.select("key", "pos", "parent", "tag", _value(F.col("members"), text, F.col("kids"), scalar).alias("value"))
+        some = F.coalesce("kids", F.array().cast("array<struct<at:int,tag:string,value:string,plain:string>>"))
+        done = rows.select("key", "pos", "parent", "tag", _value(F.col("members"), text, some, scalar).alias("value"))
         if (levels - level) % fold == fold - 1 and level > 1:
             done = written(done)
         every.append(done)

@@ -99,8 +99,9 @@ def paragraph_fragments(spark, sf):
 
 def order_documents(spark, sf):
     """``o_orderkey, xml``: an order with its lines as a document of three levels."""
-    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.struct("l_linenumber", F.format_string('<line part="%d" n="%d">%d</line>', "l_partkey", "l_linenumber", F.col("l_quantity").cast("long")).alias("x")).alias("line"))
-    lines = lines.groupBy("o_orderkey").agg(F.array_join(F.sort_array(F.collect_list("line"))["x"], "").alias("lines"))
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.struct("l_linenumber", "l_partkey", F.col("l_quantity").cast("long").alias("n")).alias("line"))
+    made = lambda x: F.struct(x["l_linenumber"], F.format_string('<line part="%d" n="%d">%d</line>', x["l_partkey"], x["l_linenumber"], x["n"]).alias("x"))
+    lines = lines.groupBy("o_orderkey").agg(F.array_join(F.sort_array(F.transform(F.collect_list("line"), made))["x"], "").alias("lines"))
     orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority").join(lines, "o_orderkey")
     return orders.select("o_orderkey", F.concat(F.lit('<order key="'), "o_orderkey", F.lit('"><status>'), "o_orderstatus", F.lit("</status><!-- lines --><lines>"), "lines", F.lit("</lines><note/>"), "o_orderpriority", F.lit("</order>")).alias("xml"))
 
@@ -108,7 +109,7 @@ def order_documents(spark, sf):
 @query("""WITH l AS (SELECT l_orderkey AS o_orderkey, list('{"@part":"' || l_partkey || '","@n":"' || l_linenumber || '","#text":"' || CAST(l_quantity AS BIGINT) || '"}' ORDER BY l_linenumber, '<line part="' || l_partkey || '" n="' || l_linenumber || '">' || CAST(l_quantity AS BIGINT) || '</line>') AS x FROM lineitem GROUP BY 1)
 SELECT o_orderkey, '{"order":{"@key":"' || o_orderkey || '","#content":[{"status":"' || o_orderstatus || '"},{"lines":{"line":' || CASE len(x) WHEN 1 THEN x[1] ELSE '[' || array_to_string(x, ',') || ']' END || '}},{"note":null},"' || o_orderpriority || '"]}}' AS json FROM orders JOIN l USING (o_orderkey)""")
 def order_json(spark, sf):
-    """Order documents as JSON, level by level."""
+    """Order documents as JSON: short ones folded in their rows, wide ones level by level."""
     return E.to_json(order_documents(spark, sf), "o_orderkey", "xml").withColumnRenamed("key", "o_orderkey")
 
 
