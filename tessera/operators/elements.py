@@ -39,6 +39,13 @@ XML_TOKEN = f"{_OTHER}|{_TAG}|[^<]+|<"
 HTML_TOKEN = f"{_OTHER}|(?i:{_RAW})|{_TAG}|[^<]+|<"
 _ATTRIBUTE = r"""([^\s=/>"'<]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 
+_NAME = r"""[^ \t\r\n/<>"'=]"""
+#: A document that single characters take apart: ``<`` and ``>`` only around tags, comments and instructions, ``"`` only around values,
+#: which follow one space and a name and neither begin with a space nor end with an equals sign; no references and sections.
+PLAIN = rf"""^[^<>"]*+(?:<(?:[A-Za-z_]{_NAME}*+(?: {_NAME}++="(?! )[^"<>]*+(?<!=)")*+(?: ?/)?>|/[A-Za-z_]{_NAME}*+>|!--[^<>]*--(?<!<!-{{2,3}})>|\?[^<>]*\?(?<!<\?)>|![A-Za-z][^<>]*+>)[^<>"]*+)*+\z"""
+#: What such a document has none of: references, white space that XML doesn't know and other control characters.
+_OTHERS = r"[&\x00-\x08\x0b\x0c\x0e-\x1f\x{85}\x{a0}]"
+
 
 def _cut(text: Column, html: bool) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(HTML_TOKEN if html else XML_TOKEN), F.lit(0))
@@ -279,10 +286,68 @@ def _let(value: Column, made) -> Column:
     return F.element_at(F.transform(F.array(value), made), 1)
 
 
+def _folded(text: Column, booleans: bool) -> Column:
+    """JSON of an XML document, null if it isn't well-formed."""
+    plain = ~text.rlike(_OTHERS) & text.rlike(PLAIN)
+    return F.when(plain, _by_text(text, booleans)).otherwise(_by_token(text, _scalar(booleans)))
+
+
+def _by_text(text: Column, booleans: bool) -> Column:
+    """As :func:`_by_token` for a :data:`PLAIN` document, which becomes JSON as a text: Spark interprets a fold, so that few and short steps count.
+
+    Attributes and elements without children are replaced in all of the text. An element that has its value is ``\\1"tag":\\2value\\4``
+    from then on. The fold is over the other tags; its state is the text up to there, null after a fault.
+    """
+    lit, rest, space = F.lit, F.lit(2_000_000_000), " \t\r\n"
+    bare = lambda x: F.btrim(x, lit(space))
+    name = lambda tag: F.substring_index(F.substring_index(tag, ">", 1), " ", 1)
+
+    def replaced(x: Column, *pairs: tuple[str, str]) -> Column:
+        return reduce(lambda x, p: F.replace(x, lit(p[0]), lit(p[1])), pairs, x)
+
+    def mixed(pieces: Column) -> Column:
+        told = lambda x: F.when(x != "", F.concat(lit('"'), x, lit('"')))
+        kid = lambda p: F.when(F.contains(p, lit("\1")), F.concat(lit("{"), replaced(F.substring_index(p, "\1", -1), ("\2", "")), lit("}")))
+        items = F.flatten(F.transform(pieces, lambda p: F.array(told(bare(F.substring_index(p, "\1", 1))), kid(p))))
+        return F.concat(lit('"#content":['), F.array_join(items, ","), lit("]"))
+
+    def grouped(kids: Column) -> Column:
+        tags = F.array_distinct(F.transform(kids, lambda k: F.substring_index(k, "\2", 1)))
+        listed = lambda t, own: F.concat(t, lit("["), F.replace(F.array_join(own, ","), F.concat(t, lit("\2")), lit("")), lit("]"))
+        return F.array_join(F.transform(tags, lambda t: _let(F.filter(kids, lambda k: F.substring_index(k, "\2", 1) == t), lambda own: F.when(F.size(own) == 1, replaced(own[0], ("\2", ""))).otherwise(listed(t, own)))), ",")
+
+    def value(element: Column) -> Column:
+        begun, content = F.substring_index(element, ">", 1), F.substring_index(element, ">", -1)
+        members = F.when(F.contains(begun, lit(" ")), F.concat(lit('"@'), F.substring(begun, F.instr(begun, " ") + 1, rest), lit(","))).otherwise("")
+        kids = F.transform(F.filter(F.split(content, "\4"), lambda p: F.contains(p, lit("\1"))), lambda p: F.substring_index(p, "\1", -1))
+        inside = F.when(content.rlike(rf"(?:^|\x04)[{space}]*+[^\x01]"), mixed(F.split(content, "\4"))).otherwise(_let(kids, grouped))
+        return F.concat(lit("{"), members, inside, lit("}"))
+
+    def take(s: Column, part: Column) -> Column:
+        def close(element: Column) -> Column:
+            fits = F.contains(element, lit(">")) & (name(element) == F.substring(name(part), 2, rest))
+            made = F.concat(F.substring(s, lit(1), F.length(s) - F.length(element) - 1), lit('\1"'), name(element), lit('":\2'), value(element), lit("\4"), F.substring_index(part, ">", -1))
+            return F.when(fits, made)
+
+        return F.when(part.startswith("/"), _let(F.substring_index(s, "<", -1), close)).otherwise(F.concat(s, lit("<"), part))
+
+    x = F.when(F.contains(text, lit("<!")) | F.contains(text, lit("<?")), F.regexp_replace(text, "<[!?][^<>]*+>", "")).otherwise(text)
+    x = replaced(x, (" />", "/>"), ('" ', '","@'), ('="', '":"'))
+    x = F.regexp_replace(x, r"<([^ /<>]++)([^<>]*)/>", "<$1$2></$1>")
+    x = F.regexp_replace(x, rf"<([^ /<>]++) ([^<>]*+)>[{space}]*+([^<>]*?)[{space}]*+</\1>", '\1"$1":\2{"@$2,"#text":"$3"}\4')
+    x = F.regexp_replace(x, rf"<([^ /<>]++)>[{space}]*+([^<>\x01]*?)[{space}]*+</\1>", '\1"$1":\2"$2"\4')
+    x = replaced(x, (',"#text":""}\4', "}\4"), ('\2""\4', "\2null\4"))
+    if booleans:
+        x = replaced(x, *((f'{before}"{word}"{after}', before + word + after) for word in ("true", "false") for before, after in (("\2", "\4"), (',"#text":', "}\4"))))
+    found = F.aggregate(F.split(x, "<"), lit(""), take)
+    made = F.get(F.regexp_extract_all(found, lit(rf"^<[{space}]*+\x01([^\x01\x04<]*+)\x04[{space}]*+\z"), lit(1)), lit(0))
+    return F.concat(lit("{"), replaced(made, ("\2", ""), ("\\", "\\\\"), ("\t", "\\t"), ("\r", "\\r"), ("\n", "\\n")), lit("}"))
+
+
 _OPEN = "struct<open:array<struct<tag:string,members:array<string>,kids:array<struct<tag:string,value:string,plain:string>>>>,text:string,bad:boolean>"
 
 
-def _folded(text: Column, scalar) -> Column:
+def _by_token(text: Column, scalar) -> Column:
     """JSON of an XML document, null if it isn't well-formed: a fold over its tokens, whose state has the elements that are open.
 
     The first of them stands for the document. An element gets its value at its end, when it becomes a child of the one before.
@@ -327,15 +392,17 @@ def to_json(df: DataFrame, key: str, text: str, html: bool = False, booleans: bo
     """``key, json`` of every well-formed document.
 
     XML with at most ``row`` characters ``<`` is folded in its row, where its tokens are, so that none of them is shuffled or
-    written. Wider documents and HTML, whose lone tags need all of a document, are folded level by level by :func:`values`.
+    written; what is written is the JSON, so that a document is folded once however often the result is read. Wider documents
+    and HTML, whose lone tags need all of a document, are folded level by level by :func:`values`.
     """
     wide, short = df, None
     if not html:
-        whole = written(df.select(F.col(key).alias(key), F.col(text).alias(text)))
         few = F.coalesce(F.length(text) - F.length(F.replace(F.col(text), F.lit("<"), F.lit(""))), F.lit(0)) <= row
-        wide, short = whole.filter(~few), whole.filter(few).select(F.col(key).alias("key"), _folded(F.col(text), _scalar(booleans)).alias("json")).filter("json is not null")
+        whole = written(df.select(F.col(key).alias("key"), F.when(~few, F.col(text)).alias("text"), F.when(few, _folded(F.col(text), booleans)).alias("json")))
+        wide, short = whole.filter("text is not null").drop("json"), whole.filter("json is not null").drop("text")
         if wide.isEmpty():
             return short
+        key, text = "key", "text"
     roots = values(parsed(wide, key, text, html, block), html, booleans, block, fold).filter("parent is null")
     made = roots.select("key", _object(F.array(_member(F.col("tag"), F.col("value")))).alias("json"))
     return made if short is None else short.unionByName(made)
